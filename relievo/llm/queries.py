@@ -54,8 +54,8 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r
 def _spans_sql(kind: str, no: int, pattern: str, size: str, least: int) -> str:
     """Spans of one kind: pieces between the hits give the places."""
     return f"""SELECT doc_id, {no} AS kind_no, '{kind}' AS kind, s.start AS start_, s."end" AS end_ FROM (
-      SELECT doc_id, unnest(list_filter(list_transform(range(1, len(hits) + 1), i -> {{'start': coalesce(list_sum(list_transform(pieces[1:i], p -> length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], h -> length(h))), 0),
-        'end': coalesce(list_sum(list_transform(pieces[1:i], p -> length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i], h -> length(h))), 0), 'size': {size}}}), x -> x.size >= {least})) AS s
+      SELECT doc_id, unnest(list_filter(list_transform(range(1, len(hits) + 1), lambda i: {{'start': coalesce(list_sum(list_transform(pieces[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0),
+        'end': coalesce(list_sum(list_transform(pieces[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i], lambda h: length(h))), 0), 'size': {size}}}), lambda x: x.size >= {least})) AS s
       FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS pieces FROM d))"""
 
 
