@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,22 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests)
-    is a folder of our own used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut: written to the checkpoint folder that all executors share."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm import exact_dedup, mixing, secrets
+from relievo.llm import exact_dedup, mixing, packing, pii, quality, secrets, token_counts
+from relievo.llm.common import shared_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +38,34 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(documents(spark, sf_dir), shared_folder(spark, "token-counts"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: ~s["added"])
+    return found.select("doc_id", *[_counted(base, kind).alias(f"n_{kind}") for kind in pii.KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_personal_data": op8_personal_data,
+    "op9_packing": op9_packing,
 }
 
 OP3_SQL = r"""
