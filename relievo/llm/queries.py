@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm import exact_dedup, mixing, packing, pii, quality, secrets, token_counts
+from relievo.llm import exact_dedup, mixing, ngram_join, packing, pii, quality, secrets, token_counts
 from relievo.llm.common import shared_folder
 
 
@@ -58,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 OP3_SQL = r"""
