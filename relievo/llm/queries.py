@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm import exact_dedup, mixing, ngram_join, packing, pii, quality, secrets, token_counts
+from relievo.llm import exact_dedup, language_model, mixing, ngram_join, packing, pii, quality, secrets, token_counts
 from relievo.llm.common import shared_folder
 
 
@@ -38,6 +38,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(documents(spark, sf_dir), shared_folder(spark, "token-counts"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_language_model": op5_language_model,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,
