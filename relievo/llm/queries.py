@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm import exact_dedup, language_model, mixing, ngram_join, packing, pii, quality, secrets, token_counts
+from relievo.llm import exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, token_counts
 from relievo.llm.common import shared_folder
 
 
@@ -38,6 +38,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_model": op5_language_model,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
@@ -110,7 +116,29 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN g USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_secrets": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     a AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
+     l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM a),
+     s AS (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+     n AS (SELECT doc_id, i, body, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS after_ FROM s WHERE w > 0),
+     m AS (SELECT *, after_ - w AS before_ FROM n),
+     g AS (SELECT *, count(*) OVER f AS m_ahead, max(after_) OVER f >= before_ + 50 AS ok_ahead, count(*) OVER b AS m_back, min(before_) OVER b <= after_ - 50 AS ok_back FROM m
+           WINDOW f AS (PARTITION BY doc_id ORDER BY before_ RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), b AS (PARTITION BY doc_id ORDER BY after_ RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+     docs AS (SELECT doc_id, list(md5(body) ORDER BY seq) AS bodies FROM m GROUP BY doc_id),
+     k AS (SELECT doc_id, seq, 'ahead' AS side, seq AS a, seq + m_ahead - 1 AS b FROM g WHERE ok_ahead UNION ALL SELECT doc_id, seq, 'back', seq - m_back + 1, seq FROM g WHERE ok_back),
+     c AS (SELECT k.*, md5(array_to_string(bodies[a + 1 : b + 1], ' ')) AS content FROM k JOIN docs USING (doc_id)),
+     e AS (SELECT *, row_number() OVER (PARTITION BY side, content ORDER BY doc_id NULLS LAST, seq) AS nth FROM c),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS seq FROM e WHERE nth > 1),
+     lines_gone AS (SELECT doc_id, i FROM m JOIN gone USING (doc_id, seq)),
+     r AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM lines_gone GROUP BY doc_id),
+     kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS t FROM l LEFT JOIN lines_gone g ON l.doc_id = g.doc_id AND l.i = g.i WHERE g.i IS NULL GROUP BY l.doc_id),
+     c2 AS (SELECT doc_id, count(*) AS n_lines FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.t, '')) AS text_sha256
+FROM d LEFT JOIN c2 USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op2_secrets": OP2_SQL, "op3_exact_dedup": OP3_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
