@@ -92,9 +92,9 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if rows:
-                ids, sizes, counted, recs = zip(*rows, strict=True)
+                ids, marks, sizes, counted, recs = zip(*rows, strict=True)
                 place = range(len(rows))
-                yield table({"slot": [(pack + k) % slots for k in place], "pack": [pack] * len(rows), "place": list(place), "doc_id": list(ids), "n": list(sizes), "counted": list(counted), "rec": list(recs)})
+                yield table({"slot": [(pack + k) % slots for k in place], "pack": [pack] * len(rows), "place": list(place), "doc_id": list(ids), "mark": list(marks), "n": list(sizes), "counted": list(counted), "rec": list(recs)})
                 h = np.concatenate(sets)
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
                 slot = (h % np.uint64(slots)).astype(np.int64)
@@ -109,10 +109,10 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
                     yield table({"slot": full[at : at + 512], "pack": [pack] * len(some), "hashes": [low[a:b].tobytes() for a, b in some], "places": [doc[a:b].tobytes() for a, b in some]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            for doc_id, mark, text in zip(*(batch.column(c) for c in ("doc_id", "mark", "text")), strict=True):
                 h = shingles(text.as_py(), n)
                 half = h[: np.searchsorted(h, np.uint64(1 << 63))]
-                rows.append((doc_id.as_py(), len(h), len(half), _digest(h)))
+                rows.append((doc_id.as_py(), mark.as_py(), len(h), len(half), _digest(h)))
                 sets.append(half)
                 held += len(half)
                 if held >= PACK_HASHES or len(rows) >= PACK_DOCS:
@@ -148,7 +148,7 @@ def _count_shared(schema: pa.Schema):
             is_blob = pc.is_valid(table["hashes"])
             docs = table.filter(pc.invert(is_blob))
             if len(docs):
-                yield from docs.select(["pack", "place", "doc_id", "n", "counted", "rec"]).append_column("places", pa.nulls(len(docs), pa.binary())).append_column("shared", pa.nulls(len(docs), pa.binary())).cast(schema).to_batches()
+                yield from docs.select(["pack", "place", "doc_id", "mark", "n", "counted", "rec"]).append_column("places", pa.nulls(len(docs), pa.binary())).append_column("shared", pa.nulls(len(docs), pa.binary())).cast(schema).to_batches()
             blobs = table.filter(is_blob)
             if not len(blobs):
                 continue
@@ -183,7 +183,7 @@ def _survivors(num: int, den: int, schema: pa.Schema):
             n, counted = docs["n"].to_numpy(), docs["counted"].to_numpy()
             missing = n + (-num * n) // den
             alive = (n > 0) & (total[docs["place"].to_numpy()] >= counted - missing)
-            yield from docs.select(["doc_id", "n", "rec"]).append_column("alive", pa.array(alive)).cast(schema).to_batches()
+            yield from docs.select(["doc_id", "mark", "n", "rec"]).append_column("alive", pa.array(alive)).cast(schema).to_batches()
 
     return run
 
@@ -195,16 +195,16 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def sketched(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, rec (digest of the set), alive (may have a partner): one row per row of ``docs``."""
-    rows = docs.select("doc_id", text_of().alias("text"))
+    """doc_id, mark (of the text), n, rec (digest of the set), alive (may have a partner): one row per row of ``docs``."""
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     doc_id = rows.schema["doc_id"]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = 8 * partitions
     field = lambda name, kind: T.StructField(name, kind)
-    about = [doc_id, field("n", T.LongType()), field("counted", T.LongType()), field("rec", T.BinaryType())]
+    about = [doc_id, field("mark", T.LongType()), field("n", T.LongType()), field("counted", T.LongType()), field("rec", T.BinaryType())]
     first = T.StructType([field("slot", T.LongType()), field("pack", T.LongType()), field("place", T.LongType()), *about, field("hashes", T.BinaryType()), field("places", T.BinaryType())])
     second = T.StructType([field("pack", T.LongType()), field("place", T.LongType()), *about, field("places", T.BinaryType()), field("shared", T.BinaryType())])
-    third = T.StructType([doc_id, field("n", T.LongType()), field("rec", T.BinaryType()), field("alive", T.BooleanType())])
+    third = T.StructType([doc_id, field("mark", T.LongType()), field("n", T.LongType()), field("rec", T.BinaryType()), field("alive", T.BooleanType())])
     dealt = rows.mapInArrow(_sketch(n, slots, _arrow(first)), first).repartition(partitions, "slot").sortWithinPartitions("slot")
     back = dealt.mapInArrow(_count_shared(_arrow(second)), second).repartition(partitions, "pack").sortWithinPartitions("pack")
     return back.mapInArrow(_survivors(num, den, _arrow(third)), third)
@@ -216,7 +216,7 @@ def _sets(n: int):
             rids, hashes, parts = [], [], []
             for rid, rec, text in zip(*(batch.column(c) for c in ("rid", "rec", "text")), strict=True):
                 h = shingles(text.as_py(), n)
-                if _digest(h) == rec.as_py():  # an id may stand for several texts
+                if _digest(h) == rec.as_py():  # a mark may stand for several texts
                     rids.append(rid.as_py())
                     hashes.append(h.view(np.int64))
                     parts.append(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=PARTS))
@@ -249,14 +249,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, rec, component_id: one row per row of ``docs``.
+    """doc_id, mark, n_shingles, component_id, first: one row per row of ``docs``.
 
-    Sets link when den * |intersection| >= num * |union|.
+    Sets link when den * |intersection| >= num * |union|.  ``first`` is true for the document
+    with the smallest doc_id (then mark) of a component, and for its repeated rows.
     """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     info = cut(sketched(docs, words, num, den))
-    classes = info.where("alive").groupBy("rec").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"))
+    classes = info.where("alive").groupBy("rec").agg(F.min(place).alias("label"), F.first("n").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("rid"), "rec", "label", "n"))
-    texts = docs.select("doc_id", text_of().alias("text")).join(small(classes.select("rid", "rec", "label"), 64), F.col("doc_id").eqNullSafe(F.col("label"))).select("rid", "rec", "text")
+    stands = classes.select("rid", "rec", F.col("label.doc_id").alias("l_id"), F.col("label.mark").alias("l_mark"))
+    texts = docs.select("doc_id", text_of().alias("text")).join(small(stands, 72), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_mark"))).select("rid", "rec", "text")
     sets = cut(texts.mapInArrow(_sets(words), "rid long, hashes array<long>, parts array<long>"))
     tokens = sets.select("rid", F.explode("hashes").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -284,7 +287,23 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
     more = _verified(_filtered(rest, num, den), about, num, den)
     joined = components(links.union(more))
     labelled = classes.join(joined, F.col("rid") == F.col("node"), "left").select("rec", "label", F.coalesce("component", "rid").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("label").alias("component_id"))
-    of_rec = cut(labelled.join(least, "c").select(F.col("rec").alias("r"), "component_id"))
-    found = info.join(small(of_rec, 64), F.col("rec") == F.col("r"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "rec", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = labelled.groupBy("c").agg(F.min("label").alias("least"))
+    of_rec = cut(labelled.join(least, "c").select(F.col("rec").alias("r"), "least"))
+    found = info.join(small(of_rec, 72), F.col("rec") == F.col("r"), "left")
+    inside = F.col("least").isNotNull()
+    return found.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(inside, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~inside | F.col("least").eqNullSafe(place)).alias("first"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The documents with one of each component left, columns unchanged."""
+    found = cut(similar_components(docs, words, num, den))
+    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).distinct()
+    mark = F.xxhash64(text_of())
+    stay = docs.join(small(cut(gone), 24), F.col("doc_id").eqNullSafe(F.col("g_id")) & (mark == F.col("g_mark")), "left_anti")
+    # Rows that repeat a doc_id and text have one component; only where there are such rows are they grouped.
+    again = cut(found.where("first AND n_shingles > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).agg(F.count("*").alias("g_n")).where("g_n > 1"))
+    if again.isEmpty():
+        return stay
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (mark == F.col("g_mark"))
+    one = stay.join(small(again, 32), same).dropDuplicates(["g_id", "g_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stay.join(small(again, 32), same, "left_anti").unionByName(one)
