@@ -7,10 +7,10 @@
 2.  The others are put into classes of equal sets; one document stands for each.  Its
     shingles are ordered rare first, by how many sets hold them.
 3.  Sets that link share a shingle of their prefixes.  A list of the sets that have a
-    shingle in their prefix is not expanded into pairs: first its smallest and its largest
-    member meet all others.  What that links is one component, and only pairs of different
-    components are left to be met; of these at least one lies outside the list's largest
-    component.  So a list of thousands of near copies costs as many pairs as it is long.
+    shingle in their prefix is not expanded into pairs: in a few rounds, two of its members
+    meet all others that are not in their component yet.  Then only pairs of different
+    components are left to be met, of which at least one lies outside the list's largest
+    component.  So a list of thousands of near copies costs a few times its length in pairs.
 4.  Pairs pass the length, positional and suffix filters (sizes of the sets' parts under
     fixed pivots bound the overlap), are made distinct, and are verified once by
     intersecting whole sets.
@@ -248,6 +248,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut(met.select("a", "b", n.alias("n_a"), m.alias("n_b"), both.alias("both")).where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
+def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
+    """node, component for the sets that link to others.
+
+    In a round two members of each list meet all that are in other components: first the one
+    with the fewest shingles of its own, the likeliest to be near all others, and then ones
+    drawn by a hash.  Lists that are inside one component are done.  After the rounds all
+    pairs of different components that have not met do so, so no link is lost.
+    """
+    postings, links, tested, joined = cut(postings), None, None, None
+
+    def meet(pairs: DataFrame) -> None:
+        nonlocal links, tested, joined
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = _verified(pairs, about, num, den)
+        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+        joined = components(links)
+
+    def placed() -> DataFrame:
+        if joined is None:
+            return postings.withColumn("c", F.col("rid"))
+        return postings.drop("c").join(joined, F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid")).drop("node", "component")
+
+    for k in range(rounds):
+        here = cut(placed())
+        drawn = F.xxhash64(F.lit(k), F.col("rid"))
+        first = F.struct((F.col("rare") / F.col("n") if k == 0 else drawn).alias("key"), "rid", "n", "pos", "c")
+        last = F.struct(drawn.alias("key"), "rid", "n", "pos", "c")
+        lists = here.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first).alias("lo"), F.max(last).alias("hi")).where("c0 <> c1")
+        leaders = cut(lists.select("token", *[F.struct(*[f"{s}.{f}" for f in ("rid", "n", "pos", "c")]).alias(s) for s in ("lo", "hi")]))
+        met = here.join(leaders, "token")
+        postings = cut(met.select(*here.columns))
+        ends = met.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "c", F.explode(F.array("lo", "hi")).alias("end")).where("end.c <> c")
+        meet(_filtered(ends.select(F.col("end.rid").alias("a"), F.col("end.n").alias("n_a"), F.col("end.pos").alias("pos_a"), "b", "n_b", "pos_b"), num, den))
+    here = cut(placed())
+    of_list = here.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.count("*").alias("kinds"))
+    here = cut(here.join(of_list.where("kinds > 1").select("token", F.col("main.c").alias("main")), "token"))
+    outer = here.where("c <> main").select("token", F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c").alias("c_a"))
+    inner = here.select("token", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), (F.col("c") == F.col("main")).alias("b_main"))
+    length = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
+    rest = outer.join(inner, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & length)
+    meet(_filtered(rest, num, den))
+    return joined
+
+
 def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, first: one row per row of ``docs``.
 
@@ -269,23 +313,9 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
     about = classes.join(ranked, "rid").withColumn("rare", rare).withColumn("prefix", prefix).where("prefix > 0")
     about = about.join(sets.select("rid", "parts"), "rid").dropDuplicates(["rid"])
     about = cut(about.select("rid", "n", "rare", "prefix", "parts", F.transform("ranked", lambda x: x["token"]).alias("shared")))
-    postings = cut(about.select("rid", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "token")).select("token", "rid", "n", (F.col("rare") + F.col("at")).alias("pos")))
-    member = F.struct("rid", "n", "pos")
-    lists = postings.groupBy("token").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.rid < hi.rid")
-    ends = postings.join(lists, "token").select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.explode(F.array("lo", "hi")).alias("end"))
-    ends = ends.where("end.rid <> b").select(F.col("end.rid").alias("a"), F.col("end.n").alias("n_a"), F.col("end.pos").alias("pos_a"), "b", "n_b", "pos_b")
-    links = _verified(_filtered(ends, num, den), about, num, den)
-    joined = components(links)
-    placed = postings.join(joined, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", "pos", F.coalesce("component", "rid").alias("c"))
-    mixed = placed.groupBy("token", "c").agg(F.count("*").alias("many"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    mixed = mixed.groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1").select("token", F.col("main.c").alias("main"), "lo", "hi")
-    placed = cut(placed.join(mixed, "token").where("rid <> lo AND rid <> hi").drop("lo", "hi"))
-    outer = placed.where("c <> main").select("token", F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c").alias("c_a"))
-    inner = placed.select("token", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), (F.col("c") == F.col("main")).alias("b_main"))
-    length = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
-    rest = outer.join(inner, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & length)
-    more = _verified(_filtered(rest, num, den), about, num, den)
-    joined = components(links.union(more))
+    postings = about.select("rid", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "token"))
+    postings = postings.select("token", "rid", "n", "rare", (F.col("rare") + F.col("at")).alias("pos"))
+    joined = _linked(postings, about, num, den)
     labelled = classes.join(joined, F.col("rid") == F.col("node"), "left").select("rec", "label", F.coalesce("component", "rid").alias("c"))
     least = labelled.groupBy("c").agg(F.min("label").alias("least"))
     of_rec = cut(labelled.join(least, "c").select(F.col("rec").alias("r"), "least"))
