@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relievo.plans import rasters
 
+GROUPS = (rasters,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(rasters.QUERIES)
+    return {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(rasters.SQL)
+    return {name: sql for group in GROUPS for name, sql in group.SQL.items()}
