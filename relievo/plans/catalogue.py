@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import rasters
+from relievo.plans import clouds, rasters
 
-GROUPS = (rasters,)
+GROUPS = (rasters, clouds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
