@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import clouds, rasters
+from relievo.plans import clouds, matches, rasters
 
-GROUPS = (rasters, clouds)
+GROUPS = (rasters, clouds, matches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
