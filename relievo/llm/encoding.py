@@ -19,7 +19,7 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 LATIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 NOT_LATIN = rf"[^\x20-\x7e\t\n\r{LETTERS}]"
 #: Pieces that a worker remembers; the memory starts anew beyond it.
-MOST_PIECES = 600_000
+MOST_PIECES = 200_000
 
 
 def tokenizer_path(name: str) -> str:

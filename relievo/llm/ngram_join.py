@@ -40,13 +40,13 @@ from relievo.llm.common import cut, small, text_of
 from relievo.llm.components import components
 
 PARTS = 16
-PACK_HASHES, PACK_DOCS = 2_000_000, 60_000
+PACK_HASHES, PACK_DOCS = 600_000, 60_000
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
