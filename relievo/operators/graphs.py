@@ -22,7 +22,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("up"))
-        up = cut(up)
         top = up.select(F.col("n").alias("k"), F.col("up").alias("top"))
         move = cut(up.join(top, F.col("up") == F.col("k")).select("n", "top"))
         to = lambda side: move.select(F.col("n").alias(f"n_{side}"), F.col("top").alias(f"to_{side}"))
