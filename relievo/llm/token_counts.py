@@ -66,11 +66,16 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     digest = F.sha2(text_of(), 256)
     rows = cut(docs.select("doc_id", digest.alias("digest"), F.octet_length(text_of()).cast("long").alias("n_bytes")))
     stored = read_cache(docs, cache, version)
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    same = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    groups = same.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("first"))
     known = groups.join(stored.select("digest", F.lit(True).alias("stored")), "digest", "left").where("stored OR n > 1")
-    known = cut(known.select(F.col("digest").alias("k_digest"), "first_id", F.coalesce("stored", F.lit(False)).alias("stored")))
+    known = cut(known.select(F.col("digest").alias("k_digest"), F.col("first.doc_id").alias("first_id"), (F.col("first.n") > 1).alias("again"), F.coalesce("stored", F.lit(False)).alias("stored")))
     texts = docs.select("doc_id", text_of().alias("text"), digest.alias("digest")).join(small(known, 100), F.col("digest") == F.col("k_digest"), "left")
     new = F.col("k_digest").isNull() | (~F.col("stored") & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    misses = texts.where(new).select("digest", "text").mapInArrow(_counter(tokenizer), "digest string, n_tokens long")
+    misses = texts.where(new)
+    if not known.where("again AND NOT stored").isEmpty():  # rows that repeat both doc_id and text: these alone are grouped
+        again = F.coalesce("again", F.lit(False))
+        misses = misses.where(~again).select("digest", "text").unionByName(misses.where(again).select("digest", "text").dropDuplicates(["digest"]))
+    misses = misses.select("digest", "text").mapInArrow(_counter(tokenizer), "digest string, n_tokens long")
     misses.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return rows.join(read_cache(docs, cache, version), "digest", "left").select("doc_id", "digest", "n_bytes", "n_tokens")
