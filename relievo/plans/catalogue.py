@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import clouds, matches, rasters
+from relievo.plans import clouds, matches, rasters, streams
 
-GROUPS = (rasters, clouds, matches)
+GROUPS = (rasters, clouds, matches, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
