@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         top = up.select(F.col("n").alias("k"), F.col("up").alias("top"))
         move = cut(up.join(top, F.col("up") == F.col("k")).select("n", "top"))
         to = lambda side: move.select(F.col("n").alias(f"n_{side}"), F.col("top").alias(f"to_{side}"))
-        found = cut(found.join(to("c"), F.col("component") == F.col("n_c"), "left").select("node", F.coalesce("to_c", "component").alias("component")))
+        found = found.join(to("c"), F.col("component") == F.col("n_c"), "left").select("node", F.coalesce("to_c", "component").alias("component"))
         moved = edges.join(to("a"), F.col("a") == F.col("n_a")).join(to("b"), F.col("b") == F.col("n_b"))
         edges = cut(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    return found
+    return cut(found)

@@ -215,10 +215,10 @@ SQL = {
       k AS (SELECT r, c, bin, CAST(greatest(0, least(floor(fy) + dy.range, 3)) AS INT) AS ty, CAST(greatest(0, least(floor(fx) + dx.range, 3)) AS INT) AS tx,
         (CASE WHEN dy.range = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN dx.range = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM p, range(2) dy, range(2) dx)
       SELECT r, c, round(sum(w * cdf) / sum(w), 6) AS val FROM k JOIN lut USING (ty, tx, bin) GROUP BY r, c""",
-    "resample_bilinear": _bilinear_sql("href", "range(56) a, range(52) b", "CAST(r * 0.75 - 1.1 AS DOUBLE)", "CAST(c * 0.8 - 0.33 AS DOUBLE)"),
+    "resample_bilinear": _bilinear_sql("href", "range(56) a, range(52) b", "(r * CAST('0.75' AS DOUBLE) - CAST('1.1' AS DOUBLE))", "(c * CAST('0.8' AS DOUBLE) - CAST('0.33' AS DOUBLE))"),
     "resample_nearest": f"""{with_sql("href")}, t AS (SELECT CAST(a.range AS INT) AS r, CAST(b.range AS INT) AS c FROM range(56) a, range(52) b)
-      SELECT t.r, t.c, round(s.val, 9) AS val FROM t LEFT JOIN href s ON s.r = ceil(CAST(t.r * 0.75 - 1.1 AS DOUBLE) - 0.5) AND s.c = ceil(CAST(t.c * 0.8 - 0.33 AS DOUBLE) - 0.5)""",
-    "resample_affine": _bilinear_sql("dref", "range(40) a, range(40) b", "CAST(r * 0.7 + c * 0.2 + 1.3 AS DOUBLE)", "CAST(c * 0.6 - r * 0.1 + 5.2 AS DOUBLE)"),
+      SELECT t.r, t.c, round(s.val, 9) AS val FROM t LEFT JOIN href s ON s.r = ceil((t.r * CAST('0.75' AS DOUBLE) - CAST('1.1' AS DOUBLE)) - 0.5) AND s.c = ceil((t.c * CAST('0.8' AS DOUBLE) - CAST('0.33' AS DOUBLE)) - 0.5)""",
+    "resample_affine": _bilinear_sql("dref", "range(40) a, range(40) b", "(r * CAST('0.7' AS DOUBLE) + c * CAST('0.2' AS DOUBLE) + CAST('1.3' AS DOUBLE))", "(c * CAST('0.6' AS DOUBLE) - r * CAST('0.1' AS DOUBLE) + CAST('5.2' AS DOUBLE))"),
     "pyramid_half": f"{with_sql('href')} SELECT CAST(floor(r / 2.0) AS INT) AS r, CAST(floor(c / 2.0) AS INT) AS c, round(avg(val), 4) AS val FROM href GROUP BY 1, 2",
     "merge_halves_coalesce": f"""{with_sql("img")}, a AS (SELECT r, c, CASE WHEN c < 40 THEN val ELSE 0 END AS a FROM img WHERE side = 'F'), b AS (SELECT r, c, val AS b FROM img WHERE side = 'O' AND c >= 30)
       SELECT r, c, round(coalesce(CASE WHEN a <> 0 THEN a END, b, a), 6) AS val FROM a FULL JOIN b USING (r, c)""",
