@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relievo.lineage import cut, shared, shared_folder
+
+__all__ = ["cut", "n_words", "shared", "shared_folder", "small", "text_of"]
+
 #: A word is a run of anything but these white-space characters.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Rows and bytes up to which a counted table may be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def text_of(name: str = "text") -> Column:
@@ -24,25 +25,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the checkpoint folder that all executors share."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a table for broadcast if its counted rows fit ``limit`` bytes; else it stays a shuffle join.
 

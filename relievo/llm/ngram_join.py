@@ -7,7 +7,7 @@
 2.  The others are put into classes of equal sets; one document stands for each.  Its
     shingles are ordered rare first, by how many sets hold them.
 3.  Sets that link share a shingle of their prefixes.  A list of the sets that have a
-    shingle in their prefix is not expanded into pairs: in a few rounds, two of its members
+    shingle in their prefix is not expanded into pairs: first two of its members
     meet all others that are not in their component yet.  Then only pairs of different
     components are left to be met, of which at least one lies outside the list's largest
     component.  So a list of thousands of near copies costs a few times its length in pairs.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relievo.llm.common import cut, small, text_of
-from relievo.llm.components import components
+from relievo.operators.graphs import components
 
 PARTS = 16
 PACK_HASHES, PACK_DOCS = 600_000, 60_000
@@ -248,13 +248,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut(met.select("a", "b", n.alias("n_a"), m.alias("n_b"), both.alias("both")).where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
-def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
+def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
     """node, component for the sets that link to others.
 
-    In a round two members of each list meet all that are in other components: first the one
-    with the fewest shingles of its own, the likeliest to be near all others, and then ones
-    drawn by a hash.  Lists that are inside one component are done.  After the rounds all
-    pairs of different components that have not met do so, so no link is lost.
+    In a round two members of each list meet all that are in other components: the one with
+    the fewest shingles of its own, the likeliest to be near all others, and one drawn by a
+    hash (in later rounds both).  Lists that are inside one component are done.  After the
+    rounds all pairs of different components that have not met do so, so no link is lost.
     """
     postings, links, tested, joined = cut(postings), None, None, None
 
@@ -271,7 +271,7 @@ def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: i
         return postings.drop("c").join(joined, F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid")).drop("node", "component")
 
     for k in range(rounds):
-        here = cut(placed())
+        here = placed() if k == 0 else cut(placed())
         drawn = F.xxhash64(F.lit(k), F.col("rid"))
         first = F.struct((F.col("rare") / F.col("n") if k == 0 else drawn).alias("key"), "rid", "n", "pos", "c")
         last = F.struct(drawn.alias("key"), "rid", "n", "pos", "c")
