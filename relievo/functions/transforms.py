@@ -110,3 +110,10 @@ def solver(x: Column, y: Column, z: Column, variables: dict[str, float], bounds:
     point = [p - F.lit(float(c + t)) for p, c, t in zip(point, centre, move, strict=True)]
     point = affine([[*col, 0.0] for col in zip(*r, strict=True)], *point)
     return tuple(p / F.lit(float(k)) + F.lit(float(c)) for p, k, c in zip(point, scale, centre, strict=True))
+
+
+def camera(k: Matrix, pose: Matrix, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Image coordinates of a point: K times the 3 x 4 pose, then the perspective division; points behind the camera are null."""
+    u, v, w = affine(multiply(k, pose), x, y, z)
+    front = w > 0
+    return F.when(front, u / w), F.when(front, v / w)

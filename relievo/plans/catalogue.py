@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import clouds, matches, rasters, streams
+from relievo.plans import clouds, matches, rasters, stages, streams
 
-GROUPS = (rasters, clouds, matches, streams)
+GROUPS = (rasters, clouds, matches, stages, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
