@@ -8,9 +8,10 @@ worker therefore keeps the ids of the pieces it has met, and encodes only new on
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -54,11 +55,10 @@ class ByteBpe:
     """
 
     def __init__(self, name: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(tokenizer_path(name))
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = tokenizer_path(name)
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.latin, self.odd = re.compile(LATIN_PIECES), re.compile(NOT_LATIN)
         import public_tokenizers
         import regex
@@ -73,6 +73,13 @@ class ByteBpe:
         else:
             self.pieces = _Pieces(lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own, loaded when first needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -119,6 +119,7 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
                     yield from flush()
                     pack, sets, rows, held = pack + 1, [], [], 0
         yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return run
 

@@ -150,6 +150,8 @@ def _packing(tokenizer: str, ranks: str | None, end_id: int, length: int, window
             packer.fill()
             packer.rest()
             yield flush()
+        docs.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return pack
 
