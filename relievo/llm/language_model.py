@@ -1,19 +1,20 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
-A state is a context of up to ``depth`` words.  Counting goes level by level over all
-training documents: words, then pairs of frequent words, then triples of frequent pairs.  A
-sequence is frequent if it is ``floor`` of all tokens or more, the tree's usual least
-probability; so no level has more than 1 / ``floor`` of them, whatever the corpus, and this
-bound is what lets the tree travel to all tasks.  Counts are taken per task, dealt by key
-range as sorted blobs, and added up there.
+A state is a context of up to ``depth`` words.  A sequence of words is in the tree if the
+training documents hold it ``LEAST`` times, at any size of the corpus.  Sequences go by 64-bit
+hashes; they are counted per task, dealt by key range as sorted blobs, and added up there, so
+the tree is a table that grows with the corpus and is never gathered in one place.
 
 A context stays as a state if its successors diverge from those of its longest suffix state:
 its count times the Kullback-Leibler divergence must exceed half the log of the corpus size
 per explicit successor.  A state gives a frequent successor its discounted share and passes
-the rest on to its suffix state; the root is the smoothed word distribution, in which rare
-words keep their exact counts.  Those are joined to the rare words of each document by a
-shuffle, since their number grows with the corpus.  Each word is scored by the longest
-suffix of its history that is a state.
+the rest on to its suffix state; the root is the smoothed word distribution.  Each word is
+scored by the longest suffix of its history that is a state.
+
+Such a score is a sum over the sequences of a document: every word adds its log share in the
+root, every state what it passes on, and every sequence after a state the difference to that.
+So a document's different sequences meet the tree's weights by a shuffle of sorted blobs, and
+the sums of each range of keys are added up per document.
 
 Defined cases: null text is only its end; a null doc_id counts as an empty one when the fold
 is chosen, so it is held out; repeated rows each count and are scored; without training
@@ -27,21 +28,22 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from relievo.llm.common import cut, text_of
+from relievo.llm.common import cut, shared_folder, text_of
 
 END = b"\n"  # no word holds a line end
 DISCOUNT = 0.5
-#: Different words and counted sequences that a task holds before it passes them on.
-MOST_WORDS, MOST_KEYS = 500_000, 4_000_000
+#: How often the training documents hold a sequence of the tree.
+LEAST = 2
+#: Different words and words in a row that a task holds before it passes them on, and documents of a chunk (their numbers take two bytes).
+MOST_WORDS, MOST_TOKENS, MOST_DOCUMENTS = 500_000, 2_000_000, 60_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -55,6 +57,9 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+# The tree of a small corpus on one machine, to which the tests hold the tables.
+
+
 @dataclass
 class Level:
     """Frequent sequences of one more word than ``depth`` of their context: key = context * width + word, sorted."""
@@ -91,51 +96,110 @@ def _index(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _chain(tree: Tree, ids: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: the context before each word (-1: not frequent), and the key of context and word."""
-    last = ids
-    for d in range(levels + 1):
-        before = np.concatenate([np.full(1, -1, dtype=np.int64), last[:-1]])
-        both = (before >= 0) & (ids >= 0)
-        key = np.where(both, before * tree.width + ids, -1)
-        yield before, key, both
-        if d < levels:
-            last = np.where(both, _index(tree.levels[d].keys, key), -1)
+def _passed_on(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of ``word`` after the states that are suffixes of ``context``, a sequence of ``depth`` words, without itself."""
+    value = tree.root()[word]
+    suffix = _suffixes(tree, depth)
+    chain = []
+    for d in range(depth - 1, 0, -1):
+        context = suffix[d + 1][context]
+        chain.append((d, context))
+    for d, at in reversed(chain):
+        level = tree.levels[d - 1]
+        k = _index(level.keys, at * tree.width + word)
+        value = np.where(level.state[at], np.where(k >= 0, level.log_p[k], level.log_rest[at] + value), value)
+    return value
 
 
-_at_hand: dict[int, tuple[Tree, dict[bytes, int]]] = {}
+def _suffixes(tree: Tree, depth: int) -> dict[int, np.ndarray]:
+    """For sequences of d words, the place of their last d - 1 words."""
+    found = {1: np.zeros(len(tree.words), dtype=np.int64)}
+    for d in range(2, depth + 1):
+        keys = tree.levels[d - 2].keys
+        head, word = keys // tree.width, keys % tree.width
+        found[d] = word if d == 2 else _index(tree.levels[d - 3].keys, found[d - 1][head] * tree.width + word)
+    return found
 
 
-def _tree(shared) -> tuple[Tree, dict[bytes, int]]:
-    """The broadcast tree and its word numbers, once per worker."""
-    if shared.id not in _at_hand:
-        _at_hand.clear()
-        tree = shared.value
-        _at_hand[shared.id] = tree, {w: k for k, w in enumerate(tree.words)}
-    return _at_hand[shared.id]
+def add_level(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Tests the contexts of the counted sequences and smooths those that stay."""
+    depth = len(tree.levels) + 1
+    context, word = keys // tree.width, keys % tree.width
+    seen = tree.counts if depth == 1 else tree.levels[-1].counts
+    n = len(seen)
+    p, log_q = counts / seen[context], _passed_on(tree, context, word, depth)
+    q = 10**log_q
+    rest_p = np.clip(1 - np.bincount(context, p, n), 0, 1)
+    rest_q = np.clip(1 - np.bincount(context, q, n), 1e-12, 1)
+    divergence = np.bincount(context, p * np.log(p / q), n) + np.where(rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-12) / rest_q), 0)
+    explicit = np.bincount(context, minlength=n)
+    state = (explicit > 0) & (seen * divergence > 0.5 * math.log(max(tree.total, 2)) * explicit)
+    share = (counts - DISCOUNT) / seen[context]
+    rest = 1 - np.bincount(context, share, n)
+    level = Level(keys, counts, np.log10(share + rest[context] * q), state, np.log10(np.maximum(rest, 1e-12)))
+    tree.levels.append(level)
 
 
-class _Shared:
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+# The tree as tables.
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
 
-    @property
-    def value(self) -> Tree:
-        return self.broadcast.value
+class _Hashes(dict):
+    """64-bit hashes of words, kept for the words of a task."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[word] = found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
+def _joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of a sequence from the keys of all but its last and all but its first word."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + (suffix ^ (suffix >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
 
+def _sequences(words: np.ndarray, document: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For sequences of 2 words up to one more than ``depth``: key, context, suffix and document."""
+    keys = words
+    for d in range(1, depth + 1):
+        context, suffix = keys[:-1], keys[1:]
+        keys = _joined(context, suffix)
+        inside = document[: len(keys)] == document[d:]
+        yield keys[inside], context[inside], suffix[inside], document[: len(keys)][inside]
 
-def _ids(number: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Ranges of keys; ``_slot_of`` is the same for a column."""
+    return ((keys >> np.uint64(40)).astype(np.int64) * slots) >> 24
+
+
+def _slot_of(key: Column, slots: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 40) * F.lit(slots).cast("long"), 24)
+
+
+def _spans(slot: np.ndarray, slots: int) -> list[tuple[int, int, int]]:
+    """(slot, from, to) of sorted slots."""
+    ends = np.cumsum(np.bincount(slot, minlength=slots)).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps: small numbers, which the shuffle's compression shortens."""
+    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+
+
+def _keys(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, dtype="<u8"), dtype=np.uint64)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.int64())], ["word", "n"])
+        keys = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in counter], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counter.values(), pa.int64())], ["key", "n"])
 
     for batch in batches:
         for text in batch.column("text"):
@@ -146,172 +210,235 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_sequences(shared: _Shared, slots: int) -> Callable:
-    """Blobs of (key, count) of sequences one longer than the tree has, by slot."""
+def _count_sequences(depth: int, slots: int) -> Callable:
+    """Blobs of (context, suffix, count), sorted by context, by slot and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, number = _tree(shared)
-        held, size = [], 0
+        hashes, held, lengths = _Hashes(), [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            slot = keys % slots
-            order = np.argsort(slot, kind="stable")
-            keys, counts = keys[order], counts[order].astype("<u4")
-            ends = np.cumsum(np.bincount(slot, minlength=slots)).tolist()
-            spans = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
-            for at in range(0, len(spans), 256):
-                some = spans[at : at + 256]
-                # sorted keys as steps: small numbers, which the shuffle's compression shortens
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int64()), pa.array([np.diff(keys[a:b], prepend=0).astype("<i8").tobytes() for _, a, b in some], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in some], pa.binary())], ["slot", "steps", "counts"])
+            document = np.repeat(np.arange(len(lengths)), lengths)
+            for level, (keys, context, suffix, _) in enumerate(_sequences(np.concatenate(held), document, depth)):
+                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                context, suffix, slot = context[first], suffix[first], _slots(keys, slots)
+                order = np.lexsort([context, slot])
+                context, suffix, counts = context[order], suffix[order], counts[order].astype("<u4")
+                spans = _spans(slot, slots)
+                for at in range(0, len(spans), 256):
+                    some = spans[at : at + 256]
+                    columns = [pa.array([k * depth + level for k, _, _ in some], pa.int64()), *(pa.array([f(x[a:b]) for _, a, b in some], pa.binary()) for f, x in ((_steps, context), (np.ndarray.tobytes, suffix), (np.ndarray.tobytes, counts)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "context", "suffix", "counts"])
 
         for batch in batches:
             for text in batch.column("text"):
-                ids = _ids(number, tokens(text.as_py()))
-                *_, (_, key, both) = _chain(tree, ids, len(tree.levels))
-                held.append(key[both])
-                size += len(held[-1])
-                if size >= MOST_KEYS:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
+                words = tokens(text.as_py())
+                held.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+                lengths.append(len(words))
+            if sum(lengths) >= MOST_TOKENS:
+                yield from flush()
+                held, lengths = [], []
+        if held:
             yield from flush()
 
     return run
 
 
-def _add_sequences(least: int) -> Callable:
+def _add_sequences(depth: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(steps: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-            keys = np.concatenate([np.cumsum(np.frombuffer(s, dtype="<i8")) for s in steps])
-            keys, inverse = np.unique(keys, return_inverse=True)
-            sums = np.bincount(inverse, weights=np.frombuffer(b"".join(counts), dtype="<u4")).astype(np.int64)
+        def total(slot: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            context, suffix = np.concatenate([_keys(c) for c, _, _ in held]), np.frombuffer(b"".join(s for _, s, _ in held), dtype="<u8")
+            keys, first, inverse = np.unique(_joined(context, suffix), return_index=True, return_inverse=True)
+            sums = np.bincount(inverse, weights=np.frombuffer(b"".join(n for _, _, n in held), dtype="<u4")).astype(np.int64)
             often = sums >= least
-            return pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(sums[often])], ["key", "n"])
+            keys, first, sums = keys[often], first[often], sums[often]
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), slot % depth, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[first], suffix[first])), pa.array(sums)], ["level", "key", "context", "suffix", "n"])
 
-        slot, steps, counts = None, [], []
+        slot, held = None, []
         for batch in batches:
-            for k, s, c in zip(*(batch.column(x).to_pylist() for x in ("slot", "steps", "counts")), strict=True):
-                if k != slot and steps:
-                    yield total(steps, counts)
-                    steps, counts = [], []
+            for k, *blobs in zip(*(batch.column(x).to_pylist() for x in ("slot", "context", "suffix", "counts")), strict=True):
+                if k != slot and held:
+                    yield from total(slot, held)
+                    held = []
                 slot = k
-                steps.append(s)
-                counts.append(c)
-        if steps:
-            yield total(steps, counts)
+                held.append(blobs)
+        if held:
+            yield from total(slot, held)
 
     return run
 
 
-def _passed_on(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of ``word`` after the states that are suffixes of ``context``, a sequence of ``depth`` words, without itself."""
-    value = tree.root()[word]
-    suffix = _suffixes(tree, depth)
-    chain = []
-    for d in range(depth - 1, 0, -1):
-        context = suffix[d + 1][context]
-        chain.append((d, context))
-    for d, at in reversed(chain):
-        level = tree.levels[d - 1]
-        k = _index(level.keys, at * tree.width + word)
-        value = np.where(level.state[at], np.where(k >= 0, level.log_p[k], level.log_rest[at] + value), value)
-    return value
-
-
-def _suffixes(tree: Tree, depth: int) -> dict[int, np.ndarray]:
-    """For sequences of d words, the place of their last d - 1 words."""
-    found = {1: np.zeros(len(tree.words), dtype=np.int64)}
-    for d in range(2, depth + 1):
-        keys = tree.levels[d - 2].keys
-        head, word = keys // tree.width, keys % tree.width
-        found[d] = word if d == 2 else _index(tree.levels[d - 3].keys, found[d - 1][head] * tree.width + word)
-    return found
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows in columns in the shared folder, smaller than a checkpoint; what the shuffles before left can go."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def add_level(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Tests the contexts of the counted sequences and smooths those that stay."""
-    depth = len(tree.levels) + 1
-    context, word = keys // tree.width, keys % tree.width
-    seen = tree.counts if depth == 1 else tree.levels[-1].counts
-    n = len(seen)
-    p, log_q = counts / seen[context], _passed_on(tree, context, word, depth)
-    q = 10**log_q
-    rest_p = np.clip(1 - np.bincount(context, p, n), 0, 1)
-    rest_q = np.clip(1 - np.bincount(context, q, n), 1e-12, 1)
-    divergence = np.bincount(context, p * np.log(p / q), n) + np.where(rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-12) / rest_q), 0)
-    explicit = np.bincount(context, minlength=n)
-    state = (explicit > 0) & (seen * divergence > 0.5 * math.log(max(tree.total, 2)) * explicit)
-    share = (counts - DISCOUNT) / seen[context]
-    rest = 1 - np.bincount(context, share, n)
-    level = Level(keys, counts, np.log10(share + rest[context] * q), state, np.log10(np.maximum(rest, 1e-12)))
-    tree.levels.append(level)
-
-
-def train(docs: DataFrame, depth: int = 2, floor: float = 2.0**-20) -> tuple[Tree, DataFrame]:
-    """The tree, and (word, n) of all training words."""
+def train(docs: DataFrame, depth: int = 2, least: int = LEAST) -> tuple[DataFrame, int, int]:
+    """(key, weight, base, known) whose sums over a document's sequences are its score and base score above those of unknown words; tokens and different words."""
     spark = docs.sparkSession
     texts = docs.where(~held_out()).select(text_of().alias("text"))
-    words = cut(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = cut(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(2, math.ceil(total * floor))
-    often = words.where(F.col("n") >= least).toArrow()  # at most 1 / floor rows
-    tree = Tree([bytes(w) for w in often["word"].to_pylist()], often["n"].to_numpy().astype(np.int64), total, vocabulary)
-    order = np.lexsort([-tree.counts])
-    tree.words, tree.counts = [tree.words[k] for k in order], tree.counts[order]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(depth):
-        shared = _Shared(spark.sparkContext.broadcast(tree))
-        blobs = texts.mapInArrow(_count_sequences(shared, 8 * partitions), "slot long, steps binary, counts binary")
-        summed = blobs.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(_add_sequences(least), "key long, n long")
-        found = summed.toArrow()  # at most 1 / floor rows
-        keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
-        order = np.argsort(keys)
-        add_level(tree, keys[order], counts[order])
-        shared.broadcast.unpersist()
-    return tree, words
-
-
-def _score(shared: _Shared, id_type: pa.DataType) -> Callable:
+    blobs = texts.mapInArrow(_count_sequences(depth, 8 * partitions), "slot long, context binary, suffix binary, counts binary")
+    summed = blobs.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(_add_sequences(depth, least), "level int, key long, context long, suffix long, n long")
+    counted = _stored(summed, "sequences")
+    root = F.log10((F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1)))
+    shorter = words.select("key", "n", root.alias("v"))
+    above = F.log10((F.col("n") + 0.1) / 0.1)
+    weights = words.select("key", above.alias("weight"), above.alias("base"), F.lit(1).alias("known"))
+    none = (F.lit(0.0).alias("base"), F.lit(0).alias("known"))
+    for level in range(depth):
+        found = counted.where(F.col("level") == level).drop("level").join(shorter.select(F.col("key").alias("suffix"), F.col("v").alias("log_q")), "suffix").drop("suffix")
+        found = found.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context")
+        p, q, share = F.col("n") / F.col("seen"), F.pow(F.lit(10.0), "log_q"), (F.col("n") - DISCOUNT) / F.col("seen")
+        sums = found.groupBy("context", "seen").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.count("*").alias("explicit"), F.sum(share).alias("share"))
+        rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("p")), F.greatest(F.lit(1e-12), 1 - F.col("q"))
+        divergence = F.col("d") + F.when(rest_p > 0, rest_p * F.log(F.greatest(rest_p, F.lit(1e-12)) / rest_q)).otherwise(0.0)
+        is_state = F.col("seen") * divergence > 0.5 * math.log(max(total, 2)) * F.col("explicit")
+        states = _stored(sums.where(is_state).select("context", F.log10(F.greatest(1 - F.col("share"), F.lit(1e-12))).alias("log_rest")), "states")
+        passed = F.log10(share + F.pow(F.lit(10.0), "log_rest") * q)
+        found = found.join(states, "context", "left").select("key", "n", F.coalesce(passed, "log_q").alias("v"), F.coalesce(passed - F.col("log_q") - F.col("log_rest"), F.lit(0.0)).alias("weight"))
+        shorter = _stored(found, "level")
+        weights = weights.unionByName(shorter.where("weight <> 0").select("key", "weight", *none)).unionByName(states.select(F.col("context").alias("key"), F.col("log_rest").alias("weight"), *none))
+    return weights, total, vocabulary
+
+
+def _document_blobs(depth: int, slots: int, kind: pa.DataType) -> Callable:
+    """A chunk's documents as a row of kind 2, and its sequences as blobs of kind 1 by slot: key, how many occurrences, the document of each."""
+    names = ["slot", "kind", "chunk", "keys", "times", "docs", "doc_ids", "held", "lengths"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, number = _tree(shared)
-        root = np.append(tree.root(), 0.0)  # the last, which -1 picks, for rare words: they are added later
-        row = TaskContext.get().partitionId() << 33
-        rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+        hashes, chunk = _Hashes(), TaskContext.get().partitionId() << 33
+        held, lengths, doc_ids, folds = [], [], [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            document = np.repeat(np.arange(len(lengths), dtype="<u2"), lengths)
+            words = np.concatenate(held)
+            parts = [(words, document), *((keys, where) for keys, _, _, where in _sequences(words, document, depth))]
+            keys, where = np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts])
+            order = np.argsort(keys, kind="stable")
+            where = where[order]
+            keys, times = np.unique(keys, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(times)])
+            times = times.astype("<u4")
+            spans = _spans(_slots(keys, slots), slots)
+            rows = [(chunk % slots, 2, chunk, None, None, None, doc_ids, folds, lengths)]
+            rows += [(k, 1, chunk, _steps(keys[a:b]), times[a:b].tobytes(), where[ends[a] : ends[b]].tobytes(), None, None, None) for k, a, b in spans]
+            for at in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            rows, base, score, n, known, rare = [], [], [], [], [], []
-            for text in batch.column("text"):
+            for doc_id, fold, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
                 words = tokens(text.as_py())
-                ids = _ids(number, words)
-                value = flat = root[ids]
-                for level, (before, key, _) in zip(tree.levels, _chain(tree, ids, len(tree.levels) - 1), strict=True):
-                    at = _index(level.keys, key)
-                    after = np.where(at >= 0, level.log_p[at] if len(level.log_p) else 0.0, (level.log_rest[before] if len(level.log_rest) else 0.0) + value)
-                    value = np.where((before >= 0) & (level.state[before] if len(level.state) else False), after, value)
-                rows.append(row)
-                row += 1
-                base.append(flat.sum())
-                score.append(value.sum())
-                n.append(len(words))
-                known.append(int((ids >= 0).sum()))
-                rare.append([{"word": w, "times": c} for w, c in Counter(words[k] for k in np.flatnonzero(ids < 0)).items()])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, rare_kind)], ["row", "doc_id", "held_out", "n_tokens", "often", "base", "tree", "rare"])
+                held.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+                lengths.append(len(words))
+                doc_ids.append(doc_id)
+                folds.append(fold)
+                if len(lengths) >= MOST_DOCUMENTS:
+                    yield from flush()
+                    chunk, held, lengths, doc_ids, folds = chunk + 1, [], [], [], []
+            if sum(lengths) >= MOST_TOKENS:
+                yield from flush()
+                chunk, held, lengths, doc_ids, folds = chunk + 1, [], [], [], []
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _weigh(kind: pa.DataType) -> Callable:
+    """The sums of a partition's weights per document, chunk by chunk; rows of weights come first, then blobs sorted by chunk."""
+    names, kinds = ["chunk", "sums", "doc_ids", "held", "lengths"], [pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table = [], None
+        chunk, sums = None, np.zeros((3, 0))
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+
+        for batch in batches:
+            kinds_here = batch.column("kind").to_numpy()
+            n = int(np.searchsorted(kinds_here, 1))
+            if n:
+                held.append([batch.column(x).slice(0, n).to_numpy(zero_copy_only=False) for x in ("key", "weight", "base", "known")])
+            if n == len(kinds_here):
+                continue
+            if table is None:
+                keys, weights = np.zeros(0, np.uint64), np.zeros((3, 0))
+                if held:
+                    keys, inverse = np.unique(np.concatenate([h[0] for h in held]).view(np.uint64), return_inverse=True)
+                    weights = np.stack([np.bincount(inverse, np.concatenate([h[k] for h in held])) for k in (1, 2, 3)])
+                table, held = (keys, np.concatenate([weights, np.zeros((3, 1))], axis=1)), []
+            rest = batch.slice(n)
+            for what, at, keys, times, docs, *info in zip(*(rest.column(x).to_pylist() for x in ("kind", "chunk", "keys", "times", "docs", "doc_ids", "held", "lengths")), strict=True):
+                if what == 2:
+                    yield row(at, None, *info)
+                    continue
+                if at != chunk:
+                    if chunk is not None:
+                        yield row(chunk, sums.tobytes(), None, None, None)
+                    chunk, sums = at, np.zeros((3, 0))
+                where = np.frombuffer(docs, dtype="<u2")
+                place = np.repeat(_index(table[0], _keys(keys)), np.frombuffer(times, dtype="<u4"))
+                hit = place >= 0
+                where, place = where[hit], place[hit]
+                found = np.stack([np.bincount(where, table[1][k][place], sums.shape[1]).astype(float) for k in range(3)])
+                found[:, : sums.shape[1]] += sums
+                sums = found
+        if chunk is not None:
+            yield row(chunk, sums.tobytes(), None, None, None)
+
+    return run
+
+
+def _add_up(kind: pa.DataType) -> Callable:
+    """Rows of a chunk, sorted by chunk, become rows of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(info: list, held: list[bytes]) -> pa.RecordBatch:
+            doc_ids, folds, lengths = info
+            sums = np.zeros((3, len(lengths)))
+            for blob in held:
+                part = np.frombuffer(blob).reshape(3, -1)
+                sums[:, : part.shape[1]] += part
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, kind), pa.array(folds, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "base", "weight"])
+
+        chunk, info, held = None, None, []
+        for batch in batches:
+            for at, blob, *more in zip(*(batch.column(x).to_pylist() for x in ("chunk", "sums", "doc_ids", "held", "lengths")), strict=True):
+                if at != chunk:
+                    if chunk is not None:
+                        yield rows(info, held)
+                    chunk, info, held = at, None, []
+                if blob is None:
+                    info = more
+                else:
+                    held.append(blob)
+        if chunk is not None:
+            yield rows(info, held)
 
     return run
 
 
-def score_documents(docs: DataFrame, depth: int = 2, floor: float = 2.0**-20) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
-    tree, words = train(docs, depth, floor)
+    weights, total, vocabulary = train(docs, depth, least)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = 8 * partitions
     rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    kind = T.StructType.fromDDL("row long, doc_id long, held_out boolean, n_tokens long, often long, base double, tree double, rare array<struct<word:binary,times:long>>")
-    kind["doc_id"].dataType = rows.schema["doc_id"].dataType
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(tree))
-    scored = cut(rows.mapInArrow(_score(shared, None), kind))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    floor_of = F.lit(tree.total + 0.1 * (tree.vocabulary + 1))
-    counted = rare.join(words, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    added = counted.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / floor_of)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    found = scored.drop("rare").join(added.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return found.select("doc_id", "held_out", "n_tokens", (F.col("often") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("tree") + more).alias("score"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    kind = rows.limit(0).toArrow().schema.field("doc_id").type
+    info = f"doc_ids array<{id_type}>, held array<boolean>, lengths array<long>"
+    blobs = rows.mapInArrow(_document_blobs(depth, slots, kind), f"slot long, kind int, chunk long, keys binary, times binary, docs binary, {info}")
+    both = weights.select(_slot_of(F.col("key"), slots).alias("slot"), F.lit(0).alias("kind"), "*").unionByName(blobs, allowMissingColumns=True)
+    sums = both.repartition(partitions, "slot").sortWithinPartitions("kind", "chunk").mapInArrow(_weigh(kind), f"chunk long, sums binary, {info}")
+    found = sums.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(_add_up(kind), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, weight double")
+    unknown = F.col("n_tokens") * math.log10(0.1 / (total + 0.1 * (vocabulary + 1)))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("weight") + unknown).alias("score"))

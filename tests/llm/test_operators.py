@@ -109,6 +109,51 @@ def test_states_are_distributions():
         assert total + 10 ** level.log_rest[s] * unseen == pytest.approx(1)
 
 
+def one_machine(table, depth=2):
+    """The scores by a tree in memory."""
+    docs = [([*(w.encode().lower() for w in words(t)), b"\n"], zlib.crc32(str(i).encode()) % 10 == 0) for i, t in table]
+    n = collections.Counter(w for t, out in docs if not out for w in t)
+    names = sorted(w for w in n if n[w] >= 2)
+    number = {w: k for k, w in enumerate(names)}
+    tree = language_model.Tree(names, np.array([n[w] for w in names]), sum(n.values()), len(n))
+    place, floor = [{(k,): k for k in range(len(names))}], tree.total + 0.1 * (tree.vocabulary + 1)
+    for d in range(1, depth + 1):
+        ids = [[number.get(w, -1) for w in t] for t, out in docs if not out]
+        seen = collections.Counter(g for t in ids for k in range(len(t) - d) if -1 not in (g := tuple(t[k : k + d + 1])))
+        found = sorted((place[-1][g[:-1]] * tree.width + g[-1], m, g) for g, m in seen.items() if m >= 2)
+        language_model.add_level(tree, np.array([k for k, _, _ in found]), np.array([m for _, m, _ in found]))
+        place.append({g: k for k, (_, _, g) in enumerate(found)})
+    scores = []
+    for t, _ in docs:
+        ids, score = [number.get(w, -1) for w in t], 0.0
+        for k, w in enumerate(t):
+            value = math.log10((n[w] + 0.1) / floor)
+            for d, level in enumerate(tree.levels, 1):
+                context = place[d - 1].get(tuple(ids[k - d : k])) if k >= d else None
+                if context is not None and level.state[context]:
+                    at = place[d].get((*ids[k - d : k], ids[k]))
+                    value = level.log_p[at] if at is not None else level.log_rest[context] + value
+            score += value
+        scores.append(score)
+    return scores
+
+
+def test_tables_score_like_the_tree_in_memory(spark):
+    rng = np.random.default_rng(5)
+    table = [(i, " ".join(f"w{k}" for k in (rng.zipf(1.4, 60) % 40).tolist()) + (" always the same end" if i % 3 else f" once{i}")) for i in range(80)]
+    got = {r.doc_id: r for r in language_model.score_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i].score for i, _ in table] == pytest.approx(one_machine(table))
+    assert any(abs(r.score - r.base_score) > 1 for r in got.values())
+
+
+def test_a_context_stays_whatever_the_corpus_holds(spark):
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(60, 200) if not zlib.crc32(str(i).encode()) % 10)
+    table = [*((i, "filler " * 70_000) for i in train[:48]), *((i, "rarely seen phrase") for i in train[48:51]), (held, "rarely seen phrase")]
+    got = language_model.score_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).where(F.col("doc_id") == held).first()
+    assert got.train_tokens > 3 * 2**20 and got.score > got.base_score + 5  # 2**-20 of the tokens is more than 3
+
+
 def test_token_counts(spark, docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     cache = shared_folder(spark, "cache")
