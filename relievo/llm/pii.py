@@ -6,7 +6,7 @@ become ASCII, spelled digits become digits, at/dot disguises become ``@`` and ``
 transducer keeps, for every character it puts out, the source span it stands for, and
 transducers compose by composing these spans.  What the base expressions find in the
 rewritten stretch is mapped back; it counts if the source differs from what was found and no
-base span of that kind overlaps it.
+base span of that kind covers all of it.
 
 A text is read once where it lies; nothing is shuffled.
 
@@ -172,7 +172,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         tape = undisguise(Tape(text[lo:hi], lo))
         for a, kind, b in base_spans(tape.text):
             start, end = tape.starts[a], tape.ends[b - 1]
-            if text[start:end] != tape.text[a:b] and not any(k == kind and s < end and start < e for s, k, e in base):
+            if text[start:end] != tape.text[a:b] and not any(k == kind and s <= start and end <= e for s, k, e in base):
                 found.append((start, kind, end))
     return found
 

@@ -202,6 +202,12 @@ def test_disguises(text, kind, hidden):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.added_spans(text, pii.base_spans(text))] == ([(kind, hidden)] if kind else [])
 
 
+@pytest.mark.parametrize("hidden", ["j\u043ehn@example.com", "john@ex\u0430mple.com", "john@example.c\u043em", "jo\u200bhn@example.com", "john@exam\u00adple.com", "john@example.c\u200dom", "\uff4aohn@example.com"])
+def test_a_part_in_clear_does_not_hide_the_whole(hidden):
+    text = f"write {hidden} now"
+    assert ("email", hidden) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.added_spans(text, pii.base_spans(text))]
+
+
 def test_packing_is_whole(docs, empty):
     bpe = encoding.encoder("byte_bpe_50k.json")
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
