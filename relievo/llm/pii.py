@@ -40,9 +40,34 @@ LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝ
 #: Soft hyphen, zero-width space and joiners, word joiner, byte order mark.
 INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 FULL_WIDTH = (chr(0xFF01), chr(0xFF5E))
-GREEK_CYRILLIC = (chr(0x370), chr(0x52F))
-#: Last labels after which a spoken address counts as one.
+DASHES = "".join(map(chr, (*range(0x2010, 0x2016), 0x2212, 0xFE58, 0xFE63)))
+SPACES = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+
+
+def _plain_forms() -> dict[str, str]:
+    """Every character beyond ASCII that stands for one of ASCII: digits of all scripts, and what compatibility forms make one character of an address."""
+    found = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        to, digit = unicodedata.normalize("NFKC", c), unicodedata.decimal(c, None)
+        if digit is not None:
+            found[c] = str(digit)
+        elif len(to) == 1 and to.isascii() and (to.isalnum() or to in "@._%+-" or FULL_WIDTH[0] <= c <= FULL_WIDTH[1]):
+            found[c] = to
+    return found | LOOKALIKES | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(DASHES, "-") | dict.fromkeys(SPACES, " ")
+
+
+PLAIN = _plain_forms()
+#: Last labels after which an address with a spoken dot counts as one, whatever is before it.
 LAST_LABELS = "com|org|net|edu|gov|info|io|co|eu|uk|us|de|fr|es|it|ch|nl|be|at"
+#: Words of prose, which are no user or host before or after a spoken at, nor a last label; ends of file names.
+PROSE = frozenset(
+    """a about access again age all also am an and any anyone are as at available back bad based be been begin best better both but buy by call came check click come contact directly do down each early email end ends even event events ever
+    every everyone find first for found free from get give go good great had has have he held help her here him his home host hosted how i if in info information into is it its join just know last late later least less like link listed live
+    located look looked looking looks me meet meeting more most my night no not now of off on once one online only or order other our out over page please posted present published read register registered school see seen she shop sign site
+    so some start started starts stay still stop store that the their them then there these they this those time to today together try two up us use very video view visit was watch we website well were what when where which who will with work
+    working works would write writing yes you your""".split()
+)
+FILE_ENDS = frozenset("asp aspx avi bat bin bmp cfg class conf cpp css csv dat dll doc docx exe gif gz htm html ini jar java jpeg jpg js json jsp log md mov mp ogg pdf php png ppt pptx psd py rar rb rtf sql svg swf tar tgz tif tiff txt wav wmv xls xlsx xml yaml yml zip".split())
 #: Spelled digits.
 SPELLED = {
     "zero": "0", "oh": "0", "null": "0", "cero": "0", "zéro": "0", "one": "1", "eins": "1", "un": "1", "uno": "1", "two": "2", "zwei": "2", "deux": "2", "dos": "2",
@@ -54,9 +79,16 @@ _RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ \t-]*)?(?:{_WORD}|[0-9]+)(?:(?:[ \t]
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|dot|punkt|point|punto|[0-9]+)){{3,}}(?!\w)", re.I)
 _PART = re.compile(rf"(?P<digit>{_WORD})(?!\w)|(?P<dot>dot|punkt|point|punto)|(?P<plus>plus)|(?P<number>[0-9]+)|(?P<gap>[ \t,-]+)|.", re.I)
 _BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(?:(?P<at>at|@)|(?P<dot>dot|punkt|point|punto|\.))[ \t]*[\])}>][ \t]*", re.I)
-_PLAIN = re.compile(rf"(?<![\w@.])(?P<user>[\w%+-]+(?:(?: dot |\.)[\w%+-]+)*)(?: at |@)(?P<host>[\w-]+(?:\.[\w-]+)*)(?: dot [\w-]+)* dot (?:{LAST_LABELS})(?![\w@-])", re.I)
+_PLAIN = re.compile(r"(?<![\w@.])(?P<user>[\w%+-]+(?:(?: dot |\.)[\w%+-]+)*)(?P<at> at |@)(?P<host>[\w-]+(?:(?: dot |\.)[\w-]+)*)(?P<sep> dot |\.)(?P<label>[a-z]{2,24})(?![\w@-])(?!\.\w)(?! at )", re.I)
+_KNOWN = frozenset(LAST_LABELS.split("|"))
+#: A spoken at before a real dot, in lower case: so the literal prefix is found fast.
+_HALF = re.compile(r" at [\w-]+(?:(?: dot |\.)[\w-]+)*\.[a-z]{2}")
 _SPACED = re.compile(r" (?P<at>at) | (?P<dot>dot) ", re.I)
-_ODD = re.compile(f"[{INVISIBLE}{GREEK_CYRILLIC[0]}-{GREEK_CYRILLIC[1]}{FULL_WIDTH[0]}-{FULL_WIDTH[1]}]")
+#: Characters of ``PLAIN``, and all of the plane beyond 16 bits: one range is matched much faster than a thousand characters.
+_ODD = re.compile(f"[{''.join(re.escape(c) for c in PLAIN if c <= chr(0xFFFF))}{chr(0x10000)}-{chr(0x1FFFF)}]")
+#: Dashes and blanks are signs of a disguise only before a digit or a spoken at or dot.
+_LOOSE = frozenset(DASHES + SPACES)
+_JOINED = re.compile(r"\w.(?:[0-9]|at\b|dot\b)", re.I)
 _BEFORE, _AFTER = 160, 160
 
 
@@ -113,9 +145,7 @@ class Tape:
 
 
 def _plain_character(m: re.Match[str]) -> list[tuple[int, int, str]]:
-    c = m[0]
-    to = "" if c in INVISIBLE else LOOKALIKES.get(c) or (unicodedata.normalize("NFKC", c) if FULL_WIDTH[0] <= c <= FULL_WIDTH[1] else c)
-    return [(m.start(), m.end(), to)]
+    return [(m.start(), m.end(), PLAIN.get(m[0], m[0]))]
 
 
 def _digits(m: re.Match[str]) -> list[tuple[int, int, str]]:
@@ -133,7 +163,19 @@ def _signs(m: re.Match[str]) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m["at"] else ".")]
 
 
+def _is_address(m: re.Match[str]) -> bool:
+    """Not prose like 'look at example.com' or 'at the dot on it'."""
+    label, user, host = m["label"].lower(), re.split(r" dot |\.", m["user"].lower())[-1], re.split(r" dot |\.", m["host"].lower())
+    if m["sep"] == " dot " and label in _KNOWN:
+        return True
+    if label in PROSE - _KNOWN:
+        return False
+    return m["at"] == "@" or not (user in PROSE or host[0] in PROSE or host[0] == "www" or label in FILE_ENDS or m["sep"] == "." and m["label"].istitle())
+
+
 def _spoken(m: re.Match[str]) -> list[tuple[int, int, str]]:
+    if not _is_address(m):
+        return []
     return [(m.start() + p.start(), m.start() + p.end(), "@" if p["at"] else ".") for p in _SPACED.finditer(m[0])]
 
 
@@ -149,11 +191,13 @@ def undisguise(tape: Tape) -> Tape:
 def _stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around signs of a disguise, ends at blanks."""
     low = text.lower() if len(text.lower()) == len(text) else text
-    hits = [m.span() for m in _ODD.finditer(text)] if not text.isascii() else []
+    hits = [m.span() for m in _ODD.finditer(text) if m[0] in PLAIN and m[0] not in _LOOSE or m[0] in _LOOSE and m.start() and _JOINED.match(text, m.start() - 1)] if not text.isascii() else []
     if any(b in text for b in "[({<"):
         hits += [m.span() for m in _BRACKETED.finditer(text)]
     if " dot " in low:
         hits += [m.span() for m in re.finditer(" dot ", low)]
+    if " at " in low:
+        hits += [m.span() for m in _HALF.finditer(low)]
     hits += [m.span() for m in _SPELLED_RUN.finditer(text)]
     joined: list[list[int]] = []
     for a, b in sorted(hits):

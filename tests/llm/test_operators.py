@@ -208,6 +208,20 @@ def test_a_part_in_clear_does_not_hide_the_whole(hidden):
     assert ("email", hidden) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.added_spans(text, pii.base_spans(text))]
 
 
+@pytest.mark.parametrize("hidden, kind", [
+    ("john at example.com", "email"), ("john at example [dot] com", "email"), ("john at example dot ai", "email"), ("john at example dot dev", "email"), ("john at example dot co dot jp", "email"), ("john at example dot ac dot nz", "email"),
+    ("\U0001d423ohn@example.com", "email"), ("\u0664111-1111-1111-1111", "card"), ("4111\u20111111\u20111111\u20111111", "card"), ("4111\xa01111\xa01111\xa01111", "card"),
+])
+def test_more_disguises(hidden, kind):
+    text = f"so, {hidden} now"
+    assert (kind, hidden) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.added_spans(text, pii.base_spans(text))]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "we laughed at him.Then it rained", "an error at main.py now", "look at the dot on it", "available at www.example.org today"])
+def test_prose_is_no_disguise(text):
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
 def test_packing_is_whole(docs, empty):
     bpe = encoding.encoder("byte_bpe_50k.json")
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
