@@ -1,14 +1,15 @@
 """Personal data, also behind disguises, with spans in the source text.
 
 Base kinds are found by their expressions in the text as it is.  Then transducers rewrite
-the stretches that look disguised: invisible characters go, homoglyphs and full-width forms
+the texts that look disguised: invisible characters go, homoglyphs and full-width forms
 become ASCII, spelled digits become digits, at/dot disguises become ``@`` and ``.``.  Each
-transducer keeps, for every character it puts out, the source span it stands for, and
-transducers compose by composing these spans.  What the base expressions find in the
-rewritten stretch is mapped back; it counts if the source differs from what was found and no
-base span of that kind covers all of it.
+transducer keeps the places of what it rewrote, and places are mapped back through one
+transducer after the other.  What the base expressions find in the rewritten text counts if
+the source differs from what was found and no base span of that kind covers all of it.
 
-A text is read once where it lies; nothing is shuffled.
+A text with any sign of a disguise is rewritten whole, whatever its length.  Every expression
+starts only where a run of its first characters starts, so time grows in proportion to the
+text.  A text is read once where it lies; nothing is shuffled.
 
 Defined cases: null text is empty and has no spans; repeated rows are each scanned; null
 doc_id is kept; extra columns are ignored.  Spans count code points, end exclusive.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,13 +32,22 @@ KINDS = ("email", "ip", "card", "phone")
 #: The base expressions.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same for one start a run: where a run of its first characters gives no match, none that starts later in the run does.
+_EMAIL_HERE, _EMAIL_NEXT = (re.compile(before + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+") for before in ("", "(?<![A-Za-z0-9._%+-])"))
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _DIGIT = re.compile("[0-9]")
 
 #: Letters of other scripts that look like Latin ones, in pairs.
-LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρ", "ABESIJKMHOPCTYXaesijopcyxdqwABEZHIKMNOPTYXoavip", strict=True))
+LOOKALIKES = dict(
+    zip(
+        "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһӏѵҽΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρυγɑɡıʟɩᴏᴄᴜᴠᴡᴢոսօհցզⲟⲥⲣᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ",
+        "ABESIJKMHOPCTYXaesijopcyxdqwhlveABEZHIKMNOPTYXoavipuyagiliocuvwznuohgqocpABCDEHJKLMPRSTVWZ",
+        strict=True,
+    )
+)
 #: Soft hyphen, zero-width space and joiners, word joiner, byte order mark.
 INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 FULL_WIDTH = (chr(0xFF01), chr(0xFF5E))
@@ -78,18 +89,18 @@ _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ \t-]*)?(?:{_WORD}|[0-9]+)(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|dot|punkt|point|punto|[0-9]+)){{3,}}(?!\w)", re.I)
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|dot|punkt|point|punto|[0-9]+)){{3,}}(?!\w)", re.I)
 _PART = re.compile(rf"(?P<digit>{_WORD})(?!\w)|(?P<dot>dot|punkt|point|punto)|(?P<plus>plus)|(?P<number>[0-9]+)|(?P<gap>[ \t,-]+)|.", re.I)
-_BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(?:(?P<at>at|@)|(?P<dot>dot|punkt|point|punto|\.))[ \t]*[\])}>][ \t]*", re.I)
-_PLAIN = re.compile(r"(?<![\w@.])(?P<user>[\w%+-]+(?:(?: dot |\.)[\w%+-]+)*)(?P<at> at |@)(?P<host>[\w-]+(?:(?: dot |\.)[\w-]+)*)(?P<sep> dot |\.)(?P<label>[a-z]{2,24})(?![\w@-])(?!\.\w)(?! at )", re.I)
+_BRACKETED = re.compile(r"[\[({<][ \t]*+(?:(?P<at>at|@)|(?P<dot>dot|punkt|point|punto|\.))[ \t]*+[\])}>][ \t]*+", re.I)
+#: Words joined by dots and ats, real or spoken.
+_CHAIN = re.compile(r"(?<![\w%+-])[\w%+-]++(?:(?: at | dot |[.@])[\w%+-]++)++", re.I)
+_LINK, _LABEL = re.compile("( at | dot |[.@])", re.I), re.compile("[a-z]{2,24}", re.I)
 _KNOWN = frozenset(LAST_LABELS.split("|"))
 #: A spoken at before a real dot, in lower case: so the literal prefix is found fast.
 _HALF = re.compile(r" at [\w-]+(?:(?: dot |\.)[\w-]+)*\.[a-z]{2}")
-_SPACED = re.compile(r" (?P<at>at) | (?P<dot>dot) ", re.I)
 #: Characters of ``PLAIN``, and all of the plane beyond 16 bits: one range is matched much faster than a thousand characters.
 _ODD = re.compile(f"[{''.join(re.escape(c) for c in PLAIN if c <= chr(0xFFFF))}{chr(0x10000)}-{chr(0x1FFFF)}]")
 #: Dashes and blanks are signs of a disguise only before a digit or a spoken at or dot.
 _LOOSE = frozenset(DASHES + SPACES)
 _JOINED = re.compile(r"\w.(?:[0-9]|at\b|dot\b)", re.I)
-_BEFORE, _AFTER = 160, 160
 
 
 def _luhn(digits: str) -> bool:
@@ -106,7 +117,10 @@ def _emails(text: str) -> list[tuple[int, int]]:
             lo -= 1
         while hi < len(text) and text[hi] in _EMAIL_CHARS:
             hi += 1
-        found += [(lo + m.start(), lo + m.end()) for m in EMAIL.finditer(text[lo:hi])]
+        run, done = text[lo:hi], 0
+        while m := _EMAIL_HERE.match(run, done) or _EMAIL_NEXT.search(run, done):
+            found.append((lo + m.start(), lo + m.end()))
+            done = m.end()
         at = text.find("@", hi)
     return found
 
@@ -115,7 +129,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every kind."""
     found = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP_RUN.finditer(text) if all(len(part := p.lstrip("0")) <= 3 and int(part or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -126,22 +140,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A rewritten text; character k stands for source[starts[k]:ends[k]]."""
+    """A text under rewriting; ``edits`` has for each transducer the places it rewrote, in order: (from, to, source from, source to)."""
 
-    def __init__(self, text: str, at: int = 0):
-        self.text, self.starts, self.ends = text, list(range(at, at + len(text))), list(range(at + 1, at + len(text) + 1))
+    def __init__(self, text: str):
+        self.text: str = text
+        self.edits: list[list[tuple[int, int, int, int]]] = []
 
     def rewrite(self, pattern: re.Pattern[str], put: Callable[[re.Match[str]], list[tuple[int, int, str]]]) -> None:
         """Replaces text[a:b] by the string, for each (a, b, string) that ``put`` gives for a match."""
-        out, starts, ends, done = [], [], [], 0
+        out, edits, done, at = [], [], 0, 0
         for m in pattern.finditer(self.text):
             for a, b, string in put(m):
-                out.append(self.text[done:a] + string)
-                starts += self.starts[done:a] + [self.starts[a]] * len(string)
-                ends += self.ends[done:a] + [self.ends[b - 1]] * len(string)
-                done = b
-        if done:
-            self.text, self.starts, self.ends = "".join(out) + self.text[done:], starts + self.starts[done:], ends + self.ends[done:]
+                a = max(a, done)
+                out += (self.text[done:a], string)
+                at += a - done
+                edits.append((at, at + len(string), a, b))
+                at, done = at + len(string), b
+        if edits:
+            self.text = "".join(out) + self.text[done:]
+            self.edits.append(edits)
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the source for which text[start:end] stands."""
+        for edits in reversed(self.edits):
+            start, end = _back(edits, start)[0], _back(edits, end - 1)[1]
+        return start, end
+
+
+def _back(edits: list[tuple[int, int, int, int]], place: int) -> tuple[int, int]:
+    """The span before rewriting of the character at ``place``."""
+    k = bisect_right(edits, place, key=lambda e: e[0]) - 1
+    if k < 0:
+        return place, place + 1
+    first, last, a, b = edits[k]
+    return (a, b) if place < last else (place - last + b, place - last + b + 1)
 
 
 def _plain_character(m: re.Match[str]) -> list[tuple[int, int, str]]:
@@ -160,64 +192,70 @@ def _digits(m: re.Match[str]) -> list[tuple[int, int, str]]:
 
 
 def _signs(m: re.Match[str]) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".")]
+    start = m.start()
+    while start and m.string[start - 1] in " \t":
+        start -= 1
+    return [(start, m.end(), "@" if m["at"] else ".")]
 
 
-def _is_address(m: re.Match[str]) -> bool:
-    """Not prose like 'look at example.com' or 'at the dot on it'."""
-    label, user, host = m["label"].lower(), re.split(r" dot |\.", m["user"].lower())[-1], re.split(r" dot |\.", m["host"].lower())
-    if m["sep"] == " dot " and label in _KNOWN:
+def _is_address(user: str, at: str, host: str, sep: str, label: str) -> bool:
+    """Not prose like 'look at example.com' or 'at the dot on it'; ``user`` is the word before the at, ``host`` the one behind it."""
+    low = label.lower()
+    if sep == " dot " and low in _KNOWN:
         return True
-    if label in PROSE - _KNOWN:
+    if low in PROSE - _KNOWN:
         return False
-    return m["at"] == "@" or not (user in PROSE or host[0] in PROSE or host[0] == "www" or label in FILE_ENDS or m["sep"] == "." and m["label"].istitle())
+    return at == "@" or not (user.lower() in PROSE or host.lower() in PROSE or host.lower() == "www" or low in FILE_ENDS or sep == "." and label.istitle())
 
 
 def _spoken(m: re.Match[str]) -> list[tuple[int, int, str]]:
-    if not _is_address(m):
+    """Words (even places) and links (odd places) of a chain: the last at is that of an address, if any is."""
+    parts = _LINK.split(m[0])
+    ats = [k for k in range(1, len(parts), 2) if parts[k].lower() in (" at ", "@")]
+    if not ats or ats[-1] + 3 >= len(parts) or not _LABEL.fullmatch(parts[-1]):
+        return []
+    at = ats[-1]
+    if not _is_address(parts[at - 1], parts[at].lower(), parts[at + 1], parts[-2].lower(), parts[-1]):
         return []
-    return [(m.start() + p.start(), m.start() + p.end(), "@" if p["at"] else ".") for p in _SPACED.finditer(m[0])]
+    found, place = [], m.start()
+    for k, part in enumerate(parts):
+        if k % 2 and len(part) > 1 and (len(ats) == 1 or k > ats[-2]):
+            found.append((place, place + len(part), "@" if k == at else "."))
+        place += len(part)
+    return found
 
 
-def undisguise(tape: Tape) -> Tape:
+def undisguise(text: str) -> Tape:
     """The transducers, one after the other."""
+    tape = Tape(text)
     tape.rewrite(_ODD, _plain_character)
     tape.rewrite(_BRACKETED, _signs)
-    tape.rewrite(_PLAIN, _spoken)
+    tape.rewrite(_CHAIN, _spoken)
     tape.rewrite(_RUN, _digits)
     return tape
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around signs of a disguise, ends at blanks."""
-    low = text.lower() if len(text.lower()) == len(text) else text
-    hits = [m.span() for m in _ODD.finditer(text) if m[0] in PLAIN and m[0] not in _LOOSE or m[0] in _LOOSE and m.start() and _JOINED.match(text, m.start() - 1)] if not text.isascii() else []
-    if any(b in text for b in "[({<"):
-        hits += [m.span() for m in _BRACKETED.finditer(text)]
-    if " dot " in low:
-        hits += [m.span() for m in re.finditer(" dot ", low)]
-    if " at " in low:
-        hits += [m.span() for m in _HALF.finditer(low)]
-    hits += [m.span() for m in _SPELLED_RUN.finditer(text)]
-    joined: list[list[int]] = []
-    for a, b in sorted(hits):
-        a, b = max(0, a - _BEFORE), min(len(text), b + _AFTER)
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
-        else:
-            joined.append([a, b])
-    return [(a, b) for a, b in joined]
+def _disguised(text: str) -> bool:
+    """Whether there is any sign of a disguise."""
+    if not text.isascii() and any(m[0] in PLAIN and (m[0] not in _LOOSE or m.start() and _JOINED.match(text, m.start() - 1)) for m in _ODD.finditer(text)):
+        return True
+    if any(b in text for b in "[({<") and _BRACKETED.search(text):
+        return True
+    low = text.lower()
+    return " dot " in low or " at " in low and bool(_HALF.search(low)) or bool(_SPELLED_RUN.search(text))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what only the transducers show."""
-    found = []
-    for lo, hi in _stretches(text):
-        tape = undisguise(Tape(text[lo:hi], lo))
-        for a, kind, b in base_spans(tape.text):
-            start, end = tape.starts[a], tape.ends[b - 1]
-            if text[start:end] != tape.text[a:b] and not any(k == kind and s <= start and end <= e for s, k, e in base):
-                found.append((start, kind, end))
+    if not _disguised(text):
+        return []
+    tape, found = undisguise(text), []
+    clear = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+    for a, kind, b in base_spans(tape.text) if tape.edits else []:
+        start, end = tape.source(a, b)
+        before = bisect_right(clear[kind], start, key=lambda span: span[0]) - 1  # spans of a kind do not overlap
+        if text[start:end] != tape.text[a:b] and not (before >= 0 and end <= clear[kind][before][1]):
+            found.append((start, kind, end))
     return found
 
 

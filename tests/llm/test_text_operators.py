@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +223,40 @@ def test_prose_is_no_disguise(text):
     assert pii.added_spans(text, pii.base_spans(text)) == []
 
 
+def brute_base(text):
+    """The contract's expressions as they stand."""
+    found = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in pii.IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    for m in pii.CARD.finditer(text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d[::-1])) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    return sorted(found + [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab_1234.@-+ %", max_size=50) | st.text(alphabet="0123456789. -+()", max_size=60) | st.text(max_size=40))
+def test_base_spans_are_those_of_the_expressions(text):
+    assert pii.base_spans(text) == brute_base(text)
+    for a, _, b in pii.added_spans(text, pii.base_spans(text)):
+        assert 0 <= a < b <= len(text)
+
+
+@pytest.mark.parametrize("text", ["0" * 300_000 + ".1.1.1", "1" * 1_000_000, "(" + " " * 1_000_000, "( " * 300_000, "a" * 500_000 + "@b", "a@" * 300_000, "a-" * 300_000 + " dot ", "x dot " * 100_000, "x at y." * 100_000, "one " + " " * 500_000, "one " * 200_000, "+1" * 300_000, "1." * 300_000, "\u0430" * 300_000])
+def test_time_grows_with_the_text(text):
+    start = time.time()
+    pii.added_spans(text, pii.base_spans(text))
+    assert time.time() - start < 8
+
+
+def test_a_long_disguise_is_found_whole():
+    hidden = "\u0430" + "b" * 3000 + "@example.com"
+    text = f"so {hidden} now"
+    assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text))] == [hidden]
+    spoken = "john at " + " dot ".join(["host"] * 200) + " dot com"
+    assert [f"x, {spoken} y"[a:b] for a, _, b in pii.added_spans(f"x, {spoken} y", [])] == [spoken]
+
+
 def test_packing_is_whole(docs, empty):
     bpe = encoding.encoder("byte_bpe_50k.json")
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
