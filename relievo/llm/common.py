@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relievo.lineage import cut, shared, shared_folder
 
-__all__ = ["cut", "n_words", "shared", "shared_folder", "small", "text_of"]
+__all__ = ["cut", "n_words", "shared", "shared_folder", "small", "text_of", "with_row"]
 
 #: A word is a run of anything but these white-space characters.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +21,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def with_row(docs: DataFrame, *also: Column) -> DataFrame:
+    """``row``, a struct of all columns, so that no name among them meets one of an operator's own; ``select("row.*")`` gives them back."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return docs.select(F.struct(*map(F.col, quoted)).alias("row"), *also)
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relievo.llm.common import BROADCAST_BYTES, SPACE, cut, n_words, text_of
+from relievo.llm.common import BROADCAST_BYTES, SPACE, cut, n_words, text_of, with_row
 
 ENDS = " \t\x0b\x0c\r"
 
@@ -125,35 +125,39 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def _joined(docs: DataFrame, min_words: int) -> DataFrame:
-    """The documents with ``line_gone`` beside their columns."""
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("line_id"), F.col("mark").alias("line_mark"), F.col("gone").alias("line_gone"))
-    rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("line_gone")), F.lit(0))).first()
+    """row (all columns of the documents), text, gone (null where nothing goes)."""
+    gone = repeated_lines(docs, min_words)
+    rows, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = F.broadcast(gone) if 48 * rows + 4 * lines <= BROADCAST_BYTES else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_id")) & (F.xxhash64(text_of()) == F.col("line_mark")), "left").drop("line_id", "line_mark")
+    text = text_of("row.text")
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("mark"))
+    return with_row(docs).join(gone, same, "left").select("row", text.alias("text"), "gone")
 
 
 def _rest() -> Column:
-    """The text without the lines in ``line_gone``."""
-    lines = _lines(text_of())
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_gone"))
+    """The text without the lines in ``gone``."""
+    lines = _lines(F.col("text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the deleted lines), text (what is left): one row per row of ``docs``."""
-    found = _joined(docs, min_words)
-    n_lines = F.size(F.filter(_lines(text_of()), lambda x: F.regexp_like(x, F.lit(rf"[^{SPACE}]")))).cast("long")
-    return found.select(
-        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("line_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("line_gone", F.expr("CAST(array() AS array<int>)")).alias("removed"), F.when(F.col("line_gone").isNull(), text_of()).otherwise(_rest()).alias("text"),
+    n_lines = F.size(F.filter(_lines(F.col("text")), lambda x: F.regexp_like(x, F.lit(rf"[^{SPACE}]")))).cast("long")
+    return _joined(docs, min_words).select(
+        F.col("row.doc_id").alias("doc_id"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("gone", F.expr("CAST(array() AS array<int>)")).alias("removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(_rest()).alias("text"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents with repeated runs deleted, columns unchanged; those of which nothing but blanks is left go."""
-    found = _joined(docs, min_words).withColumn("line_rest", F.when(F.col("line_gone").isNotNull(), _rest()))
-    found = found.where(F.col("line_rest").isNull() | F.regexp_like("line_rest", F.lit(rf"[^{SPACE}]")))
-    changed = {"text": F.coalesce("line_rest", "text")}
+    """The documents with repeated runs deleted; those of which nothing but blanks is left go.
+
+    Columns keep their names, types and values, but for ``text`` and, where there is one, ``n_chars``.
+    """
+    found = _joined(docs, min_words).select("row", F.when(F.col("gone").isNotNull(), _rest()).alias("rest"))
+    found = found.where(F.col("rest").isNull() | F.regexp_like("rest", F.lit(rf"[^{SPACE}]")))
+    changed = F.col("row").withField("text", F.col("rest"))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("line_rest").isNotNull(), F.length("line_rest")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+        changed = changed.withField("n_chars", F.length("rest").cast(docs.schema["n_chars"].dataType))
+    return found.select(F.when(F.col("rest").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")

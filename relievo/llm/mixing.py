@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from relievo.llm.common import cut, n_words, small, text_of
+from relievo.llm.common import cut, n_words, small, text_of, with_row
 
 #: ``first`` sorts a block by falling mass, so that what is left in the end is a small document.
 UNIT = "struct<first:double,h:bigint,doc_id:{id},size:bigint,rows:bigint,whole:bigint,mass:double,f:double>"
@@ -121,8 +121,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents as the mix takes them: each row as often as its copies say, columns unchanged."""
-    decided = mix_sources(docs, **params).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (n_words(text_of()) == F.col("mix_size"))
-    joined = docs.join(decided, same)
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_nth")).drop("mix_nth")
+    """The documents as the mix takes them: each row as often as its copies say, columns unchanged, whatever their names."""
+    decided = mix_sources(docs, **params).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
+    rows = with_row(docs, n_words(text_of()).alias("n"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    return rows.join(decided, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

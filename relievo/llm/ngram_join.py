@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relievo.llm.common import cut, small, text_of
+from relievo.llm.common import cut, small, text_of, with_row
 from relievo.operators.graphs import components
 
 PARTS = 16
@@ -326,15 +326,14 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The documents with one of each component left, columns unchanged."""
+    """The documents with one of each component left, columns unchanged, whatever their names."""
     found = cut(similar_components(docs, words, num, den))
-    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).distinct()
-    mark = F.xxhash64(text_of())
-    stay = docs.join(small(cut(gone), 24), F.col("doc_id").eqNullSafe(F.col("g_id")) & (mark == F.col("g_mark")), "left_anti")
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text_of("row.text")) == F.col("mark"))
+    gone = found.where(~F.col("first")).select("doc_id", "mark").distinct()
+    stay = with_row(docs).join(small(cut(gone), 24), same, "left_anti")
     # Rows that repeat a doc_id and text have one component; only where there are such rows are they grouped.
-    again = cut(found.where("first AND n_shingles > 0").groupBy(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).agg(F.count("*").alias("g_n")).where("g_n > 1"))
+    again = cut(found.where("first AND n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if again.isEmpty():
-        return stay
-    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (mark == F.col("g_mark"))
-    one = stay.join(small(again, 32), same).dropDuplicates(["g_id", "g_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return stay.join(small(again, 32), same, "left_anti").unionByName(one)
+        return stay.select("row.*")
+    one = stay.join(small(again, 32), same).dropDuplicates(["doc_id", "mark"]).select("row")
+    return stay.join(small(again, 32), same, "left_anti").unionByName(one).select("row.*")

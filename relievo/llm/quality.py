@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from relievo.llm.common import cut, small, text_of
+from relievo.llm.common import cut, small, text_of, with_row
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -172,5 +172,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     which costs a second pass but moves no text between executors.
     """
     _, chosen = _scored(docs, labels, stratum, risk, alpha)
-    rows = measure(docs, stratum, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("score", score(RULES))
+    rows = measure(with_row(docs, F.col(stratum), F.col("text")), stratum, F.col("row")).withColumn("score", score(RULES))
     return _verdicts(rows, chosen).where("kept").select("doc.*")
