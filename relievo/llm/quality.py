@@ -1,20 +1,26 @@
 """Quality rules whose thresholds come with a risk bound.
 
-Each document gets a score: the largest of its rule values, each divided by the rule's limit.
-A stratum (a language, by default) rejects documents that score above its cutoff.  Labelled
-documents are the holdout: for every candidate cutoff the good ones it would reject are
-counted, and an exact binomial test asks whether a false rejection rate of ``risk`` or more
-can be excluded.  Candidates are tested from the mildest to the strictest and testing stops
-at the first that fails (a fixed sequence needs no further correction), each stratum at
-``alpha`` divided by the number of strata, so with probability 1 - ``alpha`` no stratum
-rejects more than ``risk`` of its good documents.  Of the cutoffs that pass, the one that
-rejects most bad documents for least good ones is taken; a stratum with none rejects nothing.
+A rule is a value of a document, such as its symbols a word, in units of the rule's limit.
+Every stratum (a language, by default) has its own cutoff for every rule, and rejects a
+document that is above any of them.  Labelled documents are the holdout, one trial for each
+different text, dealt into halves by a hash of the text:
+
+1.  The first half proposes.  Of every rule's candidate cutoffs the one that rejects most bad
+    documents for least good ones is taken; a rule that does not help is not used there.
+2.  The second half decides.  The proposed cutoffs, all together, are tested from the mildest
+    multiple to the strictest: an exact binomial test asks whether a false rejection rate of
+    ``risk`` or more can be excluded, and testing stops at the first multiple that fails.
+
+The proposal does not depend on the second half and a fixed sequence needs no correction of
+its own, nor do the rules, as they are tested together; each stratum is tested at ``alpha``
+divided by the number of strata.  So with probability 1 - ``alpha`` no stratum rejects more
+than ``risk`` of its good documents.  A stratum where nothing passes rejects nothing.
 
 The features are computed by streaming the whole texts once; only narrow rows are shuffled.
 
 Defined cases: null text has no words and fails the base rule; null strata are a stratum;
-documents with several labels count as good only if all say so; repeated rows are judged
-each; empty documents or labels give an empty result or no cutoffs; extra columns are ignored.
+documents with several labels, and equal texts with different ones, count as good only if all
+say so; repeated rows are judged each; empty documents or labels give an empty result or no cutoffs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from relievo.llm.common import cut, small, text_of, with_row
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
-#: The rules: a value, and the limit at which the score is 1.
+#: The rules: a value, and its unit.
 RULES: dict[str, tuple[str, float]] = {
     "symbols": ("n_symbols / n_words", 0.1),
     "repeats": ("n_repeat_words / n_words", 0.3),
@@ -44,8 +50,11 @@ RULES: dict[str, tuple[str, float]] = {
     "marks": ("n_marks / n_words", 0.3),
     "word_length": ("word_chars / n_words", 12.0),
 }
-#: Candidate cutoffs of the score, from mild to strict.
+#: Candidate cutoffs of a rule, in its unit, and multiples of the chosen ones that are tested, both from mild to strict.
 CUTOFFS = (8.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25, 1.0, 0.8, 0.65, 0.5)
+MULTIPLES = (8.0, 4.0, 3.0, 2.0, 1.5, 1.25, 1.0)
+#: How many times a rejected good document weighs a rejected bad one.
+PRICE = 5.0
 _UPPER = bytes(range(65, 91))
 
 
@@ -86,23 +95,28 @@ def features(text: str) -> tuple[int, ...]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([features(text.as_py()) for text in batch.column("text")], dtype=np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("stratum"), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], ["doc", "stratum", *COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("stratum"), batch.column("mark"), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], ["doc", "stratum", "mark", *COUNTS])
 
 
 def measure(docs: DataFrame, stratum: str = "lang", carry: Column | None = None) -> DataFrame:
-    """doc (``carry``, by default doc_id), stratum and COUNTS: one row per row of ``docs``."""
-    rows = docs.select((F.col("doc_id") if carry is None else carry).alias("doc"), F.col(stratum).cast("string").alias("stratum"), text_of().alias("text"))
-    return rows.mapInArrow(_measured, T.StructType([rows.schema["doc"], T.StructField("stratum", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS]]))
+    """doc (``carry``, by default doc_id), stratum, mark (of the text) and COUNTS: one row per row of ``docs``."""
+    rows = docs.select((F.col("doc_id") if carry is None else carry).alias("doc"), F.col(stratum).cast("string").alias("stratum"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    return rows.mapInArrow(_measured, T.StructType([rows.schema["doc"], T.StructField("stratum", T.StringType()), T.StructField("mark", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS]]))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def score(rules: dict[str, tuple[str, float]]) -> Column:
-    """The largest of value / limit; 0 for documents without words."""
-    values = [F.expr(f"try_divide({value.split('/')[0]}, {value.split('/')[1]})") / F.lit(limit) for value, limit in rules.values()]
-    return F.greatest(F.lit(0.0), *[F.coalesce(v, F.lit(0.0)) for v in values])
+def rule_values(rules: dict[str, tuple[str, float]] = RULES) -> Column:
+    """Array of the rules' values in their units; 0 for documents without words."""
+    divided = [F.expr(f"try_divide({value.split('/')[0]}, {value.split('/')[1]})") / F.lit(limit) for value, limit in rules.values()]
+    return F.array(*[F.coalesce(v, F.lit(0.0)) for v in divided])
+
+
+def _score(values: Column, cutoffs: Column) -> Column:
+    """The largest of value / cutoff: rejected above 1.  Rules without a cutoff do not count."""
+    return F.array_max(F.zip_with(values, cutoffs, lambda v, c: F.coalesce(v / c, F.lit(0.0))))
 
 
 def binomial_tail(k: float, n: float, p: float) -> float:
@@ -134,43 +148,64 @@ def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(float(a), float(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype=float)
 
 
-def choose_cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: float = 0.05, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
-    """stratum, cutoff, n_good, good_rejected, n_bad, bad_rejected, p_value, for strata with a cutoff that passes."""
+def _counted(held: DataFrame, value: str, cutoffs: tuple[float, ...], *key: str) -> DataFrame:
+    """key, n_good, n_bad, step, cutoff, good_rejected, bad_rejected."""
+    good, above = F.col("good"), [F.col(value) > c for c in cutoffs]
+    each = [F.struct(F.lit(float(c)).alias("cutoff"), F.count_if(good & a).alias("good_rejected"), F.count_if(~good & a).alias("bad_rejected")) for c, a in zip(cutoffs, above, strict=True)]
+    found = held.groupBy(*key).agg(F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"), F.array(*each).alias("each"))
+    return found.select(*key, "n_good", "n_bad", F.posexplode("each").alias("step", "c")).select(*key, "n_good", "n_bad", "step", "c.*")
+
+
+def holdout(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, mark, good, values: one row for each different labelled text of a stratum."""
     judged = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("quality"))
-    held = scored.join(judged, F.col("doc_id") == F.col("l_id")).select("stratum", "score", (F.col("quality") > 0).alias("good"))
-    good, bad = F.col("good"), ~F.col("good")
-    above = [F.count_if(which & (F.col("score") > c)).alias(f"{name}_{k}") for name, which in (("g", good), ("b", bad)) for k, c in enumerate(cutoffs)]
-    counted = cut(held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad"), *above))
-    strata = max(1, counted.count())
-    each = counted.select("stratum", "n_good", "n_bad", F.posexplode(F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"g_{k}").alias("good_rejected"), F.col(f"b_{k}").alias("bad_rejected")) for k, c in enumerate(cutoffs)])).alias("step", "c"))
-    each = each.select("stratum", "n_good", "n_bad", "step", "c.*").withColumn("p_value", tail(F.col("good_rejected"), F.col("n_good"), F.lit(float(risk))))
+    met = measured.join(judged, F.col("doc_id") == F.col("l_id"))
+    return met.groupBy("stratum", "mark").agg(F.min(F.col("quality") > 0).alias("good"), F.first("values").alias("values"))
+
+
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: float = 0.05, cutoffs: tuple[float, ...] = CUTOFFS, multiples: tuple[float, ...] = MULTIPLES) -> DataFrame:
+    """stratum, cutoffs (one a rule, null where it is not used), multiple, n_good, good_rejected, n_bad, bad_rejected, p_value, for strata where a multiple passes.
+
+    ``measured``: doc_id, stratum, mark, values.
+    """
+    held = cut(holdout(measured, labels))
+    strata = max(1, held.select("stratum").distinct().count())
+    half = F.pmod(F.xxhash64("mark"), F.lit(2))
+    by_rule = _counted(held.where(half == 0).select("stratum", "good", F.posexplode("values").alias("rule", "value")), "value", cutoffs, "stratum", "rule")
+    gain = F.coalesce(F.try_divide("bad_rejected", "n_bad"), F.lit(0.0)) - PRICE * F.coalesce(F.try_divide("good_rejected", "n_good"), F.lit(0.0))
+    best = by_rule.groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("b")).where("b.gain > 0")
+    # One entry a rule.
+    proposed = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cutoff"))).alias("of_rule"))
+    proposed = cut(proposed.select(F.col("stratum").alias("of"), F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda k: F.try_element_at("of_rule", k)).alias("proposed")))
+    tested = held.where(half == 1).join(small(proposed, 128), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "good", _score(F.col("values"), F.col("proposed")).alias("score"))
+    each = _counted(tested, "score", multiples, "stratum").withColumn("p_value", tail(F.col("good_rejected"), F.col("n_good"), F.lit(float(risk))))
     passed = each.withColumn("worst", F.max("p_value").over(Window.partitionBy("stratum").orderBy("step"))).where(F.col("worst") <= alpha / strata)
-    gain = F.coalesce(F.try_divide("bad_rejected", "n_bad"), F.lit(0.0)) - 5 * F.try_divide("good_rejected", "n_good")
-    best = passed.groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), F.col("cutoff"), "n_good", "good_rejected", "n_bad", "bad_rejected", "p_value")).alias("b"))
-    return best.select("stratum", "b.cutoff", "b.n_good", "b.good_rejected", "b.n_bad", "b.bad_rejected", "b.p_value")
+    last = passed.groupBy("stratum").agg(F.max(F.struct("step", F.col("cutoff").alias("multiple"), "n_good", "good_rejected", "n_bad", "bad_rejected", "p_value")).alias("b"))
+    found = last.join(proposed, F.col("stratum").eqNullSafe(F.col("of")))
+    return found.select("stratum", F.transform("proposed", lambda c: c * F.col("b.multiple")).alias("cutoffs"), "b.multiple", "b.n_good", "b.good_rejected", "b.n_bad", "b.bad_rejected", "b.p_value")
 
 
 def _verdicts(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    found = measured.join(small(chosen, 64), F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
-    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("cutoff").isNull() | (F.col("score") <= F.col("cutoff"))))
+    found = measured.join(small(chosen, 128), F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of").withColumn("score", _score(F.col("values"), F.col("cutoffs")))
+    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") <= 1)))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, alpha: float) -> tuple[DataFrame, DataFrame]:
-    scored = cut(measure(docs, stratum).withColumnRenamed("doc", "doc_id").withColumn("score", score(RULES)))
-    return scored, cut(choose_cutoffs(scored, labels, risk, alpha).select(F.col("stratum").alias("of"), "cutoff"))
+    measured = cut(measure(docs, stratum).withColumnRenamed("doc", "doc_id")).withColumn("values", rule_values())
+    return measured, cut(choose_cutoffs(measured, labels, risk, alpha).select(F.col("stratum").alias("of"), "cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """doc_id, stratum, COUNTS, score, cutoff, base_failed, kept: one row per row of ``docs``."""
+    """doc_id, stratum, COUNTS, values, cutoffs, score (null without cutoffs), base_failed, kept: one row per row of ``docs``."""
     return _verdicts(*_scored(docs, labels, stratum, risk, alpha))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """The documents that are kept, columns unchanged.
+    """The documents that are kept, columns unchanged, whatever their names.
 
     Once the cutoffs are known the texts are measured again with their rows beside them,
     which costs a second pass but moves no text between executors.
     """
     _, chosen = _scored(docs, labels, stratum, risk, alpha)
-    rows = measure(with_row(docs, F.col(stratum), F.col("text")), stratum, F.col("row")).withColumn("score", score(RULES))
+    rows = measure(with_row(docs, F.col(stratum), F.col("text")), stratum, F.col("row")).withColumn("values", rule_values())
     return _verdicts(rows, chosen).where("kept").select("doc.*")

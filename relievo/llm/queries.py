@@ -48,7 +48,8 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.count_tokens(documents(spark, sf_dir), shared_folder(spark, "token-counts"))
+    """Counts that an earlier run stored are used if the setting ``relievo.token.cache`` names a folder for them; else the run starts a cache of its own and encodes every different text."""
+    found = token_counts.count_tokens(documents(spark, sf_dir), spark.conf.get("relievo.token.cache", None) or shared_folder(spark, "token-counts"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

@@ -7,8 +7,10 @@ for; postings of a clause are intersected by a grouped bit_or, and the expressio
 on the documents left, over their whole text.  A rule with a branch that forces no trigram
 is run on every document.
 
-Trigrams are looked up in lower-cased text, which can only add candidates.  Postings are
-grouped by clause and document, so a trigram that is in every document is no hot key.
+Trigrams are looked up in lower-cased text, which can only add candidates.  A text is walked
+once for all of them.  Postings are grouped by clause and document, so a trigram that is in
+every document is no hot key.  The candidates, ids and a number, go to where the texts lie if
+their counted size allows it; only beyond that are texts joined to them by a shuffle.
 
 Defined cases: null text is empty and has no spans; rows that repeat are each scanned;
 repeated ids with different texts share postings and are verified one by one; extra columns
@@ -25,7 +27,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relievo.llm.common import text_of
+from relievo.llm.common import cut, small, text_of
 
 MAX_CLAUSES = 64
 
@@ -91,14 +93,20 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted((c for c in clauses if not any(o < c for o in clauses)), key=sorted)
 
 
+def _walk(grams: list[str]) -> str:
+    """An expression that matches nothing before each trigram and has it as group 1, so that overlapping ones are found in one pass."""
+    quote = lambda text: "".join(c if c.isalnum() else "\\" + c for c in text)
+    by_first = {a: sorted({g[1:] for g in grams if g[0] == a}) for a in sorted({g[0] for g in grams})}
+    return "(?=(" + "|".join(quote(a) + "(?:" + "|".join(map(quote, rest)) + ")" for a, rest in by_first.items()) + "))"
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """doc_id and a bit per rule whose trigram query the document meets; None if no rule has one."""
     terms = [(1 << r, c, gram, 1 << bit, (1 << len(clause)) - 1) for r, rule in enumerate(rules) for c, clause in enumerate(trigram_query(rule.pattern)) for bit, gram in enumerate(sorted(clause))]
     if not terms:
         return None
     grams = sorted({gram for _, _, gram, _, _ in terms})
-    low = F.lower(text_of())
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_walk(grams)), F.lit(1)))
     postings = docs.select("doc_id", F.explode(found).alias("gram"))
     # The terms come from the rules alone, a few hundred rows whatever the data.
     table = F.broadcast(docs.sparkSession.createDataFrame(terms, "rule long, clause int, term string, bit long, mask long"))
@@ -136,8 +144,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     asked = [bool(trigram_query(rule.pattern)) for rule in rules]
     index = candidates(docs, rules)
     if index is not None:
-        index = index.select(F.col("doc_id").alias("c_id"), "rules")
-        rows = rows.join(index, F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+        index = cut(index.select(F.col("doc_id").alias("c_id"), "rules"))
+        rows = rows.join(small(index, 24), F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
     found = []
     for k, rule in enumerate(rules):

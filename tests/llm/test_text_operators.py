@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from relievo.llm import encoding, exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, token_counts
+from relievo.llm import encoding, exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, pii, quality, queries, secrets, token_counts
 from relievo.llm.common import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, stratum int, row string, kept string, score double"
@@ -65,6 +65,18 @@ def test_secret_spans(docs):
     assert not spans[0] and not spans[3]
 
 
+def test_secret_spans_do_not_depend_on_the_index(spark, docs, empty):
+    rng = np.random.default_rng(3)
+    parts = ["password", "PassWD=", "api_key: '", "apikey", "Secret", "token = ", "AKIA", "ABCD1234EFGH5678IJKL", "0123456789abcdef", "deadbeef", "xoxb-", "eyJ", ".", " ", "\n", "é", '"', "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "AIza", "x" * 40]
+    table = [(int(rng.integers(0, 60)), "".join(rng.choice(parts, int(rng.integers(0, 25))))) for _ in range(200)]
+    got = collections.Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.secret_spans(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect())
+    want = collections.Counter()
+    for i, text in table:
+        found = [(m.start(), no, rule.kind, m.end()) for no, rule in enumerate(secrets.BASE + secrets.MORE) for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least]
+        want[i, tuple((kind, a, b) for a, _, kind, b in sorted(found))] += 1
+    assert got == want and secrets.secret_spans(empty).count() == 0 and secrets.secret_spans(docs).count() == len(TEXTS)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("(abcd|xyz)e+") == [frozenset({"abc", "bcd", "cde"}), frozenset({"xyz", "yze"})]
     assert secrets.trigram_query("[0-9]+") == []
@@ -155,6 +167,21 @@ def test_a_context_stays_whatever_the_corpus_holds(spark):
     assert got.train_tokens > 3 * 2**20 and got.score > got.base_score + 5  # 2**-20 of the tokens is more than 3
 
 
+def test_the_query_uses_a_stored_cache(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("relievo.token.cache", f"{tmp_path}/counts")
+    try:
+        stored = lambda: spark.read.schema(token_counts.CACHE).parquet(f"{tmp_path}/counts").count()
+        first = queries.op6_token_counts(spark, str(tmp_path)).collect()
+        many = stored()
+        assert sorted(queries.op6_token_counts(spark, str(tmp_path)).collect(), key=repr) == sorted(first, key=repr) and stored() == many
+        docs.withColumn("text", F.when(F.col("doc_id") == 7, "one more").otherwise(F.col("text"))).write.mode("overwrite").parquet(f"{tmp_path}/changed/documents.parquet")
+        queries.op6_token_counts(spark, f"{tmp_path}/changed").collect()
+        assert stored() == many + 1
+    finally:
+        spark.conf.unset("relievo.token.cache")
+
+
 def test_token_counts(spark, docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     cache = shared_folder(spark, "cache")
@@ -182,14 +209,34 @@ def test_quality_features():
     assert quality.binomial_tail(3, 50, 0.1) == pytest.approx(sum(math.comb(50, k) * 0.1**k * 0.9 ** (50 - k) for k in range(4)))
 
 
-def test_cutoffs_bound_the_risk(spark, empty):
-    good, bad = [(k, " ".join(f"v{k}x{j}" for j in range(60)), "en") for k in range(600)], [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), "en") for k in range(100)]
+def test_cutoffs_reject_the_bad(spark, empty):
+    good, bad = [(k, " ".join(f"v{k}x{j}" for j in range(60)), "en") for k in range(900)], [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), "en") for k in range(100)]
     table = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in good + bad], "doc_id long, quality int")
     got = quality.judge(table, labels)
-    assert got.where("kept").agg(F.max("doc_id"), F.count("*")).first()[:] == (599, 600)
+    assert got.where("kept").agg(F.max("doc_id"), F.count("*")).first()[:] == (899, 900)
     assert quality.kept_documents(table, labels).columns == table.columns
-    assert quality.judge(empty, labels).count() == 0 and quality.judge(table, labels.limit(0)).where("kept").count() == 700
+    assert quality.judge(empty, labels).count() == 0 and quality.judge(table, labels.limit(0)).where("kept").count() == 1000
+
+
+def test_false_rejections_stay_below_the_risk(spark):
+    """Every stratum is a draw of 800 texts.  Good ones have a value that is uniform below 1, bad ones one above, so a cutoff of c rejects 1 - c of all good ones."""
+    rng, risk, level, strata = np.random.default_rng(7), 0.1, 0.1, 60
+    rows = [(s * 1000 + k, str(s), s * 1000 + k, [float(v), *[0.0] * 5], int(v < 1)) for s in range(strata) for k, v in enumerate(rng.uniform(0, 1.2, 800))]
+    table = spark.createDataFrame(rows, "doc_id long, stratum string, mark long, values array<double>, quality int")
+    chosen = quality.choose_cutoffs(table.drop("quality"), table.select("doc_id", "quality"), risk, level * strata, (1.0,), tuple(np.linspace(1.0, 0.6, 41).tolist())).collect()
+    over = sum(1 - r.cutoffs[0] > risk for r in chosen)
+    assert len(chosen) == strata and over <= strata * level + 3 * math.sqrt(strata * level) and np.median([r.cutoffs[0] for r in chosen]) < 0.95
+
+
+def test_copies_are_one_trial(spark):
+    """600 copies of one good text are no evidence."""
+    text = " ".join(f"v{j}" for j in range(60))
+    rows = [(k, text, "en", 1) for k in range(600)] + [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), "en", 0) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    assert quality.judge(table, table.select("doc_id", "quality")).where("kept").count() == 660
+    held = quality.holdout(quality.measure(table).withColumnRenamed("doc", "doc_id").withColumn("values", quality.rule_values()), table.select("doc_id", "quality"))
+    assert held.groupBy("good").count().orderBy("good").collect() == [(False, 60), (True, 1)]
 
 
 def test_personal_data(docs):
