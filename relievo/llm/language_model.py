@@ -1,9 +1,7 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
 A state is a context of up to ``depth`` words.  A sequence of words is in the tree if the
-training documents hold it ``LEAST`` times, at any size of the corpus.  Sequences go by 64-bit
-hashes; they are counted per task, dealt by key range as sorted blobs, and added up there, so
-the tree is a table that grows with the corpus and is never gathered in one place.
+training documents hold it ``LEAST`` times, at any size of the corpus.
 
 A context stays as a state if its successors diverge from those of its longest suffix state:
 its count times the Kullback-Leibler divergence must exceed half the log of the corpus size
@@ -13,8 +11,20 @@ scored by the longest suffix of its history that is a state.
 
 Such a score is a sum over the sequences of a document: every word adds its log share in the
 root, every state what it passes on, and every sequence after a state the difference to that.
-So a document's different sequences meet the tree's weights by a shuffle of sorted blobs, and
-the sums of each range of keys are added up per document.
+
+The tree is a set of tables that grow with the corpus; nothing of it is broadcast or gathered.
+
+1.  Texts are split into words once and stored as chunks of numbered words, in buckets.
+2.  A chunk sends the hashes of its different sequences, dealt by range into slots.  A slot
+    adds up the counts and answers with a bit for each sequence that is frequent, and with
+    another one to the chunk that is to put it into the table.
+3.  Chunks put the frequent sequences into the table: key, context, suffix and counts.
+4.  Level by level, joins on the suffix and sums by context give states and weights.
+5.  A chunk asks the slots for the weights of its frequent sequences and adds them up per
+    document.
+
+A key is a hash of 20 bits more than it takes to number all tokens (62 at most), so that about
+one key in a million is shared by chance, at any size; words have 64 bits.
 
 Defined cases: null text is only its end; a null doc_id counts as an empty one when the fold
 is chosen, so it is held out; repeated rows each count and are scored; without training
@@ -25,32 +35,26 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm.common import cut, shared_folder, text_of
+from relievo.llm.common import grouped, shared_folder, text_of
 
-END = b"\n"  # no word holds a line end
+END = "\n"  # no word holds a line end
 DISCOUNT = 0.5
 #: How often the training documents hold a sequence of the tree.
 LEAST = 2
-#: Different words and words in a row that a task holds before it passes them on, and documents of a chunk (their numbers take two bytes).
-MOST_WORDS, MOST_TOKENS, MOST_DOCUMENTS = 500_000, 2_000_000, 60_000
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z lowered, then the end."""
-    words = text.encode().lower().split()
-    words.append(END)
-    return words
+#: Tokens of a chunk, bytes of text that are split at a time, and keys of a slot.
+CHUNK_TOKENS, SPLIT_BYTES, SLOT_KEYS = 2_000_000, 16 << 20, 1_000_000
 
 
 def held_out() -> Column:
@@ -143,302 +147,440 @@ def add_level(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> None:
 # The tree as tables.
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for the words of a task."""
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers, the lowest bytes of all first, without the high bytes that none has."""
+    most = int(values.max()) if len(values) else 0
+    planes = max(1, -(-most.bit_length() // 8))
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        wide[:, : len(blob) // n] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, n).T
+    return wide.view("<u8").ravel()
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return found
+def _bits(mask: np.ndarray) -> bytes:
+    return np.packbits(mask).tobytes()
 
 
-def _joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+def _mask(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, dtype=np.uint8), count=n).astype(bool)
+
+
+def _joined(context: np.ndarray, suffix: np.ndarray, bits: int = 64) -> np.ndarray:
     """Key of a sequence from the keys of all but its last and all but its first word."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + (suffix ^ (suffix >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - bits)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``bits`` of a key, ranges of keys, and words of a context."""
+
+    bits: int
+    slots: int
+    depth: int
+
+    def width(self, level: int) -> int:
+        return 64 if level == 1 else self.bits
+
+    def slot(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return ((keys >> np.uint64(self.width(level) - 24)).astype(np.int64) * self.slots) >> 24
+
+    def slot_of(self, key: Column, level: Column) -> Column:
+        """The same for columns."""
+        high = F.when(level == 1, F.shiftrightunsigned(key, 40)).otherwise(F.shiftrightunsigned(key, self.bits - 24))
+        return F.shiftright(high * F.lit(self.slots).cast("long"), 24)
+
+
+class _Open:
+    """A chunk under way: documents as numbers of its own words; the end has number 0."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {END: 0}
+        self.tokens: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.doc_ids: list = []
+        self.size = 0
+
+    def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the six blanks
+        words, offsets = lists.values, lists.offsets.to_numpy()
+        filled = pc.greater(pc.binary_length(words), 0)
+        before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+        lengths = before[offsets[1:]] - before[offsets[:-1]] + 1
+        encoded = words.filter(filled).dictionary_encode()
+        different = encoded.dictionary.to_pylist()
+        own = np.fromiter((self.number.setdefault(w, len(self.number)) for w in different), dtype=np.int64, count=len(different))
+        tokens = np.zeros(int(lengths.sum()), dtype=np.int64)
+        is_word = np.ones(len(tokens), dtype=bool)
+        is_word[np.cumsum(lengths) - 1] = False
+        tokens[is_word] = own[encoded.indices.to_numpy(zero_copy_only=False)]
+        self.tokens.append(tokens)
+        self.lengths.append(lengths)
+        self.doc_ids += doc_ids.to_pylist()
+        self.size += len(tokens)
+
+    def row(self, kind: pa.DataType, chunk: int, held: bool) -> pa.RecordBatch:
+        tokens, lengths = np.concatenate(self.tokens), np.concatenate(self.lengths)
+        order = np.argsort(-np.bincount(tokens, minlength=len(self.number)), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.number], dtype="<u8")[order]
+        numbers = pa.compress(_packed(place[tokens]), codec="zstd", asbytes=True)
+        columns = [pa.array([chunk]), pa.array([held]), pa.array([len(tokens)]), pa.array([hashes.tobytes()]), pa.array([numbers]), pa.array([_packed(lengths)]), pa.array([self.doc_ids], pa.list_(kind))]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "held", "n_tokens", "words", "numbers", "lengths", "doc_ids"])
+
+
+def _split(kind: pa.DataType) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, chunks = TaskContext.get().partitionId() << 33, {False: _Open(), True: _Open()}
+        for batch in batches:
+            for held in (False, True):
+                part = batch.filter(pc.equal(batch.column("held"), held))
+                bounds = np.cumsum(pc.binary_length(part.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // SPLIT_BYTES
+                for at in np.flatnonzero(np.diff(bounds, prepend=-1)).tolist():
+                    some = part.slice(at, int(np.searchsorted(bounds, bounds[at], "right")) - at)
+                    chunks[held].add(some.column("doc_id"), some.column("text"))
+                    if chunks[held].size >= CHUNK_TOKENS:
+                        yield chunks[held].row(kind, chunk, held)
+                        chunk, chunks[held] = chunk + 1, _Open()
+        for held, rest in chunks.items():
+            if rest.size:
+                yield rest.row(kind, chunk, held)
+                chunk += 1
+        chunks.clear()
+        pa.default_memory_pool().release_unused()
 
-def _sequences(words: np.ndarray, document: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For sequences of 2 words up to one more than ``depth``: key, context, suffix and document."""
-    keys = words
-    for d in range(1, depth + 1):
-        context, suffix = keys[:-1], keys[1:]
-        keys = _joined(context, suffix)
-        inside = document[: len(keys)] == document[d:]
-        yield keys[inside], context[inside], suffix[inside], document[: len(keys)][inside]
+    return run
 
 
-def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
-    """Ranges of keys; ``_slot_of`` is the same for a column."""
-    return ((keys >> np.uint64(40)).astype(np.int64) * slots) >> 24
+class Chunk:
+    """Words and sequences of a stored chunk."""
 
+    def __init__(self, row: dict, plan: Plan):
+        self.plan, self.id, self.held, self.doc_ids = plan, row["chunk"], row["held"], row["doc_ids"]
+        n = row["n_tokens"]
+        self.hashes = np.frombuffer(row["words"], dtype="<u8")
+        planes = max(1, -(-max(0, len(self.hashes) - 1).bit_length() // 8))
+        self.numbers = _unpacked(pa.decompress(row["numbers"], decompressed_size=n * planes, codec="zstd", asbytes=True), n).astype(np.int64)
+        self.lengths = _unpacked(row["lengths"], len(self.doc_ids)).astype(np.int64)
+        self.document = np.repeat(np.arange(len(self.doc_ids)), self.lengths)
 
-def _slot_of(key: Column, slots: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 40) * F.lit(slots).cast("long"), 24)
+    def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """level, key at each place, whether the sequence from there is inside one document."""
+        keys = self.hashes[self.numbers]
+        for level in range(2, self.plan.depth + 2):
+            keys = _joined(keys[:-1], keys[1:], self.plan.bits)
+            yield level, keys, self.document[: len(keys)] == self.document[level - 1 :]
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes, and the place among them of each numbered word."""
+        order = np.argsort(self.hashes)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return self.hashes[order], place
 
-def _spans(slot: np.ndarray, slots: int) -> list[tuple[int, int, int]]:
-    """(slot, from, to) of sorted slots."""
-    ends = np.cumsum(np.bincount(slot, minlength=slots)).tolist()
-    return [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 512):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 512], strict=True), kinds, strict=True)], names)
 
-def _steps(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps: small numbers, which the shuffle's compression shortens."""
-    return np.diff(keys, prepend=np.uint64(0)).tobytes()
 
+_ASKED = ["slot", "chunk", "level", "held", "n", "first", "steps", "counts"]
+_ASKED_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+ASKED = "slot long, chunk long, level int, held boolean, n long, first long, steps binary, counts binary"
 
-def _keys(steps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, dtype="<u8"), dtype=np.uint64)
 
+def _asked(chunk: Chunk, level: int, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted keys by slot: the first of a slot, and the steps from one to the next."""
+    slot = chunk.plan.slot(keys, level)
+    starts = np.flatnonzero(np.diff(slot, prepend=-1))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    firsts = keys[starts].astype(np.uint64).view(np.int64).tolist()
+    steps[starts] = 0
+    rows = []
+    for a, b, first, where in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], firsts, slot[starts].tolist(), strict=True):
+        rows.append((where, chunk.id, level, chunk.held, b - a, first, _packed(steps[a:b]), None if counts is None else _packed(counts[a:b])))
+    yield from _rows(_ASKED, _ASKED_KINDS, rows)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter: Counter[bytes] = Counter()
 
-    def flush() -> pa.RecordBatch:
-        keys = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in counter], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counter.values(), pa.int64())], ["key", "n"])
+def _keys_of(first: int, steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(steps, n), dtype=np.uint64) + np.uint64(first & 0xFFFFFFFFFFFFFFFF)
 
-    for batch in batches:
-        for text in batch.column("text"):
-            counter.update(tokens(text.as_py()))
-            if len(counter) > MOST_WORDS:
-                yield flush()
-                counter.clear()
-    yield flush()
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and how often each is there."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[starts], np.diff(starts, append=len(keys))
 
-def _count_sequences(depth: int, slots: int) -> Callable:
-    """Blobs of (context, suffix, count), sorted by context, by slot and length."""
 
+def _ask_counts(plan: Plan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, lengths = _Hashes(), [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            document = np.repeat(np.arange(len(lengths)), lengths)
-            for level, (keys, context, suffix, _) in enumerate(_sequences(np.concatenate(held), document, depth)):
-                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                context, suffix, slot = context[first], suffix[first], _slots(keys, slots)
-                order = np.lexsort([context, slot])
-                context, suffix, counts = context[order], suffix[order], counts[order].astype("<u4")
-                spans = _spans(slot, slots)
-                for at in range(0, len(spans), 256):
-                    some = spans[at : at + 256]
-                    columns = [pa.array([k * depth + level for k, _, _ in some], pa.int64()), *(pa.array([f(x[a:b]) for _, a, b in some], pa.binary()) for f, x in ((_steps, context), (np.ndarray.tobytes, suffix), (np.ndarray.tobytes, counts)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["slot", "context", "suffix", "counts"])
-
         for batch in batches:
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                held.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
-                lengths.append(len(words))
-            if sum(lengths) >= MOST_TOKENS:
-                yield from flush()
-                held, lengths = [], []
-        if held:
-            yield from flush()
+            for row in batch.to_pylist():
+                chunk = Chunk(row, plan)
+                words, place = chunk.words()
+                yield from _asked(chunk, 1, words, np.bincount(place[chunk.numbers], minlength=len(words)))
+                for level, keys, inside in chunk.keys():
+                    yield from _asked(chunk, level, *_different(keys[inside]))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _add_sequences(depth: int, least: int) -> Callable:
+_ANSWERS = ["chunk", "level", "slot", "n", "often", "own", "totals"]
+_ANSWER_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+ANSWERS = "chunk long, level int, slot long, n long, often binary, own binary, totals binary"
+
+
+def _answer_counts(least: int) -> Callable:
+    """For each blob which of its keys are frequent, which its chunk is to put into the table, and the counts of the frequent ones (of words: of all).
+
+    A row of chunk -1 has the number of different words of the slot.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(slot: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            context, suffix = np.concatenate([_keys(c) for c, _, _ in held]), np.frombuffer(b"".join(s for _, s, _ in held), dtype="<u8")
-            keys, first, inverse = np.unique(_joined(context, suffix), return_index=True, return_inverse=True)
-            sums = np.bincount(inverse, weights=np.frombuffer(b"".join(n for _, _, n in held), dtype="<u4")).astype(np.int64)
-            often = sums >= least
-            keys, first, sums = keys[often], first[often], sums[often]
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), slot % depth, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[first], suffix[first])), pa.array(sums)], ["level", "key", "context", "suffix", "n"])
-
-        slot, held = None, []
-        for batch in batches:
-            for k, *blobs in zip(*(batch.column(x).to_pylist() for x in ("slot", "context", "suffix", "counts")), strict=True):
-                if k != slot and held:
-                    yield from total(slot, held)
-                    held = []
-                slot = k
-                held.append(blobs)
-        if held:
-            yield from total(slot, held)
+        for table in grouped(batches, "slot"):
+            by_level: dict[int, list[dict]] = {}
+            for row in table.to_pylist():
+                by_level.setdefault(row["level"], []).append(row)
+            for level, blobs in by_level.items():
+                blobs.sort(key=lambda row: (row["held"], row["chunk"]))
+                counts = np.concatenate([np.zeros(b["n"], dtype=np.uint64) if b["held"] else _unpacked(b["counts"], b["n"]) for b in blobs])
+                keys, inverse = np.unique(np.concatenate([_keys_of(b["first"], b["steps"], b["n"]) for b in blobs]), return_inverse=True)
+                totals = np.bincount(inverse, counts, len(keys)).astype(np.int64)
+                first = np.empty(len(keys), dtype=np.int64)
+                first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+                often = totals >= least
+                own = np.zeros(len(inverse), dtype=bool)
+                own[first[often]] = True
+                often, totals = often[inverse], totals[inverse]
+                rows, a = [], 0
+                for blob in blobs:
+                    b = a + blob["n"]
+                    wanted = totals[a:b] if level == 1 else totals[a:b][often[a:b]]
+                    rows.append((blob["chunk"], level, blob["slot"], blob["n"], _bits(often[a:b]), _bits(own[a:b]), _packed(wanted)))
+                    a = b
+                if level == 1:
+                    rows.append((-1, 1, blobs[0]["slot"], int(np.count_nonzero(np.bincount(inverse, counts))), None, None, None))
+                yield from _rows(_ANSWERS, _ANSWER_KINDS, rows)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows in columns in the shared folder, smaller than a checkpoint; what the shuffles before left can go."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+class Known:
+    """What the slots answered a chunk, by level, in the order of its sorted different keys."""
 
+    def __init__(self, answers: list[dict]):
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_level: dict[int, list[dict]] = {}
+        for a in answers:
+            by_level.setdefault(a["level"], []).append(a)
+        for level, some in by_level.items():
+            some.sort(key=lambda a: a["slot"])
+            often, own = (np.concatenate([_mask(a[f], a["n"]) for a in some]) for f in ("often", "own"))
+            if level == 1:
+                totals = np.concatenate([_unpacked(a["totals"], a["n"]) for a in some]).astype(np.int64)
+            else:
+                totals = np.zeros(len(often), dtype=np.int64)
+                totals[often] = np.concatenate([_unpacked(a["totals"], int(_mask(a["often"], a["n"]).sum())) for a in some])
+            self.levels[level] = often, own, totals
 
-def train(docs: DataFrame, depth: int = 2, least: int = LEAST) -> tuple[DataFrame, int, int]:
-    """(key, weight, base, known) whose sums over a document's sequences are its score and base score above those of unknown words; tokens and different words."""
-    spark = docs.sparkSession
-    texts = docs.where(~held_out()).select(text_of().alias("text"))
-    words = cut(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = texts.mapInArrow(_count_sequences(depth, 8 * partitions), "slot long, context binary, suffix binary, counts binary")
-    summed = blobs.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(_add_sequences(depth, least), "level int, key long, context long, suffix long, n long")
-    counted = _stored(summed, "sequences")
-    root = F.log10((F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1)))
-    shorter = words.select("key", "n", root.alias("v"))
-    above = F.log10((F.col("n") + 0.1) / 0.1)
-    weights = words.select("key", above.alias("weight"), above.alias("base"), F.lit(1).alias("known"))
-    none = (F.lit(0.0).alias("base"), F.lit(0).alias("known"))
-    for level in range(depth):
-        found = counted.where(F.col("level") == level).drop("level").join(shorter.select(F.col("key").alias("suffix"), F.col("v").alias("log_q")), "suffix").drop("suffix")
-        found = found.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context")
-        p, q, share = F.col("n") / F.col("seen"), F.pow(F.lit(10.0), "log_q"), (F.col("n") - DISCOUNT) / F.col("seen")
-        sums = found.groupBy("context", "seen").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.count("*").alias("explicit"), F.sum(share).alias("share"))
-        rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("p")), F.greatest(F.lit(1e-12), 1 - F.col("q"))
-        divergence = F.col("d") + F.when(rest_p > 0, rest_p * F.log(F.greatest(rest_p, F.lit(1e-12)) / rest_q)).otherwise(0.0)
-        is_state = F.col("seen") * divergence > 0.5 * math.log(max(total, 2)) * F.col("explicit")
-        states = _stored(sums.where(is_state).select("context", F.log10(F.greatest(1 - F.col("share"), F.lit(1e-12))).alias("log_rest")), "states")
-        passed = F.log10(share + F.pow(F.lit(10.0), "log_rest") * q)
-        found = found.join(states, "context", "left").select("key", "n", F.coalesce(passed, "log_q").alias("v"), F.coalesce(passed - F.col("log_q") - F.col("log_rest"), F.lit(0.0)).alias("weight"))
-        shorter = _stored(found, "level")
-        weights = weights.unionByName(shorter.where("weight <> 0").select("key", "weight", *none)).unionByName(states.select(F.col("context").alias("key"), F.col("log_rest").alias("weight"), *none))
-    return weights, total, vocabulary
+    def __getitem__(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=bool)
+        return self.levels.get(level, (none, none, np.zeros(0, dtype=np.int64)))
 
 
-def _document_blobs(depth: int, slots: int, kind: pa.DataType) -> Callable:
-    """A chunk's documents as a row of kind 2, and its sequences as blobs of kind 1 by slot: key, how many occurrences, the document of each."""
-    names = ["slot", "kind", "chunk", "keys", "times", "docs", "doc_ids", "held", "lengths"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+TABLE = "level int, key long, context long, suffix long, n long, seen long, suffix_n long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, chunk = _Hashes(), TaskContext.get().partitionId() << 33
-        held, lengths, doc_ids, folds = [], [], [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            document = np.repeat(np.arange(len(lengths), dtype="<u2"), lengths)
-            words = np.concatenate(held)
-            parts = [(words, document), *((keys, where) for keys, _, _, where in _sequences(words, document, depth))]
-            keys, where = np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts])
-            order = np.argsort(keys, kind="stable")
-            where = where[order]
-            keys, times = np.unique(keys, return_counts=True)
-            ends = np.concatenate([[0], np.cumsum(times)])
-            times = times.astype("<u4")
-            spans = _spans(_slots(keys, slots), slots)
-            rows = [(chunk % slots, 2, chunk, None, None, None, doc_ids, folds, lengths)]
-            rows += [(k, 1, chunk, _steps(keys[a:b]), times[a:b].tobytes(), where[ends[a] : ends[b]].tobytes(), None, None, None) for k, a, b in spans]
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names)
 
+def _put(plan: Plan) -> Callable:
+    """The sequences that a chunk is to put into the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, fold, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
-                words = tokens(text.as_py())
-                held.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
-                lengths.append(len(words))
-                doc_ids.append(doc_id)
-                folds.append(fold)
-                if len(lengths) >= MOST_DOCUMENTS:
-                    yield from flush()
-                    chunk, held, lengths, doc_ids, folds = chunk + 1, [], [], [], []
-            if sum(lengths) >= MOST_TOKENS:
-                yield from flush()
-                chunk, held, lengths, doc_ids, folds = chunk + 1, [], [], [], []
-        if held:
-            yield from flush()
+            for row in batch.to_pylist():
+                chunk, known = Chunk(row, plan), Known(row["answers"])
+                _, place = chunk.words()
+                shorter, total = chunk.hashes[chunk.numbers], known[1][2][place][chunk.numbers]
+                for level, keys, inside in chunk.keys():
+                    at = np.flatnonzero(inside)
+                    different, inverse = np.unique(keys[at], return_inverse=True)
+                    _, own, totals = known[level]
+                    first = np.empty(len(different), dtype=np.int64)
+                    first[inverse[::-1]] = at[::-1]
+                    here = first[own]
+                    columns = [keys[here].view(np.int64), shorter[here].view(np.int64), shorter[here + 1].view(np.int64), totals[own], total[here], total[here + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), level, dtype=np.int32)), *map(pa.array, columns)], ["level", "key", "context", "suffix", "n", "seen", "suffix_n"])
+                    shorter, total = keys, np.zeros(len(keys), dtype=np.int64)
+                    total[at] = totals[inverse]
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _weigh(kind: pa.DataType) -> Callable:
-    """The sums of a partition's weights per document, chunk by chunk; rows of weights come first, then blobs sorted by chunk."""
-    names, kinds = ["chunk", "sums", "doc_ids", "held", "lengths"], [pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-
+def _ask_weights(plan: Plan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, table = [], None
-        chunk, sums = None, np.zeros((3, 0))
-
-        def row(*values) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
-
         for batch in batches:
-            kinds_here = batch.column("kind").to_numpy()
-            n = int(np.searchsorted(kinds_here, 1))
-            if n:
-                held.append([batch.column(x).slice(0, n).to_numpy(zero_copy_only=False) for x in ("key", "weight", "base", "known")])
-            if n == len(kinds_here):
-                continue
-            if table is None:
-                keys, weights = np.zeros(0, np.uint64), np.zeros((3, 0))
-                if held:
-                    keys, inverse = np.unique(np.concatenate([h[0] for h in held]).view(np.uint64), return_inverse=True)
-                    weights = np.stack([np.bincount(inverse, np.concatenate([h[k] for h in held])) for k in (1, 2, 3)])
-                table, held = (keys, np.concatenate([weights, np.zeros((3, 1))], axis=1)), []
-            rest = batch.slice(n)
-            for what, at, keys, times, docs, *info in zip(*(rest.column(x).to_pylist() for x in ("kind", "chunk", "keys", "times", "docs", "doc_ids", "held", "lengths")), strict=True):
-                if what == 2:
-                    yield row(at, None, *info)
-                    continue
-                if at != chunk:
-                    if chunk is not None:
-                        yield row(chunk, sums.tobytes(), None, None, None)
-                    chunk, sums = at, np.zeros((3, 0))
-                where = np.frombuffer(docs, dtype="<u2")
-                place = np.repeat(_index(table[0], _keys(keys)), np.frombuffer(times, dtype="<u4"))
-                hit = place >= 0
-                where, place = where[hit], place[hit]
-                found = np.stack([np.bincount(where, table[1][k][place], sums.shape[1]).astype(float) for k in range(3)])
-                found[:, : sums.shape[1]] += sums
-                sums = found
-        if chunk is not None:
-            yield row(chunk, sums.tobytes(), None, None, None)
+            for row in batch.to_pylist():
+                chunk, known = Chunk(row, plan), Known(row["answers"])
+                yield from _asked(chunk, 1, chunk.words()[0][known[1][0]])
+                for level, keys, inside in chunk.keys():
+                    yield from _asked(chunk, level, _different(keys[inside])[0][known[level][0]])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _add_up(kind: pa.DataType) -> Callable:
-    """Rows of a chunk, sorted by chunk, become rows of its documents."""
+WEIGHTS = "chunk long, level int, slot long, n long, weights binary"
+
+
+def _answer_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in grouped(batches, "slot"):
+        is_weight = pc.is_valid(table["weight"])
+        given, blobs = table.filter(is_weight), table.filter(pc.invert(is_weight)).to_pylist()
+        level_of, keys_of, weights_of = (given[c].to_numpy() for c in ("level", "first", "weight"))
+        tables = {}
+        for level in np.unique(level_of).tolist():
+            mine = level_of == level
+            keys, inverse = np.unique(keys_of[mine].view(np.uint64), return_inverse=True)
+            tables[level] = keys, np.append(np.bincount(inverse, weights_of[mine]), 0.0).astype("<f4")
+        rows = []
+        for b in blobs:
+            if b["level"] in tables:
+                keys, weights = tables[b["level"]]
+                found = weights[_index(keys, _keys_of(b["first"], b["steps"], b["n"]))]
+            else:
+                found = np.zeros(b["n"], dtype="<f4")
+            rows.append((b["chunk"], b["level"], b["slot"], b["n"], found.tobytes()))
+        yield from _rows(["chunk", "level", "slot", "n", "weights"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], rows)
+    pa.default_memory_pool().release_unused()
+
+
+def _score(plan: Plan, kind: pa.DataType, total: int, vocabulary: int) -> Callable:
+    floor = total + 0.1 * (vocabulary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(info: list, held: list[bytes]) -> pa.RecordBatch:
-            doc_ids, folds, lengths = info
-            sums = np.zeros((3, len(lengths)))
-            for blob in held:
-                part = np.frombuffer(blob).reshape(3, -1)
-                sums[:, : part.shape[1]] += part
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, kind), pa.array(folds, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "base", "weight"])
-
-        chunk, info, held = None, None, []
         for batch in batches:
-            for at, blob, *more in zip(*(batch.column(x).to_pylist() for x in ("chunk", "sums", "doc_ids", "held", "lengths")), strict=True):
-                if at != chunk:
-                    if chunk is not None:
-                        yield rows(info, held)
-                    chunk, info, held = at, None, []
-                if blob is None:
-                    info = more
-                else:
-                    held.append(blob)
-        if chunk is not None:
-            yield rows(info, held)
+            for row in batch.to_pylist():
+                chunk, known = Chunk(row, plan), Known(row["answers"])
+                weights: dict[int, list[dict]] = {}
+                for w in sorted(row["weights"] or [], key=lambda w: w["slot"]):
+                    weights.setdefault(w["level"], []).append(np.frombuffer(w["weights"], dtype="<f4"))
+                size = len(chunk.doc_ids)
+
+                def sums(level: int, document: np.ndarray, place: np.ndarray) -> np.ndarray:
+                    value = np.zeros(len(known[level][0]))
+                    if level in weights:
+                        value[known[level][0]] = np.concatenate(weights[level])  # noqa: B023
+                    return np.bincount(document, value[place], size)  # noqa: B023
+
+                place = chunk.words()[1][chunk.numbers]
+                count = known[1][2][place]
+                base = np.bincount(chunk.document, np.log10((count + 0.1) / floor), size)
+                score = base + sums(1, chunk.document, place)
+                for level, keys, inside in chunk.keys():
+                    if inside.any():
+                        score += sums(level, chunk.document[: len(keys)][inside], np.unique(keys[inside], return_inverse=True)[1])
+                n_known = np.bincount(chunk.document, count > 0, size).astype(np.int64)
+                columns = [pa.array(chunk.doc_ids, kind), pa.array([chunk.held] * size, pa.bool_()), pa.array(chunk.lengths), pa.array(n_known), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows in columns in the shared folder, smaller than a checkpoint, and their place; what the shuffles before left can go."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of our own that nothing reads any more."""
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _chunk_table(docs: DataFrame, kind: pa.DataType, buckets: int) -> DataFrame:
+    """The words of all documents in chunks, in buckets by chunk, so that answers come to a chunk without moving it."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", held_out().alias("held"), text_of().alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_split(kind), f"chunk long, held boolean, n_tokens long, words binary, numbers binary, lengths binary, doc_ids array<{id_type}>")
+    name = f"chunks_{uuid.uuid4().hex}"
+    found.write.format("parquet").option("path", shared_folder(spark, "chunks")).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return table
+
+
+def _met(chunks: DataFrame, **answers: DataFrame) -> DataFrame:
+    """Chunks with all answers to them, a few bits or bytes for each of their sequences."""
+    for name, table in answers.items():
+        fields = [F.col(c) for c in table.columns if c != "chunk"]
+        chunks = chunks.join(table.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias(name)), "chunk", "left")
+    return chunks
+
+
+def _weights(counted: DataFrame, plan: Plan, total: int, vocabulary: int) -> DataFrame:
+    """level, key, weight: what a sequence adds to a score, as the last word after its context and as a state."""
+    spark, values, parts, done = counted.sparkSession, None, [], []
+    for level in range(2, plan.depth + 2):
+        found = counted.where(F.col("level") == level).drop("level")
+        if values is None:
+            found = found.withColumn("log_q", F.log10((F.col("suffix_n") + 0.1) / (total + 0.1 * (vocabulary + 1)))).drop("suffix", "suffix_n")
+        else:
+            found = found.join(values.select(F.col("key").alias("suffix"), F.col("v").alias("log_q")), "suffix").drop("suffix", "suffix_n")
+            found, path = _stored(found, "sequences")
+            done.append(path)
+        p, q, share = F.col("n") / F.col("seen"), F.pow(F.lit(10.0), "log_q"), (F.col("n") - DISCOUNT) / F.col("seen")
+        sums = found.groupBy("context", "seen").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.count("*").alias("explicit"), F.sum(share).alias("share"))
+        rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("p")), F.greatest(F.lit(1e-12), 1 - F.col("q"))
+        divergence = F.col("d") + F.when(rest_p > 0, rest_p * F.log(F.greatest(rest_p, F.lit(1e-12)) / rest_q)).otherwise(0.0)
+        is_state = F.col("seen") * divergence > 0.5 * math.log(max(total, 2)) * F.col("explicit")
+        states, path = _stored(sums.where(is_state).select("context", F.log10(F.greatest(1 - F.col("share"), F.lit(1e-12))).alias("log_rest")), "states")
+        parts.append(states.select(F.lit(level - 1).alias("level"), F.col("context").alias("key"), F.col("log_rest").alias("weight")))
+        passed = F.log10(share + F.pow(F.lit(10.0), "log_rest") * q)
+        met = found.join(states, "context", "left").select("key", F.coalesce(passed, "log_q").alias("v"), (passed - F.col("log_q") - F.col("log_rest")).alias("weight"))
+        values, _ = _stored(met, "values")
+        parts.append(values.where("weight IS NOT NULL").select(F.lit(level).alias("level"), "key", "weight"))
+        _discard(spark, *done)
+        done = []
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
-    weights, total, vocabulary = train(docs, depth, least)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = 8 * partitions
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    kind = rows.limit(0).toArrow().schema.field("doc_id").type
-    info = f"doc_ids array<{id_type}>, held array<boolean>, lengths array<long>"
-    blobs = rows.mapInArrow(_document_blobs(depth, slots, kind), f"slot long, kind int, chunk long, keys binary, times binary, docs binary, {info}")
-    both = weights.select(_slot_of(F.col("key"), slots).alias("slot"), F.lit(0).alias("kind"), "*").unionByName(blobs, allowMissingColumns=True)
-    sums = both.repartition(partitions, "slot").sortWithinPartitions("kind", "chunk").mapInArrow(_weigh(kind), f"chunk long, sums binary, {info}")
-    found = sums.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(_add_up(kind), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, weight double")
-    unknown = F.col("n_tokens") * math.log10(0.1 / (total + 0.1 * (vocabulary + 1)))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("weight") + unknown).alias("score"))
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_type, kind = docs.schema["doc_id"].dataType.simpleString(), docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
+    chunks = _chunk_table(docs, kind, partitions)
+    tokens, total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("held"), F.col("n_tokens"))), F.lit(0))).first()
+    plan = Plan(min(62, max(1, tokens).bit_length() + 20), max(1, -(-tokens * (depth + 1) // SLOT_KEYS)), depth)
+    dealt = max(partitions, plan.slots // 8)
+    by_slot = lambda df: df.repartition(dealt, "slot").sortWithinPartitions("slot")
+    answers, _ = _stored(by_slot(chunks.mapInArrow(_ask_counts(plan), ASKED)).mapInArrow(_answer_counts(least), ANSWERS), "answers")
+    vocabulary = answers.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = _met(chunks, answers=answers)
+    counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted")
+    weights = _weights(counted, plan, total, vocabulary)
+    _discard(spark, path)
+    level, key = F.col("level"), F.col("key")
+    given = weights.select(plan.slot_of(key, level).alias("slot"), "level", key.alias("first"), "weight")
+    asked = met.mapInArrow(_ask_weights(plan), ASKED).drop("held", "counts").unionByName(given, allowMissingColumns=True)
+    told, _ = _stored(by_slot(asked).mapInArrow(_answer_weights, WEIGHTS), "weights")
+    found = _met(chunks, answers=answers, weights=told).mapInArrow(_score(plan, kind, total, vocabulary), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relievo.llm.common import cut, small, text_of, with_row
+from relievo.llm.common import cut, grouped, small, text_of, with_row
 from relievo.operators.graphs import components
 
 PARTS = 16
@@ -124,28 +124,11 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows of one key, from rows sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if a == b:
-                continue
-            if held and held[-1].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _count_shared(schema: pa.Schema):
     """Per slot: for each pack, how many hashes of which document another document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, "slot"):
+        for table in grouped(batches, "slot"):
             is_blob = pc.is_valid(table["hashes"])
             docs = table.filter(pc.invert(is_blob))
             if len(docs):
@@ -175,7 +158,7 @@ def _survivors(num: int, den: int, schema: pa.Schema):
     """Per pack: which documents share enough of their counted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, "pack"):
+        for table in grouped(batches, "pack"):
             is_doc = pc.is_valid(table["place"])
             total = np.zeros(PACK_DOCS, dtype=np.int64)
             for places, shared in zip(*(table.filter(pc.invert(is_doc))[c].to_pylist() for c in ("places", "shared")), strict=True):

@@ -151,14 +151,31 @@ def one_machine(table, depth=2):
     return scores
 
 
-def test_tables_score_like_the_tree_in_memory(spark):
+@pytest.mark.parametrize("depth, keys, tokens", [(2, 1_000_000, 2_000_000), (4, 300, 700)])
+def test_tables_score_like_the_tree_in_memory(spark, monkeypatch, depth, keys, tokens):
+    monkeypatch.setattr(language_model, "SLOT_KEYS", keys)
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", tokens)
     rng = np.random.default_rng(5)
     table = [(i, " ".join(f"w{k}" for k in (rng.zipf(1.4, 60) % 40).tolist()) + (" always the same end" if i % 3 else f" once{i}")) for i in range(80)]
-    got = {r.doc_id: r for r in language_model.score_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
-    assert [got[i].score for i, _ in table] == pytest.approx(one_machine(table))
+    got = {r.doc_id: r for r in language_model.score_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(3), depth).collect()}
+    assert [got[i].score for i, _ in table] == pytest.approx(one_machine(table, depth), rel=1e-5)
     assert any(abs(r.score - r.base_score) > 1 for r in got.values())
 
 
+def test_held_out_texts_gain(spark):
+    """A held-out text of a language with strong contexts scores far better than by its words alone."""
+    rng = np.random.default_rng(8)
+    after = {k: rng.integers(0, 50, 2) for k in range(50)}
+    table = []
+    for i in range(400):
+        words = [int(rng.integers(0, 50))]
+        while len(words) < 80:
+            words.append(int(after[words[-1]][rng.integers(0, 2)]))
+        table.append((i, " ".join(f"w{k}" for k in words)))
+    held = language_model.score_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[1] > 0.8
+
+
 def test_a_context_stays_whatever_the_corpus_holds(spark):
     train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10]
     held = next(i for i in range(60, 200) if not zlib.crc32(str(i).encode()) % 10)
