@@ -415,8 +415,10 @@ def _put(plan: Plan) -> Callable:
                     _, own, totals = known[level]
                     first = np.empty(len(different), dtype=np.int64)
                     first[inverse[::-1]] = at[::-1]
-                    here = first[own]
-                    columns = [keys[here].view(np.int64), shorter[here].view(np.int64), shorter[here + 1].view(np.int64), totals[own], total[here], total[here + 1]]
+                    n, here = totals[own], first[own]
+                    real = (total[here] >= n) & (total[here + 1] >= n)  # not so where sequences share a key by chance
+                    n, here = n[real], here[real]
+                    columns = [keys[here].view(np.int64), shorter[here].view(np.int64), shorter[here + 1].view(np.int64), n, total[here], total[here + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), level, dtype=np.int32)), *map(pa.array, columns)], ["level", "key", "context", "suffix", "n", "seen", "suffix_n"])
                     shorter, total = keys, np.zeros(len(keys), dtype=np.int64)
                     total[at] = totals[inverse]
