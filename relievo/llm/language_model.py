@@ -54,7 +54,7 @@ DISCOUNT = 0.5
 #: How often the training documents hold a sequence of the tree.
 LEAST = 2
 #: Tokens of a chunk, bytes of text that are split at a time, and keys of a slot.
-CHUNK_TOKENS, SPLIT_BYTES, SLOT_KEYS = 2_000_000, 16 << 20, 1_000_000
+CHUNK_TOKENS, SPLIT_BYTES, SLOT_KEYS = 1_000_000, 4 << 20, 500_000
 
 
 def held_out() -> Column:
@@ -266,9 +266,9 @@ class Chunk:
         n = row["n_tokens"]
         self.hashes = np.frombuffer(row["words"], dtype="<u8")
         planes = max(1, -(-max(0, len(self.hashes) - 1).bit_length() // 8))
-        self.numbers = _unpacked(pa.decompress(row["numbers"], decompressed_size=n * planes, codec="zstd", asbytes=True), n).astype(np.int64)
+        self.numbers = _unpacked(pa.decompress(row["numbers"], decompressed_size=n * planes, codec="zstd", asbytes=True), n).astype(np.int32)
         self.lengths = _unpacked(row["lengths"], len(self.doc_ids)).astype(np.int64)
-        self.document = np.repeat(np.arange(len(self.doc_ids)), self.lengths)
+        self.document = np.repeat(np.arange(len(self.doc_ids), dtype=np.int32), self.lengths)
 
     def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """level, key at each place, whether the sequence from there is inside one document."""
@@ -285,6 +285,12 @@ class Chunk:
         return self.hashes[order], place
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of chunks, of which only one at a time is unpacked."""
+    for k in range(len(batch)):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 512):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 512], strict=True), kinds, strict=True)], names)
@@ -322,7 +328,7 @@ def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _ask_counts(plan: Plan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 chunk = Chunk(row, plan)
                 words, place = chunk.words()
                 yield from _asked(chunk, 1, words, np.bincount(place[chunk.numbers], minlength=len(words)))
@@ -405,7 +411,7 @@ def _put(plan: Plan) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 chunk, known = Chunk(row, plan), Known(row["answers"])
                 _, place = chunk.words()
                 shorter, total = chunk.hashes[chunk.numbers], known[1][2][place][chunk.numbers]
@@ -430,7 +436,7 @@ def _put(plan: Plan) -> Callable:
 def _ask_weights(plan: Plan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 chunk, known = Chunk(row, plan), Known(row["answers"])
                 yield from _asked(chunk, 1, chunk.words()[0][known[1][0]])
                 for level, keys, inside in chunk.keys():
@@ -470,7 +476,7 @@ def _score(plan: Plan, kind: pa.DataType, total: int, vocabulary: int) -> Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 chunk, known = Chunk(row, plan), Known(row["answers"])
                 weights: dict[int, list[dict]] = {}
                 for w in sorted(row["weights"] or [], key=lambda w: w["slot"]):
