@@ -97,13 +97,13 @@ def _radius(lat_ts: float, k0: float) -> float:
     return A * math.cos(phi) / math.sqrt(1 - E2 * s * s) / t
 
 
-def ll2ps(lon: str, lat: str, lon0: float = 0.0, lat_ts: float = 90.0, false_east: float = 0.0, false_north: float = 0.0, k0: float = 0.994) -> tuple[str, str]:
-    """Polar stereographic; the hemisphere is that of ``lat_ts``, and points of the other one become null."""
+def ll2ps(lon: str, lat: str, lon0: float = 0.0, lat_ts: float = 90.0, false_east: float = 0.0, false_north: float = 0.0, k0: float = 0.994, other: str = "raise_error('points of both hemispheres')") -> tuple[str, str]:
+    """Polar stereographic; the hemisphere is that of ``lat_ts``, and a point of the other one is an error unless ``other`` says what it gives."""
     sign = 1 if lat_ts > 0 else -1
     rho = f"({_d(_radius(lat_ts, k0))} * {_conformal(f'radians({sign} * ({lat}))')})"
     turn = f"(radians({lon}) - {_d(math.radians(lon0))})"
     inside = f"{sign} * ({lat}) > 0"
-    return f"CASE WHEN {inside} THEN {_d(false_east)} + {rho} * sin({turn}) END", f"CASE WHEN {inside} THEN {_d(false_north)} - {sign} * {rho} * cos({turn}) END"
+    return tuple(f"CASE WHEN {inside} THEN {v} WHEN {lat} IS NULL THEN NULL ELSE {other} END" for v in (f"{_d(false_east)} + {rho} * sin({turn})", f"{_d(false_north)} - {sign} * {rho} * cos({turn})"))
 
 
 def ps2ll(x: str, y: str, lon0: float = 0.0, lat_ts: float = 90.0, false_east: float = 0.0, false_north: float = 0.0, k0: float = 0.994) -> tuple[str, str]:

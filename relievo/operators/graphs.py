@@ -11,21 +11,28 @@ from relievo.lineage import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, component for the nodes of ``edges`` (a, b); the component is its smallest node.
 
-    In a round every node moves to the smallest of itself and its neighbours, and once more
-    from there; edges are renamed by these moves, and loops and repeats are dropped.  A node
-    with many neighbours only takes part in partial minima and in joins against unique keys.
-    Rounds grow with the logarithm of the longest path.
+    In a round every node moves to the one of itself and its neighbours that a hash, drawn anew
+    each round, puts first, and once more from there; edges are renamed by these moves, and
+    loops and repeats are dropped.  As the order is random, a share of the nodes goes in every
+    round even where nodes are numbered along a path, so rounds grow with the logarithm of the
+    nodes.  A node with many neighbours only takes part in partial minima and in joins against
+    unique keys.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    found = nodes.select("node", F.col("node").alias("component"))
+    found, k = nodes.select("node", F.col("node").alias("component")), 0
     while not edges.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("up"))
+        up = both.groupBy(F.col("a").alias("n")).agg(F.min(place("b")).alias("m")).select("n", F.least(place("n"), "m")["to"].alias("up"))
         top = up.select(F.col("n").alias("k"), F.col("up").alias("top"))
         move = cut(up.join(top, F.col("up") == F.col("k")).select("n", "top"))
-        to = lambda side: move.select(F.col("n").alias(f"n_{side}"), F.col("top").alias(f"to_{side}"))
+        to = lambda side: move.select(F.col("n").alias(f"n_{side}"), F.col("top").alias(f"to_{side}"))  # noqa: B023, E731
         found = found.join(to("c"), F.col("component") == F.col("n_c"), "left").select("node", F.coalesce("to_c", "component").alias("component"))
+        if k % 4 == 3:
+            found = cut(found)
         moved = edges.join(to("a"), F.col("a") == F.col("n_a")).join(to("b"), F.col("b") == F.col("n_b"))
-        edges = cut(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    return cut(found)
+        edges, k = cut(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()), k + 1
+    found = cut(found)
+    least = found.groupBy(F.col("component").alias("c")).agg(F.min("node").alias("least"))
+    return cut(found.join(least, F.col("component") == F.col("c")).select("node", F.col("least").alias("component")))

@@ -34,6 +34,14 @@ def grid_points(points: DataFrame, x0: float, y0: float, dx: float, dy: float, c
     return cell.where(inside).groupBy(*keys, "r", "c").agg(F.avg("z").alias("val"), F.count("z").alias("n"))
 
 
+def grid_of(points: DataFrame, dx: float, dy: float) -> dict:
+    """The grid of cells of this size that holds all points: arguments of ``grid_points``."""
+    x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None:
+        return {"x0": 0.0, "y0": 0.0, "dx": dx, "dy": dy, "cols": 0, "rows": 0}
+    return {"x0": float(x0), "y0": float(y1), "dx": dx, "dy": dy, "cols": int((x1 - x0) / dx + 0.5) + 1, "rows": int((y1 - y0) / dy + 0.5) + 1}
+
+
 def mask_nulls(raster: DataFrame, null: float | Sequence[float] | str | None) -> DataFrame:
     """Values that mean no data become null: one, several, or ``"dem"`` for heights outside -500 to 9000."""
     val = F.col("val")

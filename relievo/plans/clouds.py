@@ -26,7 +26,7 @@ def grid_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spacing_mode(spark: SparkSession, d: str) -> DataFrame:
-    parts = pc(spark, d).where("x % 7 < 3")
+    parts = pc(spark, d)
     return pt.spacing_mode(parts, "x").select(F.lit("x").alias("axis"), "step", "n").unionByName(pt.spacing_mode(parts, "y").select(F.lit("y").alias("axis"), "step", "n"))
 
 
@@ -121,14 +121,14 @@ def _inverse3(m: list[list[float]]) -> list[list[float]]:
 def knn_spatial(spark: SparkSession, d: str) -> DataFrame:
     points = geo(spark, d)
     queries = points.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    targets = points.where("id % 3 = 1").select(F.col("id").alias("tid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    targets = points.where("id % 3 <> 0").select(F.col("id").alias("tid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     return pt.nearest(queries, targets, 0.2).select("qid", "tid", F.round("d2", 9).alias("d2"))
 
 
 def icp_pairs_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     points = geo(spark, d)
     queries = points.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    targets = points.where("id % 7 = 1").select(F.col("id").alias("tid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    targets = points.where("id % 3 <> 0").select(F.col("id").alias("tid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     return pt.one_to_one(pt.nearest(queries, targets, 0.2)).select("qid", "tid", F.round("d2", 9).alias("d2"))
 
 
@@ -230,7 +230,7 @@ _M = [[*[1.1 * v for v in row], t] for row, t in zip([[math.cos(math.radians(20)
 _X, _Y, _Z = _affine_sql(_M, "x", "y", "z")
 _PAIRS = f"{with_sql('tgt')}, pairs AS (SELECT id, x AS x2, y AS y2, z AS z2, {_X} + CASE WHEN id % 5 = 0 THEN id % 13 + 10 ELSE 0 END AS x1, {_Y} - CASE WHEN id % 5 = 0 THEN id % 13 + 10 ELSE 0 END AS y1, {_Z} AS z1 FROM tgt)"
 _SIDES = [f"{a}{k}" for k in (1, 2) for a in "xyz"]
-_NEAR = "near AS (SELECT q.id AS qid, min({{'d2': (q.lon - t.lon) * (q.lon - t.lon) + (q.lat - t.lat) * (q.lat - t.lat), 'tid': t.id}}) AS b FROM geo q, geo t WHERE q.id % 3 = 0 AND t.id % {0} = 1 GROUP BY q.id)"
+_NEAR = "near AS (SELECT q.id AS qid, min({{'d2': (q.lon - t.lon) * (q.lon - t.lon) + (q.lat - t.lat) * (q.lat - t.lat), 'tid': t.id}}) AS b FROM geo q, geo t WHERE q.id % 3 = 0 AND t.id % 3 <> 0 GROUP BY q.id)"
 
 
 def _residual_sql(angle: float, k: float) -> str:
@@ -250,14 +250,14 @@ def _normal_sql(terms: list[str], target: str) -> str:
 _UTM = pr.ll2utm("lon", "lat", "35", "lat < 0")
 SQL = {
     "grid_bounds": f"{with_sql('pc')} SELECT region, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, count(*) AS n FROM pc GROUP BY region",
-    "spacing_mode": f"""{with_sql("pc")}, p AS (SELECT * FROM pc WHERE x % 7 < 3), s AS (SELECT 'x' AS axis, x - lag(x) OVER (ORDER BY x) AS step FROM (SELECT DISTINCT x FROM p) UNION ALL SELECT 'y', y - lag(y) OVER (ORDER BY y) FROM (SELECT DISTINCT y FROM p)),
+    "spacing_mode": f"""{with_sql("pc")}, s AS (SELECT 'x' AS axis, x - lag(x) OVER (ORDER BY x) AS step FROM (SELECT DISTINCT x FROM pc) UNION ALL SELECT 'y', y - lag(y) OVER (ORDER BY y) FROM (SELECT DISTINCT y FROM pc)),
       k AS (SELECT axis, step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY n DESC, step) AS rn FROM k) SELECT axis, step, n FROM o WHERE rn = 1""",
     "mad_reject": f"""{with_sql("pc")}, a AS (SELECT region, abs(z - 300) AS d FROM pc), m AS (SELECT region, quantile_cont(d, CAST(0.5 AS DOUBLE)) AS m FROM a GROUP BY 1), v AS (SELECT a.*, m, abs(d - m) AS dev FROM a JOIN m USING (region)),
       w AS (SELECT region, quantile_cont(dev, CAST(0.5 AS DOUBLE)) AS mad FROM v GROUP BY 1) SELECT region, count(*) AS n, max(d) AS most FROM v JOIN w USING (region) WHERE d <= m + CAST(0.5 AS DOUBLE) * CAST(1.4826 AS DOUBLE) * mad GROUP BY region""",
     "utm_zone_choice": f"{with_sql('geo')} SELECT CAST(floor(avg(lon) / 6) + 31 AS INT) AS zone, CASE WHEN avg(lat) >= 0 THEN 'N' ELSE 'S' END AS hemisphere FROM geo",
     "ll2utm": f"{with_sql('geo')} SELECT id, {_rounded('xy', list(_UTM), 4)} FROM geo",
     "utm2ll": f"{with_sql('geo')}, p AS (SELECT id, CAST(400000 + id * 7.5 AS DOUBLE) AS x, 4000000 + h AS y FROM geo), q AS (SELECT id, {', '.join(f'{e} AS {n}' for n, e in zip(('lon', 'lat'), pr.utm2ll('x', 'y', '35', 'FALSE'), strict=True))} FROM p) SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM q",
-    "ll2ps": f"{with_sql('geo')}, p AS (SELECT id, lon * 3 AS lon, -40 - lat AS lat FROM geo) SELECT id, {_rounded('xy', list(pr.ll2ps('lon', 'lat', 0.0, -71.0)), 4)} FROM p",
+    "ll2ps": f"{with_sql('geo')}, p AS (SELECT id, lon * 3 AS lon, -40 - lat AS lat FROM geo) SELECT id, {_rounded('xy', list(pr.ll2ps('lon', 'lat', 0.0, -71.0, other='NULL')), 4)} FROM p",
     "ps2ll": f"{with_sql('geo')}, p AS (SELECT id, CAST(id * 311.0 - 200000 AS DOUBLE) AS x, h * 97 - 3000 AS y FROM geo), q AS (SELECT id, {', '.join(f'{e} AS {n}' for n, e in zip(('lon', 'lat'), pr.ps2ll('x', 'y', -45.0, 70.0), strict=True))} FROM p) SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM q",
     "geodetic_to_ecef": f"{with_sql('geo')} SELECT id, {_rounded('xyz', list(pr.geodetic_to_ecef('lon', 'lat', 'h')), 4)} FROM geo",
     "ecef_to_geodetic": f"{with_sql('geo')} SELECT id, CAST(0 AS DOUBLE) AS lon, CAST(0 AS DOUBLE) AS lat, CAST(0 AS DOUBLE) AS h FROM geo",
@@ -267,8 +267,8 @@ SQL = {
     "poly_surface_eval": f"{with_sql('tgt')} SELECT id, round({' + '.join(f'{_d(c)} * {t}' for c, t in zip(SURFACE, _terms_sql('x', 'z'), strict=True))}, 6) AS v FROM tgt",
     "homography_vertical_error": f"{with_sql('tgt')} SELECT id, round({_homography_sql(H1, 'x', 'y', 1)} - {_homography_sql(H2, 'x + z', 'y + 1', 1)}, 6) AS error FROM tgt",
     "disparity_to_image_points": f"{with_sql('dref')}, p AS (SELECT r, c, val / 10 - 12 AS disp FROM dref) SELECT r, c, round({_homography_sql(_inverse3(H1), 'c + 1', 'r + 1', 0)} + 99, 6) AS xl, round({_homography_sql(_inverse3(H1), 'c + 1', 'r + 1', 1)} + 99, 6) AS yl, round({_homography_sql(_inverse3(H2), 'c + 1 - disp', 'r + 1', 0)} + 99, 6) AS xr, round({_homography_sql(_inverse3(H2), 'c + 1 - disp', 'r + 1', 1)} + 99, 6) AS yr FROM p WHERE disp > 0",
-    "knn_spatial": f"{with_sql('geo')}, {_NEAR.format(3)} SELECT qid, b.tid AS tid, round(b.d2, 9) AS d2 FROM near",
-    "icp_pairs_one_to_one": f"{with_sql('geo')}, {_NEAR.format(7)}, o AS (SELECT b.tid AS tid, min({{'d2': b.d2, 'qid': qid}}) AS m FROM near GROUP BY 1) SELECT m.qid AS qid, tid, round(m.d2, 9) AS d2 FROM o",
+    "knn_spatial": f"{with_sql('geo')}, {_NEAR.format()} SELECT qid, b.tid AS tid, round(b.d2, 9) AS d2 FROM near",
+    "icp_pairs_one_to_one": f"{with_sql('geo')}, {_NEAR.format()}, o AS (SELECT b.tid AS tid, min({{'d2': b.d2, 'qid': qid}}) AS m FROM near GROUP BY 1) SELECT m.qid AS qid, tid, round(m.d2, 9) AS d2 FROM o",
     "point_in_polygon": f"{with_sql('geo')} SELECT id FROM geo WHERE ({_crossings(RING)}) % 2 = 1",
     "polygon_with_hole": f"{with_sql('geo')} SELECT id FROM geo WHERE ({_crossings(RING)} + {_crossings(HOLE)}) % 2 = 1",
     "absor_moments": f"{_PAIRS} SELECT count(*) AS n, {', '.join(f'round(avg({s}), 4) AS m_{s}' for s in _SIDES)}, {', '.join(f'round(var_pop({s}), 4) AS v_{s}' for s in _SIDES)}, {', '.join(f'round(covar_pop({a}1, {b}2), 4) AS c_{a}{b}' for a in 'xyz' for b in 'xyz')} FROM pairs",

@@ -50,17 +50,21 @@ def window_status_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 100 + 37).alias("rows"), (F.col("p_size") * 70 + 11).alias("cols"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 100 + 37).alias("rows"), (F.col("p_size") * 70 + 11).alias("cols"))
 
 
 def block_index(spark: SparkSession, d: str) -> DataFrame:
     return wi.blocks(_images(spark, d), 900)
 
 
+#: Images to their common plane.
+LEFT, RIGHT = [[1.0, 0.01, 30.0], [-0.02, 1.0, 12.0], [0.0, 0.0, 1.0]], [[1.0, 0.0, 5.0], [0.0, 1.0, -8.0], [0.000001, 0.0, 1.0]]
+
+
 def compute_windows(spark: SparkSession, d: str) -> DataFrame:
     i = _images(spark, d)
-    rois = i.select(F.col("image").alias("roi"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), (F.col("cols") * 3.0 - 5).alias("x1"), (F.col("rows") * 3.0 - 9).alias("y1"), (F.col("cols") * 3).alias("width"), (F.col("rows") * 3).alias("height"))
-    return wi.compute_windows(rois, 2200, 150)
+    rois = i.select(F.col("image").alias("roi"), F.lit(10).alias("x0"), F.lit(20).alias("y0"), (F.col("cols") * 3 - 5).alias("x1"), (F.col("rows") * 3 - 9).alias("y1"), (F.col("cols") * 3).alias("width"), (F.col("rows") * 3).alias("height"), (F.col("cols") * 3 - 40).alias("right_width"), (F.col("rows") * 3 + 25).alias("right_height"))
+    return wi.compute_windows(rois, LEFT, RIGHT, 2200, 150)
 
 
 def axis_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -101,15 +105,15 @@ def components_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raster_clean(spark: SparkSession, d: str) -> DataFrame:
-    return cl.clean(href(spark, d).where("r < 20 AND c < 20"), small_gap=2, small_island=3).select("r", "c", F.round("val", 6).alias("val"))
+    return cl.clean(href(spark, d), small_gap=2, small_island=3).select("r", "c", F.round("val", 6).alias("val"))
 
 
 def inpaint(spark: SparkSession, d: str) -> DataFrame:
-    return cl.inpaint(href(spark, d).where("r < 12 AND c < 12"), rounds=20).select("r", "c", F.round("val", 3).alias("val"))
+    return cl.inpaint(href(spark, d)).select("r", "c", F.round("val", 3).alias("val"))
 
 
 def mesh_denoise(spark: SparkSession, d: str) -> DataFrame:
-    return cl.mesh_denoise(dref(spark, d).where("r < 20 AND c < 20"), 30.0, 20.0, threshold=0.5, rounds=1).select("r", "c", F.round("val", 4).alias("val"))
+    return cl.mesh_denoise(dref(spark, d), 30.0, 20.0).select("r", "c", F.round("val", 4).alias("val"))
 
 
 #: Two cameras, 100 apart.
@@ -143,7 +147,7 @@ QUERIES = {
 _CODES = f"{with_sql('codes')}, h AS (SELECT id, label, v FROM codes)"
 _PAIRS = f"{_CODES}, p AS (SELECT a.label, a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM h a JOIN h b USING (label) WHERE a.id % 2 = 0 AND b.id % 2 = 1)"
 _WIN = "WITH w AS (SELECT n_regionkey AS region, s_suppkey AS window_id, s_acctbal AS bal FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
-_IMAGES = "WITH i AS (SELECT p_partkey AS image, p_size * 100 + 37 AS rows_, p_size * 70 + 11 AS cols FROM part WHERE p_partkey % 50 = 1)"
+_IMAGES = "WITH i AS (SELECT p_partkey AS image, p_size * 100 + 37 AS rows_, p_size * 70 + 11 AS cols FROM part)"
 _AROUND_SLOPES = """h0 AS (SELECT *, lag(val) OVER (PARTITION BY r ORDER BY c) AS w0, lead(val) OVER (PARTITION BY r ORDER BY c) AS e0 FROM dref),
       h AS (SELECT r, c, val, CASE WHEN c = 0 THEN 2 * val - e0 ELSE w0 END AS w, CASE WHEN c = 39 THEN 2 * val - w0 ELSE e0 END AS e FROM h0),
       v0 AS (SELECT *, lag(val) OVER (PARTITION BY c ORDER BY r) AS n0, lead(val) OVER (PARTITION BY c ORDER BY r) AS s0 FROM h),
@@ -162,10 +166,16 @@ SQL = {
     "block_index": f"""{_IMAGES}, n AS (SELECT *, greatest(1, CAST(ceil(rows_ / 900.0) AS INT)) AS ny, greatest(1, CAST(ceil(cols / 900.0) AS INT)) AS nx FROM i)
       SELECT image, CAST(a.range AS INT) AS ty, CAST(b.range AS INT) AS tx, CAST(round_even(rows_ * a.range / ny, 0) AS INT) AS r0, CAST(round_even(rows_ * (a.range + 1) / ny, 0) AS INT) AS r1, CAST(round_even(cols * b.range / nx, 0) AS INT) AS c0, CAST(round_even(cols * (b.range + 1) / nx, 0) AS INT) AS c1
       FROM n, range(10) a, range(10) b WHERE a.range < ny AND b.range < nx""",
-    "compute_windows": f"""{_IMAGES}, q AS (SELECT image AS roi, CAST(10 AS DOUBLE) AS x0, CAST(20 AS DOUBLE) AS y0, cols * 3.0 - 5 AS x1, rows_ * 3.0 - 9 AS y1, cols * 3 AS width, rows_ * 3 AS height FROM i),
-      n AS (SELECT *, greatest(1, CAST(round_even((x1 - x0) / 2200, 0) AS INT)) AS nx, greatest(1, CAST(round_even((y1 - y0) / 2200, 0) AS INT)) AS ny FROM q)
-      SELECT roi, CAST(a.range * ny + b.range + 1 AS INT) AS "window", CAST(greatest(0, round_even(x0 + (x1 - x0) * a.range / nx, 0) - 150) AS INT) AS wx0, CAST(least(width, round_even(x0 + (x1 - x0) * (a.range + 1) / nx, 0) + 150) AS INT) AS wx1,
-        CAST(greatest(0, round_even(y0 + (y1 - y0) * b.range / ny, 0) - 150) AS INT) AS wy0, CAST(least(height, round_even(y0 + (y1 - y0) * (b.range + 1) / ny, 0) + 150) AS INT) AS wy1 FROM n, range(12) a, range(12) b WHERE a.range < nx AND b.range < ny""",
+    # RIGHT takes (x, y) to ((x + 5) / w, (y - 8) / w) with w = 1 + x / 1000000, so a point (u, v) of the plane is seen at x = (u - 5) / (1 - u / 1000000) and y = v * w + 8.
+    "compute_windows": f"""{_IMAGES}, q AS (SELECT image AS roi, 10 AS x0, 20 AS y0, cols * 3 - 5 AS x1, rows_ * 3 - 9 AS y1, cols * 3 AS width, rows_ * 3 AS height, cols * 3 - 40 AS rw, rows_ * 3 + 25 AS rh FROM i),
+      n AS (SELECT *, greatest(1, CAST(round_even((x1 - x0 + 1) / CAST(2200 AS DOUBLE), 0) AS INT)) AS nx, greatest(1, CAST(round_even((y1 - y0 + 1) / CAST(2200 AS DOUBLE), 0) AS INT)) AS ny FROM q),
+      l AS (SELECT roi, rw, rh, CAST(a.range * ny + b.range + 1 AS INT) AS "window", greatest(1, round_even(x0 + (x1 - x0) * CAST(a.range AS DOUBLE) / nx, 0) - 150) AS ax, greatest(1, round_even(y0 + (y1 - y0) * CAST(b.range AS DOUBLE) / ny, 0) - 150) AS ay,
+        least(width, round_even(x0 + (x1 - x0) * CAST(a.range + 1 AS DOUBLE) / nx, 0) + 150) AS bx, least(height, round_even(y0 + (y1 - y0) * CAST(b.range + 1 AS DOUBLE) / ny, 0) + 150) AS by_ FROM n, range(12) a, range(12) b WHERE a.range < nx AND b.range < ny),
+      u AS (SELECT *, ax + CAST('0.01' AS DOUBLE) * ay + 30 AS ua, CAST('-0.02' AS DOUBLE) * ax + ay + 12 AS va, bx + CAST('0.01' AS DOUBLE) * by_ + 30 AS ub, CAST('-0.02' AS DOUBLE) * bx + by_ + 12 AS vb FROM l),
+      x AS (SELECT *, (ua - 5) / (1 - ua / CAST(1000000 AS DOUBLE)) AS pa, (ub - 5) / (1 - ub / CAST(1000000 AS DOUBLE)) AS pb FROM u),
+      r AS (SELECT *, greatest(1, pa) AS cx, greatest(1, va * (1 + pa / CAST(1000000 AS DOUBLE)) + 8) AS cy, least(rw, pb) AS dx, least(rh, vb * (1 + pb / CAST(1000000 AS DOUBLE)) + 8) AS dy FROM x),
+      s AS (SELECT *, least(bx - ax, dx - cx) - 1 AS sx, least(by_ - ay, dy - cy) - 1 AS sy FROM r)
+      SELECT roi, "window", {", ".join(f"CAST(round_even(({a} + {b}) / 2 {sign} s{k} / 2, 0) AS INT) AS {name}" for name, a, b, sign, k in (("lx0", "ax", "bx", "-", "x"), ("ly0", "ay", "by_", "-", "y"), ("lx1", "ax", "bx", "+", "x"), ("ly1", "ay", "by_", "+", "y"), ("rx0", "cx", "dx", "-", "x"), ("ry0", "cy", "dy", "-", "y"), ("rx1", "cx", "dx", "+", "x"), ("ry1", "cy", "dy", "+", "y")))} FROM s""",
     "axis_vectors": """WITH g AS (SELECT n_nationkey AS grid, 30.0 AS x0, CAST(31.0 + n_nationkey AS DOUBLE) AS x1, n_nationkey + 2 AS cols, n_nationkey * 2 + 3 AS rows_ FROM nation)
       SELECT grid, 'x' AS axis, CAST(k.range AS INT) AS k, round(CAST(x0 AS DOUBLE) + (k.range + CAST(0.5 AS DOUBLE)) * (x1 - CAST(x0 AS DOUBLE)) / cols, 9) AS v FROM g, range(30) k WHERE k.range < cols
       UNION ALL SELECT grid, 'y', CAST(k.range AS INT), round(CAST(40 AS DOUBLE) - (k.range + CAST(0.5 AS DOUBLE)) * CAST(2 AS DOUBLE) / rows_, 9) FROM g, range(60) k WHERE k.range < rows_""",

@@ -35,7 +35,7 @@ def dem_diff_rmse_trimmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_points_mean(spark: SparkSession, d: str) -> DataFrame:
-    found = ra.grid_points(pc(spark, d), x0=100.0, y0=90.0, dx=50.0, dy=7.0, cols=30, rows=12, keys=["region"])
+    found = ra.grid_points(pc(spark, d), **ra.grid_of(pc(spark, d), 50.0, 7.0), keys=["region"])
     return found.select("region", "r", "c", F.round("val", 9).alias("val"), "n")
 
 
@@ -183,8 +183,8 @@ SQL = {
       diff AS (SELECT region, val - z AS d FROM grid JOIN ref USING (r, c)),
       cut AS (SELECT region, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM diff GROUP BY 1)
       SELECT region, count(*) AS n, round(sqrt(sum(d * d) / count(*)), 4) AS rmse FROM diff JOIN cut USING (region) WHERE d BETWEEN lo AND hi GROUP BY 1""",
-    "grid_points_mean": f"""{with_sql("pc")}, g AS (SELECT region, z, CAST(round((x - 100.0) / 50) AS INT) AS c, CAST(round((90.0 - y) / 7) AS INT) AS r FROM pc)
-      SELECT region, r, c, round(avg(z), 9) AS val, count(z) AS n FROM g WHERE c BETWEEN 0 AND 29 AND r BETWEEN 0 AND 11 GROUP BY region, r, c""",
+    "grid_points_mean": f"""{with_sql("pc")}, e AS (SELECT min(x) AS x0, max(y) AS y0 FROM pc), g AS (SELECT region, z, CAST(round((x - x0) / CAST(50 AS DOUBLE)) AS INT) AS c, CAST(round((y0 - y) / CAST(7 AS DOUBLE)) AS INT) AS r FROM pc, e)
+      SELECT region, r, c, round(avg(z), 9) AS val, count(z) AS n FROM g GROUP BY region, r, c""",
     "mask_nulls_dem": f"{with_sql('dref')} SELECT r, c, CASE WHEN val * 100 - 5000 BETWEEN -500 AND 9000 THEN val * 100 - 5000 END AS val FROM dref",
     "mask_nulls_list": f"{with_sql('dref')} SELECT r, c, CASE WHEN round(val, 0) NOT IN (140, 150, 160) THEN round(val, 0) END AS val FROM dref",
     "max_delta_cut": f"""{with_sql("pc", "ref")} SELECT region, count(*) AS points, count(CASE WHEN abs(z - val) <= 200 THEN 1 END) AS kept
