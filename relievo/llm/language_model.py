@@ -17,7 +17,8 @@ The tree is a set of tables that grow with the corpus; nothing of it is broadcas
 1.  Texts are split into words once and stored as chunks of numbered words, in buckets.
 2.  A chunk sends the hashes of its different sequences, dealt by range into slots.  A slot
     adds up the counts and answers with a bit for each sequence that is frequent, and with
-    another one to the chunk that is to put it into the table.
+    another one to the chunk that is to put it into the table.  Words and pairs go first; then,
+    word by word, only sequences of which all but the last and all but the first word are frequent.
 3.  Chunks put the frequent sequences into the table: key, context, suffix and counts.
 4.  Level by level, joins on the suffix and sums by context give states and weights.
 5.  A chunk asks the slots for the weights of its frequent sequences and adds them up per
@@ -176,6 +177,11 @@ def _joined(context: np.ndarray, suffix: np.ndarray, bits: int = 64) -> np.ndarr
     return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - bits)
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted different ones."""
+    return np.unique(keys, return_inverse=True)[1]
+
+
 @dataclass(frozen=True)
 class Plan:
     """``bits`` of a key, ranges of keys, and words of a context."""
@@ -258,6 +264,29 @@ def _split(kind: pa.DataType) -> Callable:
     return run
 
 
+class Known:
+    """What the slots answered a chunk, by level, in the order of its sorted different keys."""
+
+    def __init__(self, answers: list[dict]):
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_level: dict[int, list[dict]] = {}
+        for a in answers:
+            by_level.setdefault(a["level"], []).append(a)
+        for level, some in by_level.items():
+            some.sort(key=lambda a: a["slot"])
+            often, own = (np.concatenate([_mask(a[f], a["n"]) for a in some]) for f in ("often", "own"))
+            if level == 1:
+                totals = np.concatenate([_unpacked(a["totals"], a["n"]) for a in some]).astype(np.int64)
+            else:
+                totals = np.zeros(len(often), dtype=np.int64)
+                totals[often] = np.concatenate([_unpacked(a["totals"], int(_mask(a["often"], a["n"]).sum())) for a in some])
+            self.levels[level] = often, own, totals
+
+    def __getitem__(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=bool)
+        return self.levels.get(level, (none, none, np.zeros(0, dtype=np.int64)))
+
+
 class Chunk:
     """Words and sequences of a stored chunk."""
 
@@ -270,12 +299,19 @@ class Chunk:
         self.lengths = _unpacked(row["lengths"], len(self.doc_ids)).astype(np.int64)
         self.document = np.repeat(np.arange(len(self.doc_ids), dtype=np.int32), self.lengths)
 
-    def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """level, key at each place, whether the sequence from there is inside one document."""
-        keys = self.hashes[self.numbers]
-        for level in range(2, self.plan.depth + 2):
+    def sequences(self, known: Known, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """level, key at each place, and the places of sequences inside one document whose two parts are frequent, up to the ``last`` level."""
+        keys, often = self.hashes[self.numbers], None
+        for level in range(2, last + 1):
             keys = _joined(keys[:-1], keys[1:], self.plan.bits)
-            yield level, keys, self.document[: len(keys)] == self.document[level - 1 :]
+            inside = self.document[: len(keys)] == self.document[level - 1 :]
+            if often is not None:
+                inside &= often[:-1] & often[1:]
+            at = np.flatnonzero(inside)
+            yield level, keys, at
+            if level < last:
+                often = np.zeros(len(keys), dtype=bool)
+                often[at] = known[level][0][_places(keys[at])]
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes, and the place among them of each numbered word."""
@@ -325,15 +361,19 @@ def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(starts, append=len(keys))
 
 
-def _ask_counts(plan: Plan) -> Callable:
+def _ask_counts(plan: Plan, level: int) -> Callable:
+    """The different sequences of ``level`` words; with those of two, the words too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
                 chunk = Chunk(row, plan)
-                words, place = chunk.words()
-                yield from _asked(chunk, 1, words, np.bincount(place[chunk.numbers], minlength=len(words)))
-                for level, keys, inside in chunk.keys():
-                    yield from _asked(chunk, level, *_different(keys[inside]))
+                if level == 2:
+                    words, place = chunk.words()
+                    yield from _asked(chunk, 1, words, np.bincount(place[chunk.numbers], minlength=len(words)))
+                for at_level, keys, at in chunk.sequences(Known(row.get("answers") or []), level):
+                    if at_level == level:
+                        yield from _asked(chunk, level, *_different(keys[at]))
         pa.default_memory_pool().release_unused()
 
     return run
@@ -380,29 +420,6 @@ def _answer_counts(least: int) -> Callable:
     return run
 
 
-class Known:
-    """What the slots answered a chunk, by level, in the order of its sorted different keys."""
-
-    def __init__(self, answers: list[dict]):
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_level: dict[int, list[dict]] = {}
-        for a in answers:
-            by_level.setdefault(a["level"], []).append(a)
-        for level, some in by_level.items():
-            some.sort(key=lambda a: a["slot"])
-            often, own = (np.concatenate([_mask(a[f], a["n"]) for a in some]) for f in ("often", "own"))
-            if level == 1:
-                totals = np.concatenate([_unpacked(a["totals"], a["n"]) for a in some]).astype(np.int64)
-            else:
-                totals = np.zeros(len(often), dtype=np.int64)
-                totals[often] = np.concatenate([_unpacked(a["totals"], int(_mask(a["often"], a["n"]).sum())) for a in some])
-            self.levels[level] = often, own, totals
-
-    def __getitem__(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        none = np.zeros(0, dtype=bool)
-        return self.levels.get(level, (none, none, np.zeros(0, dtype=np.int64)))
-
-
 TABLE = "level int, key long, context long, suffix long, n long, seen long, suffix_n long"
 
 
@@ -415,8 +432,7 @@ def _put(plan: Plan) -> Callable:
                 chunk, known = Chunk(row, plan), Known(row["answers"])
                 _, place = chunk.words()
                 shorter, total = chunk.hashes[chunk.numbers], known[1][2][place][chunk.numbers]
-                for level, keys, inside in chunk.keys():
-                    at = np.flatnonzero(inside)
+                for level, keys, at in chunk.sequences(known, plan.depth + 1):
                     different, inverse = np.unique(keys[at], return_inverse=True)
                     _, own, totals = known[level]
                     first = np.empty(len(different), dtype=np.int64)
@@ -439,8 +455,8 @@ def _ask_weights(plan: Plan) -> Callable:
             for row in _one_by_one(batch):
                 chunk, known = Chunk(row, plan), Known(row["answers"])
                 yield from _asked(chunk, 1, chunk.words()[0][known[1][0]])
-                for level, keys, inside in chunk.keys():
-                    yield from _asked(chunk, level, _different(keys[inside])[0][known[level][0]])
+                for level, keys, at in chunk.sequences(known, plan.depth + 1):
+                    yield from _asked(chunk, level, _different(keys[at])[0][known[level][0]])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -493,9 +509,9 @@ def _score(plan: Plan, kind: pa.DataType, total: int, vocabulary: int) -> Callab
                 count = known[1][2][place]
                 base = np.bincount(chunk.document, np.log10((count + 0.1) / floor), size)
                 score = base + sums(1, chunk.document, place)
-                for level, keys, inside in chunk.keys():
-                    if inside.any():
-                        score += sums(level, chunk.document[: len(keys)][inside], np.unique(keys[inside], return_inverse=True)[1])
+                for level, keys, at in chunk.sequences(known, plan.depth + 1):
+                    if len(at):
+                        score += sums(level, chunk.document[at], _places(keys[at]))
                 n_known = np.bincount(chunk.document, count > 0, size).astype(np.int64)
                 columns = [pa.array(chunk.doc_ids, kind), pa.array([chunk.held] * size, pa.bool_()), pa.array(chunk.lengths), pa.array(n_known), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -577,12 +593,15 @@ def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> Data
     id_type, kind = docs.schema["doc_id"].dataType.simpleString(), docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
     chunks = _chunk_table(docs, kind, partitions)
     tokens, total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("held"), F.col("n_tokens"))), F.lit(0))).first()
-    plan = Plan(min(62, max(1, tokens).bit_length() + 20), max(1, -(-tokens * (depth + 1) // SLOT_KEYS)), depth)
+    plan = Plan(min(62, max(1, tokens).bit_length() + 20), max(1, -(-2 * tokens // SLOT_KEYS)), depth)
     dealt = max(partitions, plan.slots // 8)
     by_slot = lambda df: df.repartition(dealt, "slot").sortWithinPartitions("slot")
-    answers, _ = _stored(by_slot(chunks.mapInArrow(_ask_counts(plan), ASKED)).mapInArrow(_answer_counts(least), ANSWERS), "answers")
+    met, answers = chunks, None
+    for level in range(2, depth + 2):
+        told, _ = _stored(by_slot(met.mapInArrow(_ask_counts(plan, level), ASKED)).mapInArrow(_answer_counts(least), ANSWERS), "answers")
+        answers = told if answers is None else answers.unionByName(told)
+        met = _met(chunks, answers=answers)
     vocabulary = answers.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = _met(chunks, answers=answers)
     counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted")
     weights = _weights(counted, plan, total, vocabulary)
     _discard(spark, path)
