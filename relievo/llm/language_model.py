@@ -520,12 +520,12 @@ def _score(plan: Plan, kind: pa.DataType, total: int, vocabulary: int) -> Callab
     return run
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The same rows in columns in the shared folder, smaller than a checkpoint, and their place; what the shuffles before left can go."""
+def _stored(df: DataFrame, name: str, *parts: str) -> tuple[DataFrame, str]:
+    """The same rows in columns in the shared folder, smaller than a checkpoint, in folders by ``parts``, and their place; what earlier shuffles left can go first."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
+    path = shared_folder(spark, name)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -556,34 +556,43 @@ def _met(chunks: DataFrame, **answers: DataFrame) -> DataFrame:
     return chunks
 
 
-def _weights(counted: DataFrame, plan: Plan, total: int, vocabulary: int) -> DataFrame:
-    """level, key, weight: what a sequence adds to a score, as the last word after its context and as a state."""
-    spark, values, parts, done = counted.sparkSession, None, [], []
+def _weights(counted: DataFrame, place: str, plan: Plan, total: int, vocabulary: int) -> tuple[DataFrame, list[str]]:
+    """level, key, weight: what a sequence adds to a score, as the last word after its context and as a state; and where they are stored.
+
+    ``place`` has ``counted`` in folders by level, which are deleted one after the other.
+    """
+    spark, values, parts, kept = counted.sparkSession, None, [], []
     for level in range(2, plan.depth + 2):
+        last, own = level == plan.depth + 1, f"{place}/level={level}"
         found = counted.where(F.col("level") == level).drop("level")
         if values is None:
             found = found.withColumn("log_q", F.log10((F.col("suffix_n") + 0.1) / (total + 0.1 * (vocabulary + 1)))).drop("suffix", "suffix_n")
         else:
             found = found.join(values.select(F.col("key").alias("suffix"), F.col("v").alias("log_q")), "suffix").drop("suffix", "suffix_n")
             found, path = _stored(found, "sequences")
-            done.append(path)
+            _discard(spark, own)
+            own = path
         p, q, share = F.col("n") / F.col("seen"), F.pow(F.lit(10.0), "log_q"), (F.col("n") - DISCOUNT) / F.col("seen")
         sums = found.groupBy("context", "seen").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.count("*").alias("explicit"), F.sum(share).alias("share"))
         rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("p")), F.greatest(F.lit(1e-12), 1 - F.col("q"))
         divergence = F.col("d") + F.when(rest_p > 0, rest_p * F.log(F.greatest(rest_p, F.lit(1e-12)) / rest_q)).otherwise(0.0)
         is_state = F.col("seen") * divergence > 0.5 * math.log(max(total, 2)) * F.col("explicit")
         states, path = _stored(sums.where(is_state).select("context", F.log10(F.greatest(1 - F.col("share"), F.lit(1e-12))).alias("log_rest")), "states")
+        kept.append(path)
         parts.append(states.select(F.lit(level - 1).alias("level"), F.col("context").alias("key"), F.col("log_rest").alias("weight")))
         passed = F.log10(share + F.pow(F.lit(10.0), "log_rest") * q)
-        met = found.join(states, "context", "left").select("key", F.coalesce(passed, "log_q").alias("v"), (passed - F.col("log_q") - F.col("log_rest")).alias("weight"))
-        values, _ = _stored(met, "values")
+        weight = (passed - F.col("log_q") - F.col("log_rest")).alias("weight")
+        if last:
+            values, path = _stored(found.join(states, "context").select("key", weight), "values")
+        else:
+            values, path = _stored(found.join(states, "context", "left").select("key", F.coalesce(passed, "log_q").alias("v"), weight), "values")
+        kept.append(path)
         parts.append(values.where("weight IS NOT NULL").select(F.lit(level).alias("level"), "key", "weight"))
-        _discard(spark, *done)
-        done = []
+        _discard(spark, own)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found
+    return found, kept
 
 
 def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> DataFrame:
@@ -602,12 +611,12 @@ def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> Data
         answers = told if answers is None else answers.unionByName(told)
         met = _met(chunks, answers=answers)
     vocabulary = answers.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted")
-    weights = _weights(counted, plan, total, vocabulary)
-    _discard(spark, path)
+    counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted", "level")
+    weights, kept = _weights(counted, path, plan, total, vocabulary)
     level, key = F.col("level"), F.col("key")
     given = weights.select(plan.slot_of(key, level).alias("slot"), "level", key.alias("first"), "weight")
     asked = met.mapInArrow(_ask_weights(plan), ASKED).drop("held", "counts").unionByName(given, allowMissingColumns=True)
     told, _ = _stored(by_slot(asked).mapInArrow(_answer_weights, WEIGHTS), "weights")
+    _discard(spark, path, *kept)
     found = _met(chunks, answers=answers, weights=told).mapInArrow(_score(plan, kind, total, vocabulary), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
