@@ -196,11 +196,6 @@ class Plan:
     def slot(self, keys: np.ndarray, level: int) -> np.ndarray:
         return ((keys >> np.uint64(self.width(level) - 24)).astype(np.int64) * self.slots) >> 24
 
-    def slot_of(self, key: Column, level: Column) -> Column:
-        """The same for columns."""
-        high = F.when(level == 1, F.shiftrightunsigned(key, 40)).otherwise(F.shiftrightunsigned(key, self.bits - 24))
-        return F.shiftright(high * F.lit(self.slots).cast("long"), 24)
-
 
 class _Open:
     """A chunk under way: documents as numbers of its own words; the end has number 0."""
@@ -337,17 +332,20 @@ _ASKED_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.i
 ASKED = "slot long, chunk long, level int, held boolean, n long, first long, steps binary, counts binary"
 
 
-def _asked(chunk: Chunk, level: int, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Sorted keys by slot: the first of a slot, and the steps from one to the next."""
-    slot = chunk.plan.slot(keys, level)
+def _by_slot(keys: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """slot, the first of its keys, the steps from one to the next, and from where to where, of sorted keys."""
     starts = np.flatnonzero(np.diff(slot, prepend=-1))
     steps = np.diff(keys, prepend=np.uint64(0))
     firsts = keys[starts].astype(np.uint64).view(np.int64).tolist()
     steps[starts] = 0
-    rows = []
     for a, b, first, where in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], firsts, slot[starts].tolist(), strict=True):
-        rows.append((where, chunk.id, level, chunk.held, b - a, first, _packed(steps[a:b]), None if counts is None else _packed(counts[a:b])))
-    yield from _rows(_ASKED, _ASKED_KINDS, rows)
+        yield where, first, _packed(steps[a:b]), a, b
+
+
+def _asked(chunk: Chunk, level: int, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted keys, and their counts, by slot."""
+    parts = _by_slot(keys, chunk.plan.slot(keys, level))
+    yield from _rows(_ASKED, _ASKED_KINDS, [(where, chunk.id, level, chunk.held, b - a, first, steps, None if counts is None else _packed(counts[a:b])) for where, first, steps, a, b in parts])
 
 
 def _keys_of(first: int, steps: bytes, n: int) -> np.ndarray:
@@ -462,27 +460,62 @@ def _ask_weights(plan: Plan) -> Callable:
     return run
 
 
+GIVEN = "slot long, level int, n long, first long, steps binary, weights binary"
+
+
+def _give_weights(plan: Plan) -> Callable:
+    """Rows of weights as blobs by slot: sorted keys as they are asked for, and a weight for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            levels, keys, weights = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("level", "key", "weight"))
+            rows = []
+            for level in np.unique(levels).tolist():
+                mine = np.flatnonzero(levels == level)
+                mine = mine[np.argsort(keys[mine].view(np.uint64))]
+                sorted_keys = keys[mine].view(np.uint64)
+                for slot, first, steps, a, b in _by_slot(sorted_keys, plan.slot(sorted_keys, level)):
+                    rows.append((slot, level, b - a, first, steps, weights[mine[a:b]].astype("<f4").tobytes()))
+            yield from _rows(["slot", "level", "n", "first", "steps", "weights"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= CHUNK_TOKENS:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    return run
+
+
 WEIGHTS = "chunk long, level int, slot long, n long, weights binary"
 
 
 def _answer_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, "slot"):
-        is_weight = pc.is_valid(table["weight"])
-        given, blobs = table.filter(is_weight), table.filter(pc.invert(is_weight)).to_pylist()
-        level_of, keys_of, weights_of = (given[c].to_numpy() for c in ("level", "first", "weight"))
+        given: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        asked = []
+        for row in table.to_pylist():
+            keys = _keys_of(row["first"], row["steps"], row["n"])
+            if row["weights"] is None:
+                asked.append((row, keys))
+            else:
+                given.setdefault(row["level"], []).append((keys, np.frombuffer(row["weights"], dtype="<f4")))
         tables = {}
-        for level in np.unique(level_of).tolist():
-            mine = level_of == level
-            keys, inverse = np.unique(keys_of[mine].view(np.uint64), return_inverse=True)
-            tables[level] = keys, np.append(np.bincount(inverse, weights_of[mine]), 0.0).astype("<f4")
+        for level, parts in given.items():
+            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            tables[level] = keys, np.append(np.bincount(inverse, np.concatenate([w for _, w in parts])), 0.0).astype("<f4")
         rows = []
-        for b in blobs:
-            if b["level"] in tables:
-                keys, weights = tables[b["level"]]
-                found = weights[_index(keys, _keys_of(b["first"], b["steps"], b["n"]))]
+        for row, keys in asked:
+            if row["level"] in tables:
+                known, weights = tables[row["level"]]
+                found = weights[_index(known, keys)]
             else:
-                found = np.zeros(b["n"], dtype="<f4")
-            rows.append((b["chunk"], b["level"], b["slot"], b["n"], found.tobytes()))
+                found = np.zeros(len(keys), dtype="<f4")
+            rows.append((row["chunk"], row["level"], row["slot"], row["n"], found.tobytes()))
         yield from _rows(["chunk", "level", "slot", "n", "weights"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], rows)
     pa.default_memory_pool().release_unused()
 
@@ -570,8 +603,11 @@ def _weights(counted: DataFrame, place: str, plan: Plan, total: int, vocabulary:
         else:
             found = found.join(values.select(F.col("key").alias("suffix"), F.col("v").alias("log_q")), "suffix").drop("suffix", "suffix_n")
             found, path = _stored(found, "sequences")
-            _discard(spark, own)
+            weights, light = _stored(values.where("weight IS NOT NULL").select("key", "weight"), "values")
+            _discard(spark, own, heavy)
             own = path
+            kept.append(light)
+            parts.append(weights.select(F.lit(level - 1).alias("level"), "key", "weight"))
         p, q, share = F.col("n") / F.col("seen"), F.pow(F.lit(10.0), "log_q"), (F.col("n") - DISCOUNT) / F.col("seen")
         sums = found.groupBy("context", "seen").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.count("*").alias("explicit"), F.sum(share).alias("share"))
         rest_p, rest_q = F.greatest(F.lit(0.0), 1 - F.col("p")), F.greatest(F.lit(1e-12), 1 - F.col("q"))
@@ -584,10 +620,10 @@ def _weights(counted: DataFrame, place: str, plan: Plan, total: int, vocabulary:
         weight = (passed - F.col("log_q") - F.col("log_rest")).alias("weight")
         if last:
             values, path = _stored(found.join(states, "context").select("key", weight), "values")
+            kept.append(path)
+            parts.append(values.select(F.lit(level).alias("level"), "key", "weight"))
         else:
-            values, path = _stored(found.join(states, "context", "left").select("key", F.coalesce(passed, "log_q").alias("v"), weight), "values")
-        kept.append(path)
-        parts.append(values.where("weight IS NOT NULL").select(F.lit(level).alias("level"), "key", "weight"))
+            values, heavy = _stored(found.join(states, "context", "left").select("key", F.coalesce(passed, "log_q").alias("v"), weight), "values")
         _discard(spark, own)
     found = parts[0]
     for part in parts[1:]:
@@ -613,8 +649,7 @@ def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> Data
     vocabulary = answers.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted", "level")
     weights, kept = _weights(counted, path, plan, total, vocabulary)
-    level, key = F.col("level"), F.col("key")
-    given = weights.select(plan.slot_of(key, level).alias("slot"), "level", key.alias("first"), "weight")
+    given = weights.mapInArrow(_give_weights(plan), GIVEN)
     asked = met.mapInArrow(_ask_weights(plan), ASKED).drop("held", "counts").unionByName(given, allowMissingColumns=True)
     told, _ = _stored(by_slot(asked).mapInArrow(_answer_weights, WEIGHTS), "weights")
     _discard(spark, path, *kept)
