@@ -31,6 +31,11 @@ def mutual_nearest(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
     return best.join(back, [*block, "qid", "tid"])
 
 
+def hamming_nearest(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
+    """The nearest target of each query (ties: smallest id)."""
+    return pairs.groupBy(*block, "qid").agg(F.min(F.struct("dist", "tid")).alias("m")).select(*block, "qid", "m.tid", "m.dist")
+
+
 def best_per_block(matches: DataFrame, block: Sequence[str], k: int) -> DataFrame:
     """The ``k`` closest matches of each block, with their rank."""
     at = Window.partitionBy(*block).orderBy("dist", "qid", "tid")

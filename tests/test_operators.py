@@ -94,7 +94,7 @@ def test_inpaint_continues_a_plane(spark):
     z = np.array([[2.0 * c + r for c in range(5)] for r in range(5)])
     want = z.copy()
     z[2, 2:4] = np.nan
-    assert np.allclose(dense(cleanup.inpaint(raster(spark, z), rounds=8), (5, 5)), want, atol=1e-2)
+    assert np.allclose(dense(cleanup.inpaint(raster(spark, z)), (5, 5)), want, atol=1e-2)
 
 
 def test_similarity_and_ransac(spark):
