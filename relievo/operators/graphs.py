@@ -11,18 +11,18 @@ from relievo.lineage import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, component for the nodes of ``edges`` (a, b); the component is its smallest node.
 
-    In a round every node moves to the one of itself and its neighbours that a hash, drawn anew
-    each round, puts first, and once more from there; edges are renamed by these moves, and
-    loops and repeats are dropped.  As the order is random, a share of the nodes goes in every
-    round even where nodes are numbered along a path, so rounds grow with the logarithm of the
-    nodes.  A node with many neighbours only takes part in partial minima and in joins against
-    unique keys.
+    In a round every node moves to the one of itself and its neighbours whose hash is first, and
+    once more from there; edges are renamed by these moves, and loops and repeats are dropped.
+    By hash a share of the nodes goes in every round even where nodes are numbered along a
+    path, so rounds grow with the logarithm of the longest path; what moved to the first node
+    of all stays there, so a star is done in two.  A node with many neighbours only takes part
+    in partial minima and in joins against unique keys.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     found, k = nodes.select("node", F.col("node").alias("component")), 0
     while not edges.isEmpty():
-        place = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("n")).agg(F.min(place("b")).alias("m")).select("n", F.least(place("n"), "m")["to"].alias("up"))
         top = up.select(F.col("n").alias("k"), F.col("up").alias("top"))
