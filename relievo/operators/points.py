@@ -183,14 +183,16 @@ def inside_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) ->
 def points_in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     """pid, poly_id for points inside polygons given as edges (poly_id, x1, y1, x2, y2); holes are more edges.
 
-    A polygon is spread over the grid cells of its bounding box and points join by cell, so
-    points meet only polygons near them.
+    A polygon's bounding box is spread over grid cells, where points find it; then they meet
+    only those of its edges that pass through their row of cells, and count the ones to their right.
     """
-    box = edges.groupBy("poly_id").agg(*[f(F.col(c)).alias(n) for n, f, c in (("lx", F.min, "x1"), ("hx", F.max, "x1"), ("ly", F.min, "y1"), ("hy", F.max, "y1"))], F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    spread = box.select("*", cells("lx", "hx").alias("gx")).select("*", cells("ly", "hy").alias("gy"))
+    box = edges.groupBy("poly_id").agg(*[f(F.col(c)).alias(n) for n, f, c in (("lx", F.min, "x1"), ("hx", F.max, "x1"), ("ly", F.min, "y1"), ("hy", F.max, "y1"))])
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    spread = box.select("*", cells(F.col("lx"), F.col("hx")).alias("gx")).select("*", cells(F.col("ly"), F.col("hy")).alias("gy"))
     at = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    met = at.join(spread, ["gx", "gy"]).where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy")))
+    near = at.join(spread, ["gx", "gy"]).where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy"))).select("pid", "x", "y", "poly_id", "gy")
+    rows = edges.where("y1 <> y2").select("poly_id", "x1", "y1", "x2", "y2", cells(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("gy"))
     x, y = F.col("x"), F.col("y")
-    crossed = F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
-    return met.where(crossed % 2 == 1).select("pid", "poly_id")
+    crossed = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1"))
+    met = near.join(rows, ["poly_id", "gy"]).where(crossed).groupBy("pid", "poly_id").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") % 2 == 1).select("pid", "poly_id")

@@ -105,7 +105,7 @@ def median3x3(raster: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Median of the values there are around a cell, edges mirrored; empty cells stay empty."""
     bounds = raster.groupBy(*keys).agg(F.max("r").alias("max_r"), F.max("c").alias("max_c"), F.min("r").alias("min_r"), F.min("c").alias("min_c"))
     cells = neighbors8(raster, keys)
-    cells = cells.join(F.broadcast(bounds), list(keys)) if keys else cells.crossJoin(F.broadcast(bounds))
+    cells = cells.join(bounds, list(keys)) if keys else cells.crossJoin(F.broadcast(bounds))
     top, bottom, left, right = F.col("r") == F.col("min_r"), F.col("r") == F.col("max_r"), F.col("c") == F.col("min_c"), F.col("c") == F.col("max_c")
     inner = {("n", "w"): "nw", ("n", "e"): "ne", ("s", "w"): "sw", ("s", "e"): "se"}
 
@@ -144,7 +144,7 @@ def wiener3x3(raster: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     square = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) / 9
     local = neighbors8(raster, keys).select(*keys, "r", "c", "val", mean.alias("mean"), square.alias("square")).withColumn("var", F.col("square") - F.col("mean") * F.col("mean"))
     noise = local.where("val IS NOT NULL").groupBy(*keys).agg(F.avg("var").alias("noise"))
-    both = local.join(F.broadcast(noise), list(keys)) if keys else local.crossJoin(F.broadcast(noise))
+    both = local.join(noise, list(keys)) if keys else local.crossJoin(F.broadcast(noise))
     gain = F.when(F.col("var") > F.col("noise"), (F.col("var") - F.col("noise")) / F.col("var")).otherwise(0.0)
     return both.select(*keys, "r", "c", F.when(F.col("val").isNotNull(), F.col("mean") + gain * (F.col("val") - F.col("mean"))).alias("val"))
 
@@ -197,7 +197,7 @@ def clahe(raster: DataFrame, tile: int, bins: int, clip: float, lo: float = 0.0,
     ends = tables.groupBy(*keys).agg(F.max("ty").alias("max_ty"), F.max("tx").alias("max_tx"))
     b = F.least(F.greatest(F.floor((F.col("val") - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     cells = raster.where("val IS NOT NULL").withColumn("bin", b).withColumn("fy", (F.col("r") + 0.5) / tile - 0.5).withColumn("fx", (F.col("c") + 0.5) / tile - 0.5)
-    cells = cells.join(F.broadcast(ends), list(keys)) if keys else cells.crossJoin(F.broadcast(ends))
+    cells = cells.join(ends, list(keys)) if keys else cells.crossJoin(F.broadcast(ends))
     corner = lambda f, d, most: F.greatest(F.lit(0), F.least(F.floor(f).cast("int") + d, most))
     weight = lambda f, d: (f - F.floor(f)) if d else (1 - (f - F.floor(f)))
     four = F.array(*[F.struct(corner(F.col("fy"), dy, F.col("max_ty")).alias("ty"), corner(F.col("fx"), dx, F.col("max_tx")).alias("tx"), (weight(F.col("fy"), dy) * weight(F.col("fx"), dx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relievo.sources import geotiff
+
 
 def list_files(spark: SparkSession, folder: str, suffix: str, ignore_case: bool = True) -> DataFrame:
     """path and length of the files below ``folder`` whose names end in ``suffix``, in order; contents are not read."""
@@ -33,3 +36,30 @@ def read_images(spark: SparkSession, path: str, tile: int = 512) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(rows, "path string, ty int, tx int, h int, w int, dtype string, data binary, transform array<double>")
+
+
+def check_input(spark: SparkSession, path: str) -> None:
+    """An error unless a GeoTIFF or shapefile is in geographic WGS 84; a shapefile without a .prj is only warned about."""
+    low = path.lower()
+    if low.endswith(".tif"):
+        epsg = geotiff.header(bytes(spark.read.format("binaryFile").load(path).first()["content"]))["epsg"]
+        if epsg != 4326:
+            raise ValueError(f"{path} has EPSG:{epsg}, EPSG:4326 is asked for")
+    elif low.endswith(".shp"):
+        folder, _, name = path.rpartition("/")
+        beside = spark.read.format("binaryFile").option("pathGlobFilter", f"{name[:-4]}.[pP][rR][jJ]").load(folder or ".").select("content").first()
+        if beside is None:
+            warnings.warn(f"{path} has no .prj file, WGS 84 is assumed", stacklevel=2)
+        elif "WGS" not in bytes(beside["content"]).decode(errors="replace").upper():
+            raise ValueError(f"{path} is not in WGS 84")
+    else:
+        raise ValueError(f"{path} is neither a .tif nor a .shp file")
+
+
+def check_shapes(spark: SparkSession, folder: str) -> None:
+    """``check_input`` for all shapefiles below a folder; it is an error if there are none."""
+    found = [row["path"] for row in list_files(spark, folder, ".shp").select("path").collect()]  # a row a file of a folder that a user names
+    if not found:
+        raise ValueError(f"no shapefile in {folder}")
+    for path in found:
+        check_input(spark, path)

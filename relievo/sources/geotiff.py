@@ -1,13 +1,17 @@
 """GeoTIFF files as rasters in long form, and back.
 
-Files are read by Spark's binaryFile source, so they may lie wherever Spark reads; each file
-is decoded in the task that read it.  Strips without compression are understood, in one band
-of unsigned or signed integers or floats.
+Files are read by Spark's binaryFile source, so they may lie wherever Spark reads.  The task
+that reads a file only parses its header and passes on the strips or tiles that a window asks
+for, as they are; these are dealt over all tasks and decoded there.  One band of unsigned or
+signed integers or floats is understood, in strips or tiles, plain or deflated, with or
+without horizontal differences.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: TIFF tags, field types by size, and GeoTIFF keys.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 PIXEL_SCALE, TIEPOINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
+PLAIN, DEFLATE, OLD_DEFLATE, GEOGRAPHIC, PROJECTED = 1, 8, 32946, 2048, 3072
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}
 KINDS = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
-def decode(content: bytes) -> tuple[np.ndarray, dict]:
-    """The band, and x0, y0 (centre of the first cell), dx, dy and nodata."""
+def header(content: bytes) -> dict:
+    """Sizes, the kind of a cell, x0, y0 (centre of the first cell), dx, dy, nodata, epsg, and ``blocks``: (r0, c0, offset, bytes) of ``tall`` x ``wide`` cells."""
     end = {b"II": "<", b"MM": ">"}.get(content[:2])
     if end is None or struct.unpack_from(f"{end}H", content, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -36,15 +42,44 @@ def decode(content: bytes) -> tuple[np.ndarray, dict]:
         size = n * struct.calcsize(code)
         where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{end}I", content, at + 10 + 12 * k)[0]
         tags[tag] = content[where : where + n] if code == "s" else struct.unpack_from(f"{end}{n}{code}", content, where)
-    if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1:
-        raise ValueError("one band without compression is asked for")
-    kind = end + KINDS[tags.get(FORMAT, (1,))[0], tags[BITS][0]]
-    data = b"".join(content[o : o + n] for o, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-    band = np.frombuffer(data, kind).reshape(tags[HEIGHT][0], tags[WIDTH][0])
+    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+    if one(COMPRESSION, PLAIN) not in (PLAIN, DEFLATE, OLD_DEFLATE) or one(SAMPLES, 1) != 1 or one(PREDICTOR, 1) not in (1, 2):
+        raise ValueError("one band, plain or deflated, is asked for")
+    rows, cols = one(HEIGHT), one(WIDTH)
+    tiled = TILE_WIDTH in tags
+    wide, tall = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (cols, min(rows, one(ROWS, rows)))
+    across = -(-cols // wide)
+    places = zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)
     dx, dy = tags.get(PIXEL_SCALE, (1.0, 1.0))[:2]
     col, row, _, x, y, _ = tags.get(TIEPOINT, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))[:6]
-    nodata = float(tags[NODATA].rstrip(b"\0 ")) if NODATA in tags else None
-    return band, {"x0": x + (0.5 - col) * dx, "y0": y - (0.5 - row) * dy, "dx": dx, "dy": dy, "nodata": nodata}
+    keys = tags.get(GEO_KEYS, ())
+    geo = {keys[k]: keys[k + 3] for k in range(4, len(keys), 4)}
+    return {
+        "rows": rows, "cols": cols, "kind": end + KINDS[one(FORMAT, 1), one(BITS)], "deflated": one(COMPRESSION, PLAIN) != PLAIN, "differences": one(PREDICTOR, 1) == 2, "wide": wide, "tall": tall, "tiled": tiled,
+        "blocks": [(k // across * tall, k % across * wide, offset, n) for k, (offset, n) in enumerate(places)],
+        "x0": x + (0.5 - col) * dx, "y0": y - (0.5 - row) * dy, "dx": dx, "dy": dy, "nodata": float(tags[NODATA].rstrip(b"\0 ")) if NODATA in tags else None, "epsg": geo.get(GEOGRAPHIC) or geo.get(PROJECTED),
+    }
+
+
+def cells_of(data: bytes, head: dict, r0: int, c0: int) -> np.ndarray:
+    """The cells of a block that lie inside the raster."""
+    if head["deflated"]:
+        data = zlib.decompress(data)
+    tall = head["tall"] if head["tiled"] else min(head["tall"], head["rows"] - r0)
+    block = np.frombuffer(data, head["kind"], tall * head["wide"]).reshape(tall, head["wide"])
+    if head["differences"]:
+        block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
+    return block[: head["rows"] - r0, : head["cols"] - c0]
+
+
+def decode(content: bytes) -> tuple[np.ndarray, dict]:
+    """The band, and x0, y0 (centre of the first cell), dx, dy and nodata."""
+    head = header(content)
+    band = np.empty((head["rows"], head["cols"]), dtype=head["kind"])
+    for r0, c0, offset, n in head["blocks"]:
+        cells = cells_of(content[offset : offset + n], head, r0, c0)
+        band[r0 : r0 + cells.shape[0], c0 : c0 + cells.shape[1]] = cells
+    return band, {k: head[k] for k in ("x0", "y0", "dx", "dy", "nodata")}
 
 
 def encode(band: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None, epsg: int = 4326) -> bytes:
@@ -72,32 +107,51 @@ def encode(band: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata:
     return struct.pack("<2sHI", b"II", 42, at) + body + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + more
 
 
-def read_geotiff(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, buffer: float = 0.0, rows_at_once: int = 256) -> DataFrame:
-    """path, r, c, x, y, val; ``window`` (x0, y0, x1, y1), grown by ``buffer`` of its extent, keeps the cells inside."""
+def read_geotiff(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, buffer: float = 0.0, required: bool = False) -> DataFrame:
+    """path, r, c, x, y, val; ``window`` (x0, y0, x1, y1), grown by ``buffer`` of its extent, keeps the cells whose centres are inside.
+
+    With ``required`` it is an error if no file has a cell there.
+    """
     if window:
         xs, ys = sorted(window[::2]), sorted(window[1::2])
         gx, gy = (xs[1] - xs[0]) * buffer, (ys[1] - ys[0]) * buffer
         window = (xs[0] - gx, ys[0] - gy, xs[1] + gx, ys[1] + gy)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inside(head: dict, r0: int, c0: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of a block that are asked for."""
+        lines, cols = np.arange(r0, min(r0 + head["tall"], head["rows"])), np.arange(c0, min(c0 + head["wide"], head["cols"]))
+        if window:
+            x, y = head["x0"] + cols * head["dx"], head["y0"] - lines * head["dy"]
+            lines, cols = lines[(y >= window[1]) & (y <= window[3])], cols[(x >= window[0]) & (x <= window[2])]
+        return lines, cols
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                band, at = decode(content)
-                x, y = at["x0"] + np.arange(band.shape[1]) * at["dx"], at["y0"] - np.arange(band.shape[0]) * at["dy"]
-                cols, lines = np.arange(len(x)), np.arange(len(y))
-                if window:
-                    cols, lines = cols[(x >= window[0]) & (x <= window[2])], lines[(y >= window[1]) & (y <= window[3])]
-                for k in range(0, len(lines), rows_at_once):
-                    some = lines[k : k + rows_at_once]
-                    val = band[np.ix_(some, cols)].astype(float).ravel()
-                    if at["nodata"] is not None:
-                        val = np.where(val == at["nodata"], np.nan, val)
-                    out = pd.DataFrame({"path": name, "r": np.repeat(some, len(cols)), "c": np.tile(cols, len(some)), "x": np.tile(x[cols], len(some)), "y": np.repeat(y[some], len(cols)), "val": val})
-                    out["val"] = out["val"].astype(object).where(out["val"].notna(), None)
-                    yield out
+                head = header(content)
+                blocks, about = head.pop("blocks"), json.dumps(head)
+                for k, (r0, c0, offset, n) in enumerate(blocks):
+                    if all(map(len, inside(head, r0, c0))):
+                        yield pd.DataFrame({"path": [name], "block": [k], "r0": [r0], "c0": [c0], "about": [about], "data": [content[offset : offset + n]]})
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, r0, c0, about, data in zip(*(batch[c] for c in ("path", "r0", "c0", "about", "data")), strict=True):
+                head = json.loads(about)
+                lines, cols = inside(head, r0, c0)
+                val = cells_of(data, head, r0, c0)[np.ix_(lines - r0, cols - c0)].astype(float).ravel()
+                if head["nodata"] is not None:
+                    val = np.where(val == head["nodata"], np.nan, val)
+                x, y = head["x0"] + cols * head["dx"], head["y0"] - lines * head["dy"]
+                out = pd.DataFrame({"path": name, "r": np.repeat(lines, len(cols)), "c": np.tile(cols, len(lines)), "x": np.tile(x, len(lines)), "y": np.repeat(y, len(cols)), "val": val})
+                out["val"] = out["val"].astype(object).where(out["val"].notna(), None)
+                yield out
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, "path string, r int, c int, x double, y double, val double")
+    blocks = files.mapInPandas(cut_up, "path string, block long, r0 long, c0 long, about string, data binary").repartition("path", "block")
+    if required and blocks.isEmpty():
+        raise ValueError(f"no cell of {path} is inside {window}")
+    return blocks.mapInPandas(decoded, "path string, r int, c int, x double, y double, val double")
 
 
 def to_geotiff(raster: DataFrame, keys: Sequence[str], x0: float, y0: float, dx: float, dy: float, kind: str = "int16", nodata: float = -32768, epsg: int = 4326) -> DataFrame:

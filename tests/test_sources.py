@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -45,3 +46,70 @@ def test_images(spark, tmp_path):
     np.savez(tmp_path / "i.npz", Image=image, Transform=np.eye(4))
     got = files.read_images(spark, str(tmp_path / "i.npz"), tile=2).orderBy("ty", "tx").collect()
     assert [(r.h, r.w) for r in got] == [(2, 2), (2, 2), (1, 2), (1, 2)] and got[0].transform == [1, 0, 0, 0, 1, 0, 0, 0, 1] and bytes(got[0].data) == bytes([0, 1, 4, 5])
+
+
+def tiff(band, tile=None, deflate=False, differences=False, rows=None):
+    """A TIFF written by hand: strips of some rows or square tiles."""
+    size = (tile, tile) if tile else (rows or band.shape[0], band.shape[1])
+    blocks = []
+    for r in range(0, band.shape[0], size[0]):
+        for c in range(0, band.shape[1], size[1]):
+            part = band[r : r + size[0], c : c + size[1]]
+            if tile:
+                part = np.pad(part, ((0, tile - part.shape[0]), (0, tile - part.shape[1])))
+            if differences:
+                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1)
+            blocks.append(zlib.compress(part.astype(band.dtype).tobytes()) if deflate else part.astype(band.dtype).tobytes())
+    head = struct.pack("<2sHI", b"II", 42, 8)
+    fields = {256: [band.shape[1]], 257: [band.shape[0]], 258: [band.dtype.itemsize * 8], 259: [8 if deflate else 1], 277: [1], 317: [2 if differences else 1], 339: [2]}
+    fields |= {322: [tile], 323: [tile]} if tile else {278: [size[0]]}
+    offsets, counts = (324, 325) if tile else (273, 279)
+    n = len(fields) + 2
+    at = 8 + 2 + 12 * n + 4
+    data_at = at + 8 * len(blocks) if len(blocks) > 1 else at
+    places = [data_at + sum(map(len, blocks[:k])) for k in range(len(blocks))]
+    fields |= {offsets: places, counts: list(map(len, blocks))}
+    out, more = struct.pack("<H", n), b""
+    for tag in sorted(fields):
+        value = fields[tag]
+        raw = struct.pack(f"<{len(value)}I", *value)
+        if len(raw) > 4:
+            out += struct.pack("<HHII", tag, 4, len(value), at + len(more))
+            more += raw
+        else:
+            out += struct.pack("<HHI", tag, 4, len(value)) + raw
+    return head + out + b"\0\0\0\0" + more + b"".join(blocks)
+
+
+@pytest.mark.parametrize("layout", [{}, {"rows": 3}, {"tile": 16}, {"tile": 16, "deflate": True}, {"rows": 4, "deflate": True, "differences": True}, {"tile": 16, "differences": True}])
+def test_strips_and_tiles(spark, tmp_path, layout):
+    band = (np.arange(37 * 21) * 7 % 1000 - 300).reshape(37, 21).astype("<i2")
+    content = tiff(band, **layout)
+    assert (geotiff.decode(content)[0] == band).all()
+    (tmp_path / "a.tif").write_bytes(content)
+    got = {(r.r, r.c): r.val for r in geotiff.read_geotiff(spark, str(tmp_path / "a.tif"), (3.0, -30.0, 9.0, -20.0)).collect()}
+    assert got == {(r, c): band[r, c] for r in range(37) for c in range(21) if 3 <= c + 0.5 <= 9 and -30 <= -0.5 - r <= -20}
+    with pytest.raises(ValueError, match="inside"):
+        geotiff.read_geotiff(spark, str(tmp_path / "a.tif"), (500.0, 0.0, 600.0, 1.0), required=True)
+
+
+def test_coordinate_systems(spark, tmp_path):
+    band = np.zeros((2, 2), dtype="int16")
+    (tmp_path / "ok.tif").write_bytes(geotiff.encode(band, 0, 0, 1, 1))
+    (tmp_path / "utm.tif").write_bytes(geotiff.encode(band, 0, 0, 1, 1, epsg=32635))
+    (tmp_path / "p.shp").write_bytes(b"x")
+    files.check_input(spark, str(tmp_path / "ok.tif"))
+    with pytest.raises(ValueError, match="32635"):
+        files.check_input(spark, str(tmp_path / "utm.tif"))
+    with pytest.warns(UserWarning, match="prj"):
+        files.check_shapes(spark, str(tmp_path))
+    (tmp_path / "p.prj").write_text('GEOGCS["GCS_WGS_1984"]')
+    files.check_shapes(spark, str(tmp_path))
+    (tmp_path / "p.prj").write_text('PROJCS["Pulkovo"]')
+    with pytest.raises(ValueError, match="WGS"):
+        files.check_input(spark, str(tmp_path / "p.shp"))
+    with pytest.raises(ValueError):
+        files.check_input(spark, str(tmp_path / "a.png"))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        files.check_shapes(spark, str(tmp_path / "none"))
