@@ -3,7 +3,8 @@
 Texts are equal when they agree after deleting white space.  A first pass keeps two small
 numbers per row, the length of the normalised text and a hash of its first ``prefix``
 characters.  Lengths that occur once are out; of the others, (length, prefix hash) keys that
-occur once are out; only rows of the keys left are read again and hashed in full.
+occur once are out.  A second pass reads the rows again and hashes in full only those of the
+keys left, or all if the caller asks for every digest.
 
 The rows that pass between the stages hold no text, so a group of copies that holds a third
 of all rows is a third of some narrow rows; groups are counted with map-side partial

@@ -19,7 +19,8 @@ A line that is everywhere is a key of partial counts and of joins against unique
 large partitions adaptive execution splits; no task gathers its places.
 
 Defined cases: null text is empty; lines are compared without blanks at their ends; lines
-without a word are no symbols and stay; rows that repeat doc_id and text are one document
+without a word are no symbols and stay; copies may overlap, so of 60 equal lines of a word each
+all runs of 50 but the first are later copies and 59 lines go; rows that repeat doc_id and text are one document
 and get one result; null doc_ids come last; an empty table gives an empty result; extra
 columns pass through.
 """
