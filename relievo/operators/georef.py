@@ -199,6 +199,13 @@ def optimize_regions(points: DataFrame, reference: DataFrame, grid: dict, least_
     return found
 
 
+def window_transform(seen: DataFrame, p1: np.ndarray, p2: np.ndarray, sample: int = 1000) -> np.ndarray:
+    """The similarity from a window's own triangulated points to those of other cameras, from image points of both (id, x, y, z, xl, yl, xr, yr)."""
+    some = cut(pt.sample_points(seen, sample, "id"))
+    new = ft.triangulate(some, p1, p2).select("id", *[F.col(a).alias(f"{a}2") for a in "xyz"])
+    return ft.absor(some.select("id", *[F.col(a).alias(f"{a}1") for a in "xyz"]).join(new, "id"))
+
+
 def _ecef(points: DataFrame, zone: int, south: bool) -> DataFrame:
     lon, lat = pr.utm2ll("x", "y", str(zone), str(south).upper())
     there = points.withColumns({"_lon": F.expr(lon), "_lat": F.expr(lat)})

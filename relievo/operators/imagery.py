@@ -195,3 +195,31 @@ def pyramid_levels(raster: DataFrame, factors: Sequence[int]) -> DataFrame:
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def crop(raster: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """The cells of a window given from 1, both ends included, counted anew from 0."""
+    inside = raster.where(F.col("c").between(x0 - 1, x1 - 1) & F.col("r").between(y0 - 1, y1 - 1))
+    return inside.withColumns({"r": F.col("r") - (y0 - 1), "c": F.col("c") - (x0 - 1)})
+
+
+def keypoint_cells(points: DataFrame, width: int, height: int, n: int = 5) -> DataFrame:
+    """Adds kx and ky, the cell of each point (x, y) of an image in ``n`` by ``n``; points outside are dropped."""
+    cell = lambda v, size: F.floor(F.col(v) * n / F.lit(size)).cast("int")
+    return points.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).withColumns({"kx": cell("x", width), "ky": cell("y", height)})
+
+
+def dilate_disk(cells: DataFrame, rows: int, cols: int, radius: int) -> DataFrame:
+    """r, c of the cells no farther than ``radius`` from one of ``cells``."""
+    near = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius])
+    grown = cells.select("r", "c", F.explode(near).alias("o")).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+    return grown.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1)).distinct()
+
+
+def unstable_terrain(edges: DataFrame, grid: dict, grow: int = 3) -> DataFrame:
+    """r, c of the cells of a grid whose centres lie in polygons (poly_id, x1, y1, x2, y2), grown by a disk: a mask for fits."""
+    rows, cols = grid["rows"], grid["cols"]
+    cells = edges.sparkSession.range(rows * cols).select(F.col("id").alias("pid"), F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
+    at = cells.withColumns({"x": grid["x0"] + F.col("c") * grid["dx"], "y": grid["y0"] - F.col("r") * grid["dy"]})
+    inside = pt.points_in_polygons(at.select("pid", "x", "y"), edges, 8 * max(grid["dx"], grid["dy"])).select("pid").distinct()
+    return dilate_disk(cells.join(inside, "pid", "left_semi").select("r", "c"), rows, cols, grow)

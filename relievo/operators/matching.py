@@ -36,6 +36,11 @@ def hamming_nearest(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*block, "qid").agg(F.min(F.struct("dist", "tid")).alias("m")).select(*block, "qid", "m.tid", "m.dist")
 
 
+def sorted_matches(pairs: DataFrame) -> DataFrame:
+    """All matches, the closest first (ties: smallest ids)."""
+    return pairs.orderBy("dist", "qid", "tid")
+
+
 def best_per_block(matches: DataFrame, block: Sequence[str], k: int) -> DataFrame:
     """The ``k`` closest matches of each block, with their rank."""
     at = Window.partitionBy(*block).orderBy("dist", "qid", "tid")

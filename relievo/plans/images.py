@@ -105,6 +105,31 @@ def hamming_nearest(spark: SparkSession, d: str) -> DataFrame:
     return mt.hamming_nearest(mt.hamming_pairs(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"]), ["label"])
 
 
+def matches_sorted(spark: SparkSession, d: str) -> DataFrame:
+    codes = vectors(spark, d).select("id", "label", mt.sign_bits(F.col("v")).alias("code"))
+    return mt.sorted_matches(mt.hamming_pairs(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"])).select("qid", "tid", "dist")
+
+
+def image_crop(spark: SparkSession, d: str) -> DataFrame:
+    return im.crop(img(spark, d).where("side = 'O'").select("r", "c", "val"), 5, 11, 40, 60).select("r", "c", F.round("val", 9).alias("val"))
+
+
+def keypoint_cells(spark: SparkSession, d: str) -> DataFrame:
+    points = _suppliers(spark, d).select("k", (F.col("k") * 37 % 1000).cast("double").alias("x"), (F.col("bal") / 10).alias("y"))
+    return im.keypoint_cells(points, 900, 700).groupBy("kx", "ky").agg(F.count("*").alias("n"))
+
+
+#: A triangle and a square, in the coordinates of ``GRID``.
+POLYGONS = {1: [(310.0, 3580.0), (1490.0, 2410.0), (820.0, 3790.0)], 2: [(2555.0, 905.0), (3145.0, 905.0), (3145.0, 1510.0), (2555.0, 1510.0)]}
+
+
+def unstable_terrain(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the reference that are under polygons, or near them."""
+    edges = [(k, *a, *b) for k, ring in POLYGONS.items() for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    mask = im.unstable_terrain(spark.createDataFrame(edges, "poly_id int, x1 double, y1 double, x2 double, y2 double"), GRID)
+    return dref(spark, d).join(mask, ["r", "c"]).select("r", "c", F.round("val", 6).alias("val"))
+
+
 def curvature_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Onto the curved earth and back: the differences are rounding."""
     flat = tgt(spark, d).select("id", (500000 + F.col("x") * 900).alias("x"), (4200000 + F.col("y") * 40).alias("y"), F.col("z"))
@@ -126,7 +151,7 @@ def dem_fit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "to_float": to_float, "valid_rows": valid_rows, "line_means": line_means, "world_window": world_window, "stereo_overlap": stereo_overlap, "edge_blanks": edge_blanks, "valid_disparity": valid_disparity,
     "spacing_median": spacing_median, "spacing_top": spacing_top, "converged": converged, "best_scale": best_scale, "best_pose": best_pose, "stitch_is_sane": stitch_is_sane, "region_tries": region_tries,
-    "pyramid_levels": pyramid_levels, "file_stems": file_stems, "hamming_nearest": hamming_nearest, "curvature_round_trip": curvature_round_trip, "dem_fit": dem_fit,
+    "pyramid_levels": pyramid_levels, "file_stems": file_stems, "hamming_nearest": hamming_nearest, "matches_sorted": matches_sorted, "image_crop": image_crop, "keypoint_cells": keypoint_cells, "unstable_terrain": unstable_terrain, "curvature_round_trip": curvature_round_trip, "dem_fit": dem_fit,
 }
 
 _D = "CAST({} AS DOUBLE)".format
@@ -172,5 +197,11 @@ SQL = {
     "pyramid_levels": f"{with_sql('href')}, a AS (SELECT CAST(floor(r / 2.0) AS INT) AS r, CAST(floor(c / 2.0) AS INT) AS c, avg(val) AS val FROM href GROUP BY 1, 2), b AS (SELECT CAST(floor(r / 5.0) AS INT) AS r, CAST(floor(c / 5.0) AS INT) AS c, avg(val) AS val FROM a GROUP BY 1, 2) SELECT 1 AS level, r, c, round(val, 4) AS val FROM a UNION ALL SELECT 2, r, c, round(val, 4) FROM b",
     "file_stems": "SELECT p_partkey AS image, 'D3C-' || p_partkey || '_a' AS stem, 'D3C-' || p_partkey AS strip FROM part",
     "hamming_nearest": f"{with_sql('codes')}, p AS (SELECT a.label, a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM codes a JOIN codes b USING (label) WHERE a.id % 2 = 0 AND b.id % 2 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY label, qid ORDER BY dist, tid) AS n FROM p) SELECT label, qid, tid, dist FROM o WHERE n = 1",
+    "matches_sorted": f"{with_sql('codes')} SELECT a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM codes a JOIN codes b USING (label) WHERE a.id % 2 = 0 AND b.id % 2 = 1",
+    "image_crop": f"{with_sql('img')} SELECT r - 10 AS r, c - 4 AS c, round(val, 9) AS val FROM img WHERE side = 'O' AND r BETWEEN 10 AND 59 AND c BETWEEN 4 AND 39",
+    "keypoint_cells": f"WITH {_S}, p AS (SELECT CAST(k * 37 % 1000 AS DOUBLE) AS x, bal / 10 AS y FROM s) SELECT CAST(floor(x / 180) AS INT) AS kx, CAST(floor(y / 140) AS INT) AS ky, count(*) AS n FROM p WHERE x >= 0 AND x < 900 AND y >= 0 AND y < 700 GROUP BY 1, 2",
+    "unstable_terrain": f"""{with_sql("dref")}, e AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, ring in POLYGONS.items() for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))}) t(k, x1, y1, x2, y2)),
+      i AS (SELECT r, c, k FROM dref, e WHERE (y1 > 3900 - r * 100) <> (y2 > 3900 - r * 100) AND c * 100 < (x2 - x1) * (3900 - r * 100 - y1) / (y2 - y1) + x1 GROUP BY r, c, k HAVING count(*) % 2 = 1)
+      SELECT r, c, round(val, 6) AS val FROM dref d WHERE EXISTS (SELECT 1 FROM i WHERE (i.r - d.r) * (i.r - d.r) + (i.c - d.c) * (i.c - d.c) <= 9)""",
     "curvature_round_trip": f"{with_sql('tgt')} SELECT id, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM tgt",
 }

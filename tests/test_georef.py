@@ -116,3 +116,29 @@ def test_corner_transforms():
 
 def test_region_ids():
     assert im.region_ids(" 1, x,2 ,,30") == [1, 2, 30]
+
+
+def test_windows_share_a_frame(spark):
+    """Points seen by two cameras, and the same points in a frame of their own."""
+    rng = np.random.default_rng(1)
+    world = np.column_stack([rng.uniform(-40, 40, (60, 2)), rng.uniform(400, 500, 60)])
+    k = np.array([[1000.0, 0, 320], [0, 1000, 240], [0, 0, 1]])
+    cameras = [k @ np.column_stack([np.eye(3), [-b, 0, 0]]) for b in (0.0, 100.0)]
+    seen = [(h[:, :2] / h[:, 2:]) for h in (np.column_stack([world, np.ones(60)]) @ p.T for p in cameras)]
+    own = 0.25 * world[:, [1, 2, 0]] + [5, -6, 7]
+    rows = [(i, *map(float, [*own[i], *seen[0][i], *seen[1][i]])) for i in range(60)]
+    m = gr.window_transform(spark.createDataFrame(rows, "id long, x double, y double, z double, xl double, yl double, xr double, yr double"), *cameras)
+    assert np.allclose(own @ m[:3, :3].T + m[:3, 3], world, atol=1e-4)
+
+
+def test_reference_heights(spark, tmp_path):
+    from relievo.plans import stages
+    from relievo.sources import geotiff
+
+    band = np.arange(100, dtype="int16").reshape(10, 10) * 10
+    band[4, 4] = -9999
+    (tmp_path / "dem.tif").write_bytes(geotiff.encode(band, 30.0, 39.0, 0.1, 0.1))
+    got = stages.reference_heights(spark, str(tmp_path / "dem.tif"), (30.3, 38.5, 30.5, 38.7)).collect()
+    assert {(r.r, r.c) for r in got} == {(r, c) for r in (3, 4, 5) for c in (3, 4, 5)} and {(r.r, r.c) for r in got if r.val is None} == {(4, 4)}
+    with pytest.raises(ValueError):
+        stages.reference_heights(spark, str(tmp_path / "dem.tif"), (50.0, 10.0, 51.0, 11.0))
