@@ -447,14 +447,18 @@ def _put(plan: Plan) -> Callable:
     return run
 
 
-def _ask_weights(plan: Plan) -> Callable:
+def _ask_weights(plan: Plan, levels: tuple[int, ...]) -> Callable:
+    """The frequent sequences of these levels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
                 chunk, known = Chunk(row, plan), Known(row["answers"])
-                yield from _asked(chunk, 1, chunk.words()[0][known[1][0]])
-                for level, keys, at in chunk.sequences(known, plan.depth + 1):
-                    yield from _asked(chunk, level, _different(keys[at])[0][known[level][0]])
+                if 1 in levels:
+                    yield from _asked(chunk, 1, chunk.words()[0][known[1][0]])
+                for level, keys, at in chunk.sequences(known, max(levels)):
+                    if level in levels:
+                        yield from _asked(chunk, level, _different(keys[at])[0][known[level][0]])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -649,9 +653,12 @@ def score_documents(docs: DataFrame, depth: int = 2, least: int = LEAST) -> Data
     vocabulary = answers.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted, path = _stored(met.mapInArrow(_put(plan), TABLE), "counted", "level")
     weights, kept = _weights(counted, path, plan, total, vocabulary)
-    given = weights.mapInArrow(_give_weights(plan), GIVEN)
-    asked = met.mapInArrow(_ask_weights(plan), ASKED).drop("held", "counts").unionByName(given, allowMissingColumns=True)
-    told, _ = _stored(by_slot(asked).mapInArrow(_answer_weights, WEIGHTS), "weights")
+    told = None
+    for levels in ((1, 2), *((level,) for level in range(3, depth + 2))):  # one after the other, so that less is on the way at a time
+        given = weights.where(F.col("level").isin(*levels)).mapInArrow(_give_weights(plan), GIVEN)
+        asked = met.mapInArrow(_ask_weights(plan, levels), ASKED).drop("held", "counts").unionByName(given, allowMissingColumns=True)
+        part, _ = _stored(by_slot(asked).mapInArrow(_answer_weights, WEIGHTS), "weights")
+        told = part if told is None else told.unionByName(part)
     _discard(spark, path, *kept)
     found = _met(chunks, answers=answers, weights=told).mapInArrow(_score(plan, kind, total, vocabulary), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
