@@ -40,6 +40,8 @@ from relievo.llm.common import cut, grouped, small, text_of, with_row
 from relievo.operators.graphs import components
 
 PARTS = 16
+#: Bits of a set's parities, and rows of a list's block when pairs that are left meet.
+PARITY_BITS, LIST_BLOCK = 1024, 2000
 PACK_HASHES, PACK_DOCS = 600_000, 60_000
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,7 +73,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def _digest(hashes: np.ndarray) -> bytes:
+def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
@@ -112,7 +114,7 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
             for doc_id, mark, text in zip(*(batch.column(c) for c in ("doc_id", "mark", "text")), strict=True):
                 h = shingles(text.as_py(), n)
                 half = h[: np.searchsorted(h, np.uint64(1 << 63))]
-                rows.append((doc_id.as_py(), mark.as_py(), len(h), len(half), _digest(h)))
+                rows.append((doc_id.as_py(), mark.as_py(), len(h), len(half), digest(h)))
                 sets.append(half)
                 held += len(half)
                 if held >= PACK_HASHES or len(rows) >= PACK_DOCS:
@@ -194,21 +196,26 @@ def sketched(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return back.mapInArrow(_survivors(num, den, _arrow(third)), third)
 
 
-def _sets(n: int):
+def set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, hashes, parts = [], [], []
+            rids, hashes, parts, bits = [], [], [], []
             for rid, rec, text in zip(*(batch.column(c) for c in ("rid", "rec", "text")), strict=True):
                 h = shingles(text.as_py(), n)
-                if _digest(h) == rec.as_py():  # a mark may stand for several texts
+                if digest(h) == rec.as_py():  # a mark may stand for several texts
                     rids.append(rid.as_py())
                     hashes.append(h.view(np.int64))
                     parts.append(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=PARTS))
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], ["rid", "hashes", "parts"])
+                    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (hashes, parts, bits))], ["rid", "hashes", "parts", "bits"])
 
     return run
 
 
+SET = "rid long, hashes array<long>, parts array<long>, bits array<long>"
+
+
 def _overlap(n: Column, m: Column, num: int, den: int) -> Column:
     """The least intersection of linked sets of these sizes."""
     return F.ceil(F.lit(num) * (n + m) / F.lit(num + den))
@@ -232,13 +239,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut(met.select("a", "b", n.alias("n_a"), m.alias("n_b"), both.alias("both")).where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
-def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
+def linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
     """node, component for the sets that link to others.
 
     In a round two members of each list meet all that are in other components: the one with
     the fewest shingles of its own, the likeliest to be near all others, and one drawn by a
     hash (in later rounds both).  Lists that are inside one component are done.  After the
-    rounds all pairs of different components that have not met do so, so no link is lost.
+    rounds all pairs of different components that have not met do so, so no link is lost;
+    a long list's pairs are dealt out by blocks, and only those go on whose sets can be near:
+    sets differ in at least as many shingles as their parities differ in bits.
     """
     postings, links, tested, joined = cut(postings), None, None, None
 
@@ -266,46 +275,66 @@ def _linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: i
         ends = met.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "c", F.explode(F.array("lo", "hi")).alias("end")).where("end.c <> c")
         meet(_filtered(ends.select(F.col("end.rid").alias("a"), F.col("end.n").alias("n_a"), F.col("end.pos").alias("pos_a"), "b", "n_b", "pos_b"), num, den))
     here = cut(placed())
-    of_list = here.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.count("*").alias("kinds"))
-    here = cut(here.join(of_list.where("kinds > 1").select("token", F.col("main.c").alias("main")), "token"))
-    outer = here.where("c <> main").select("token", F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c").alias("c_a"))
-    inner = here.select("token", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), (F.col("c") == F.col("main")).alias("b_main"))
-    length = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
-    rest = outer.join(inner, "token").where((F.col("c_a") != F.col("c_b")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & length)
+    of_list = here.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.sum("many").alias("size"), F.count("*").alias("kinds"))
+    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")
+    here = here.join(of_list.where("kinds > 1").select("token", F.col("main.c").alias("main"), blocks), "token")
+    here = cut(here.join(about.select(F.col("rid").alias("b_rid"), "bits"), F.col("rid") == F.col("b_rid")).drop("b_rid"))
+    side = lambda s: [F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("pos", "pos"), ("c", "c"), ("bits", "bits"))]
+    outer = here.where("c <> main").select("token", F.col("rid").alias("a"), *side("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    inner = here.select("token", F.col("rid").alias("b"), *side("b"), (F.col("c") == F.col("main")).alias("b_main"), F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"))
+    n, m = F.col("n_a"), F.col("n_b")
+    length = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
+    odd = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = odd <= n + m - 2 * _overlap(n, m, num, den)
+    rest = outer.join(inner, ["token", "block"]).where((F.col("c_a") != F.col("c_b")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & length & near)
     meet(_filtered(rest, num, den))
     return joined
 
 
+def place_of() -> Column:
+    """The order of documents: by doc_id, nulls last, then mark."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rid, hashes, parts, bits of each class (rid, rec, label), from the text of the document that stands for it."""
+    stands = classes.select("rid", "rec", F.col("label.doc_id").alias("l_id"), F.col("label.mark").alias("l_mark"))
+    texts = docs.select("doc_id", text_of().alias("text")).join(small(stands, 72), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_mark"))).select("rid", "rec", "text")
+    return cut(texts.mapInArrow(set_rows(words), SET))
+
+
+def labelled(info: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, first, from the rows (doc_id, mark, n, rec), their classes and the components of these."""
+    named = classes.join(joined, F.col("rid") == F.col("node"), "left").select("rec", "label", F.coalesce("component", "rid").alias("c"))
+    least = named.groupBy("c").agg(F.min("label").alias("least"))
+    of_rec = cut(named.join(least, "c").select(F.col("rec").alias("r"), "least"))
+    found = info.join(small(of_rec, 72), F.col("rec") == F.col("r"), "left")
+    inside = F.col("least").isNotNull()
+    return found.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(inside, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~inside | F.col("least").eqNullSafe(place_of())).alias("first"))
+
+
 def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, first: one row per row of ``docs``.
 
     Sets link when den * |intersection| >= num * |union|.  ``first`` is true for the document
     with the smallest doc_id (then mark) of a component, and for its repeated rows.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     info = cut(sketched(docs, words, num, den))
-    classes = info.where("alive").groupBy("rec").agg(F.min(place).alias("label"), F.first("n").alias("n"))
+    classes = info.where("alive").groupBy("rec").agg(F.min(place_of()).alias("label"), F.first("n").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("rid"), "rec", "label", "n"))
-    stands = classes.select("rid", "rec", F.col("label.doc_id").alias("l_id"), F.col("label.mark").alias("l_mark"))
-    texts = docs.select("doc_id", text_of().alias("text")).join(small(stands, 72), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_mark"))).select("rid", "rec", "text")
-    sets = cut(texts.mapInArrow(_sets(words), "rid long, hashes array<long>, parts array<long>"))
+    sets = sets_of(docs, classes, words)
     tokens = sets.select("rid", F.explode("hashes").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(df, "token").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("ranked"))
     rare = F.col("n") - F.size("ranked")
     prefix = (F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.col("rare")).cast("int")
     about = classes.join(ranked, "rid").withColumn("rare", rare).withColumn("prefix", prefix).where("prefix > 0")
-    about = about.join(sets.select("rid", "parts"), "rid").dropDuplicates(["rid"])
-    about = cut(about.select("rid", "n", "rare", "prefix", "parts", F.transform("ranked", lambda x: x["token"]).alias("shared")))
+    about = about.join(sets.select("rid", "parts", "bits"), "rid").dropDuplicates(["rid"])
+    about = cut(about.select("rid", "n", "rare", "prefix", "parts", "bits", F.transform("ranked", lambda x: x["token"]).alias("shared")))
     postings = about.select("rid", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "token"))
     postings = postings.select("token", "rid", "n", "rare", (F.col("rare") + F.col("at")).alias("pos"))
-    joined = _linked(postings, about, num, den)
-    labelled = classes.join(joined, F.col("rid") == F.col("node"), "left").select("rec", "label", F.coalesce("component", "rid").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("label").alias("least"))
-    of_rec = cut(labelled.join(least, "c").select(F.col("rec").alias("r"), "least"))
-    found = info.join(small(of_rec, 72), F.col("rec") == F.col("r"), "left")
-    inside = F.col("least").isNotNull()
-    return found.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(inside, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~inside | F.col("least").eqNullSafe(place)).alias("first"))
+    joined = linked(postings, about, num, den)
+    return labelled(info, classes, joined)
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:

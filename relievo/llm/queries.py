@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relievo.llm import exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, token_counts
+from relievo.llm import conversation_repair, exact_dedup, language_model, line_dedup, merkle, mixing, near_dedup, ngram_join, packing, pii, quality, secrets, token_counts
 from relievo.llm.common import shared_folder
 
 
@@ -72,6 +72,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.audits(conversations, conversation_repair.damaged(conversations))
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, sf_dir), merkle.without_newlines())
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", text("leaf"), text("subroot"), text("root"), "proof_sha256", text("folded_root"), "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_near_dedup": op12_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP3_SQL = r"""
