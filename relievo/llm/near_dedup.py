@@ -75,13 +75,14 @@ def _signed(words: int, halves: int, rows: int):
 
 
 def tables(classes: DataFrame, halves: int) -> DataFrame:
-    """token, rid, n: the lists of classes that share a table key, each list once."""
+    """token, rid, n, apart: the lists of classes that share a table key, each list once."""
     keys = cut(classes.select("rid", "n", F.posexplode("keys").alias("at", "key")))
-    shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     left, right = (F.collect_list(F.when(side, F.col("key"))).alias(name) for name, side in (("left", F.col("at") < halves), ("right", F.col("at") >= halves)))
-    sides = keys.join(shared, "key").groupBy("rid", "n").agg(left, right)
-    pairs = sides.select("rid", "n", "right", F.explode("left").alias("l")).select("rid", "n", "l", F.explode("right").alias("r"))
-    postings = cut(pairs.select(F.xxhash64("l", "r").alias("token"), "rid", "n"))
+    # The class whose half keys most others have too is the likeliest to be near all of them.
+    sides = keys.join(shared, "key").groupBy("rid", "n").agg(left, right, (-F.sum("many")).alias("apart"))
+    pairs = sides.select("rid", "n", "apart", "right", F.explode("left").alias("l")).select("rid", "n", "apart", "l", F.explode("right").alias("r"))
+    postings = cut(pairs.select(F.xxhash64("l", "r").alias("token"), "rid", "n", "apart"))
     members = [F.count("*").alias("many"), F.min("rid").alias("least"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")]
     lists = postings.groupBy("token").agg(*members).where("many > 1").groupBy("many", "least", "x", "y").agg(F.min("token").alias("token"))
     return postings.join(lists.select("token"), "token")
@@ -102,5 +103,5 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     met = classes.join(postings.select("rid").distinct(), "rid", "left_semi")
     about = sets_of(docs, met, words).dropDuplicates(["rid"]).join(met.select("rid", "n"), "rid")
     about = cut(about.select("rid", "n", "parts", "bits", F.col("hashes").alias("shared")))
-    joined = linked(postings.select("token", "rid", "n", F.lit(0).alias("rare"), F.lit(0).alias("pos")), about, num, den)
+    joined = linked(postings.select("token", "rid", "n", "apart", F.lit(0).alias("pos")), about, num, den)
     return labelled(info, classes, joined)

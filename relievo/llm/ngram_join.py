@@ -239,15 +239,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut(met.select("a", "b", n.alias("n_a"), m.alias("n_b"), both.alias("both")).where(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
+PAIR = "a long, n_a long, pos_a long, b long, n_b long, pos_b long"
+
+
+def _near_pairs(num: int, den: int, one: bool):
+    """Of a block of members against another: pairs whose sizes and parities allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "slot"):
+            outer = table["outer"].to_numpy()
+            rid, n, pos, c, main = (table[x].to_numpy() for x in ("rid", "n", "pos", "c", "main"))
+            bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rid), -1)
+            left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
+            for some in (left[k : k + 64] for k in range(0, len(left), 64)):
+                x, y = some[:, None], right[None, :]
+                both = n[x] + n[y]
+                odd = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=2, dtype=np.int64)
+                near = (c[x] != c[y]) & ((c[y] == main[x]) | (rid[x] < rid[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (odd <= both + 2 * (-num * both // (num + den)))
+                i, j = np.nonzero(near)
+                i, j = some[i], right[j]
+                if one and len(i):
+                    _, first = np.unique(np.stack([rid[i], c[j]]), axis=1, return_index=True)
+                    i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (rid[i], n[i], pos[i], rid[j], n[j], pos[j])], ["a", "n_a", "pos_a", "b", "n_b", "pos_b"])
+
+    return run
+
+
+def _left(here: DataFrame, about: DataFrame, num: int, den: int, one: bool) -> DataFrame:
+    """Pairs of different components of a list whose sets can be near, one of them outside the list's largest component.
+
+    A list is dealt by blocks of members, and each block meets each, so that no task holds more
+    than two blocks of a list, and rows are made only for pairs that the sets' parities leave:
+    sets differ in at least as many shingles as their parities differ in bits.  With ``one`` a
+    member gets one pair a block and component, as most of these link and make the others
+    needless.
+    """
+    of_list = here.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.sum("many").alias("size"), F.count("*").alias("kinds"))
+    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")
+    here = here.join(of_list.where("kinds > 1").select("token", F.col("main.c").alias("main"), blocks), "token")
+    here = here.join(about.select(F.col("rid").alias("b_rid"), "bits"), F.col("rid") == F.col("b_rid"))
+    own, every = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    outer = F.when(F.col("c") != F.col("main"), F.transform(every, lambda k: F.struct(F.lit(True).alias("outer"), F.xxhash64("token", own, k).alias("slot"))))
+    inner = F.transform(every, lambda k: F.struct(F.lit(False).alias("outer"), F.xxhash64("token", k, own).alias("slot")))
+    dealt = here.withColumn("role", F.explode(F.concat(F.coalesce(outer, F.array().cast("array<struct<outer:boolean,slot:bigint>>")), inner)))
+    dealt = dealt.select("role.*", "rid", "n", F.col("pos").cast("long").alias("pos"), "c", "main", "bits").repartition("slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(_near_pairs(num, den, one), PAIR)
+
+
 def linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: int = 1) -> DataFrame:
     """node, component for the sets that link to others.
 
     In a round two members of each list meet all that are in other components: the one with
-    the fewest shingles of its own, the likeliest to be near all others, and one drawn by a
-    hash (in later rounds both).  Lists that are inside one component are done.  After the
-    rounds all pairs of different components that have not met do so, so no link is lost;
-    a long list's pairs are dealt out by blocks, and only those go on whose sets can be near:
-    sets differ in at least as many shingles as their parities differ in bits.
+    the least ``apart``, the likeliest to be near all others, and one drawn by a hash (in later
+    rounds both).  Lists that are inside one component are done.  After the rounds members of different components that can be near meet, first one pair for each two
+    components, then all that are still apart, so no link is lost.
     """
     postings, links, tested, joined = cut(postings), None, None, None
 
@@ -265,8 +311,8 @@ def linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: in
 
     for k in range(rounds):
         here = placed() if k == 0 else cut(placed())
-        drawn = F.xxhash64(F.lit(k), F.col("rid"))
-        first = F.struct((F.col("rare") / F.col("n") if k == 0 else drawn).alias("key"), "rid", "n", "pos", "c")
+        drawn = F.xxhash64(F.lit(k), "rid")
+        first = F.struct((F.col("apart") if k == 0 else drawn).alias("key"), "rid", "n", "pos", "c")
         last = F.struct(drawn.alias("key"), "rid", "n", "pos", "c")
         lists = here.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first).alias("lo"), F.max(last).alias("hi")).where("c0 <> c1")
         leaders = cut(lists.select("token", *[F.struct(*[f"{s}.{f}" for f in ("rid", "n", "pos", "c")]).alias(s) for s in ("lo", "hi")]))
@@ -274,20 +320,8 @@ def linked(postings: DataFrame, about: DataFrame, num: int, den: int, rounds: in
         postings = cut(met.select(*here.columns))
         ends = met.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "c", F.explode(F.array("lo", "hi")).alias("end")).where("end.c <> c")
         meet(_filtered(ends.select(F.col("end.rid").alias("a"), F.col("end.n").alias("n_a"), F.col("end.pos").alias("pos_a"), "b", "n_b", "pos_b"), num, den))
-    here = cut(placed())
-    of_list = here.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("main"), F.sum("many").alias("size"), F.count("*").alias("kinds"))
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")
-    here = here.join(of_list.where("kinds > 1").select("token", F.col("main.c").alias("main"), blocks), "token")
-    here = cut(here.join(about.select(F.col("rid").alias("b_rid"), "bits"), F.col("rid") == F.col("b_rid")).drop("b_rid"))
-    side = lambda s: [F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("pos", "pos"), ("c", "c"), ("bits", "bits"))]
-    outer = here.where("c <> main").select("token", F.col("rid").alias("a"), *side("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    inner = here.select("token", F.col("rid").alias("b"), *side("b"), (F.col("c") == F.col("main")).alias("b_main"), F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"))
-    n, m = F.col("n_a"), F.col("n_b")
-    length = F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
-    odd = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = odd <= n + m - 2 * _overlap(n, m, num, den)
-    rest = outer.join(inner, ["token", "block"]).where((F.col("c_a") != F.col("c_b")) & (F.col("b_main") | (F.col("a") < F.col("b"))) & length & near)
-    meet(_filtered(rest, num, den))
+    meet(_filtered(_left(cut(placed()), about, num, den, True), num, den))
+    meet(_filtered(_left(cut(placed()), about, num, den, False), num, den))
     return joined
 
 
@@ -332,7 +366,7 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
     about = about.join(sets.select("rid", "parts", "bits"), "rid").dropDuplicates(["rid"])
     about = cut(about.select("rid", "n", "rare", "prefix", "parts", "bits", F.transform("ranked", lambda x: x["token"]).alias("shared")))
     postings = about.select("rid", "n", "rare", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "token"))
-    postings = postings.select("token", "rid", "n", "rare", (F.col("rare") + F.col("at")).alias("pos"))
+    postings = postings.select("token", "rid", "n", (F.col("rare") / F.col("n")).alias("apart"), (F.col("rare") + F.col("at")).alias("pos"))
     joined = linked(postings, about, num, den)
     return labelled(info, classes, joined)
 
