@@ -230,7 +230,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, block: int = BLOCK
     sources = cut(numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("s_g"), F.col("root").alias("digest")), "s_g"))
     tops, root = authenticated(sources.select("g", "idx", "n", "digest"), block)
     tops = sources.join(tops.select(F.col("idx").alias("t_idx"), "path"), F.col("idx") == F.col("t_idx"))
-    tops = cut(tops.crossJoin(F.broadcast(root.select("root"))).select("s_g", F.col("digest").alias("subroot"), "root", F.col("path").alias("upper")))  # one root
+    tops = tops.join(F.broadcast(root.select(F.col("g").alias("r_g"), "root")), F.col("g") == F.col("r_g"))  # one row
+    tops = cut(tops.select("s_g", F.col("digest").alias("subroot"), "root", F.col("path").alias("upper")))
     met = leaves.join(paths.select(F.col("g").alias("p_g"), F.col("idx").alias("p_idx"), "path"), (F.col("g") == F.col("p_g")) & (F.col("idx") == F.col("p_idx")))
     met = met.join(small(tops, 1 << 11), F.col("g") == F.col("s_g"))
     met = met.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.concat("path", "upper").alias("path"), "tested")
