@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import clouds, images, matches, rasters, stages, streams
+from relievo.plans import clouds, files, images, matches, rasters, stages, streams
 
-GROUPS = (rasters, clouds, matches, images, stages, streams)
+GROUPS = (rasters, clouds, matches, images, stages, streams, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

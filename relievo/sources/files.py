@@ -42,7 +42,7 @@ def check_input(spark: SparkSession, path: str) -> None:
     """An error unless a GeoTIFF or shapefile is in geographic WGS 84; a shapefile without a .prj is only warned about."""
     low = path.lower()
     if low.endswith(".tif"):
-        epsg = geotiff.header(bytes(spark.read.format("binaryFile").load(path).first()["content"]))["epsg"]
+        epsg = geotiff.header(geotiff.Ranges(path))["epsg"]
         if epsg != 4326:
             raise ValueError(f"{path} has EPSG:{epsg}, EPSG:4326 is asked for")
     elif low.endswith(".shp"):
