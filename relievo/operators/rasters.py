@@ -22,6 +22,8 @@ def dense(raster: DataFrame, rows: int, cols: int, keys: Sequence[str] = ()) ->
     """Every cell of ``rows`` x ``cols`` for every raster; cells without a row become null."""
     spark = raster.sparkSession
     one = raster.select(*keys).distinct() if keys else spark.range(1).select()
+    if rows <= 0 or cols <= 0:  # a sequence from 0 to -1 would count down
+        one, rows, cols = one.where(F.lit(False)), 1, 1
     cells = one.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).select(*keys, "r", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
     return cells.join(raster.select(*keys, "r", "c", "val"), [*keys, "r", "c"], "left")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relievo.operators import georef as gr
 from relievo.operators import imagery as im
 from relievo.operators import matching as mt
+from relievo.operators import nearest as ne
 from relievo.plans.fixtures import dref, geo, href, img, read, tgt, vectors, with_sql
 
 #: Image (x, -y) to world: a turned and scaled map.
@@ -102,7 +103,7 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 
 def hamming_nearest(spark: SparkSession, d: str) -> DataFrame:
     codes = vectors(spark, d).select("id", "label", mt.sign_bits(F.col("v")).alias("code"))
-    return mt.hamming_nearest(mt.hamming_pairs(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"]), ["label"])
+    return ne.nearest_codes(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"])
 
 
 def matches_sorted(spark: SparkSession, d: str) -> DataFrame:

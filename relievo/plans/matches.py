@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from relievo.operators import cleanup as cl
 from relievo.operators import fitting as ft
 from relievo.operators import matching as mt
+from relievo.operators import nearest as ne
 from relievo.operators import rasters as ra
 from relievo.operators import windows as wi
 from relievo.plans.fixtures import dref, href, read, tgt, vectors, with_sql
@@ -21,11 +22,17 @@ def _codes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hamming_mutual_nn(spark: SparkSession, d: str) -> DataFrame:
-    return mt.mutual_nearest(mt.hamming_pairs(*_codes(spark, d), ["label"]), ["label"])
+    return ne.mutual_codes(*_codes(spark, d), ["label"])
 
 
 def hamming_topk(spark: SparkSession, d: str) -> DataFrame:
-    return mt.best_per_block(mt.hamming_pairs(*_codes(spark, d), ["label"]), ["label"], 10)
+    return ne.closest_codes(*_codes(spark, d), ["label"], 10)
+
+
+def hamming_any_label(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest codes over the whole table, by bands of their bits."""
+    left, right = (x.withColumn("label", F.lit(0)) for x in _codes(spark, d))
+    return ne.nearest_codes(left, right, ["label"], few=1 << 10).select("qid", "tid", "dist")
 
 
 def euclid_nn(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +146,7 @@ def block_process(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "hamming_mutual_nn": hamming_mutual_nn, "hamming_topk": hamming_topk, "euclid_nn": euclid_nn, "roi_windows": roi_windows, "window_status_filter": window_status_filter, "block_index": block_index,
+    "hamming_mutual_nn": hamming_mutual_nn, "hamming_topk": hamming_topk, "hamming_any_label": hamming_any_label, "euclid_nn": euclid_nn, "roi_windows": roi_windows, "window_status_filter": window_status_filter, "block_index": block_index,
     "compute_windows": compute_windows, "axis_vectors": axis_vectors, "image_sort_order": image_sort_order, "keypoint_extrema_rank": keypoint_extrema_rank, "nuth_kaab_normal_eq": nuth_kaab_normal_eq,
     "nuth_kaab_fit": nuth_kaab_fit, "components_clean": components_clean, "raster_clean": raster_clean, "inpaint": inpaint, "mesh_denoise": mesh_denoise, "triangulate": triangulate, "block_process": block_process,
 }
@@ -160,6 +167,7 @@ _AROUND_SLOPES = """h0 AS (SELECT *, lag(val) OVER (PARTITION BY r ORDER BY c) A
 SQL = {
     "hamming_mutual_nn": f"{_PAIRS}, a AS (SELECT *, row_number() OVER (PARTITION BY label, qid ORDER BY dist, tid) AS x, row_number() OVER (PARTITION BY label, tid ORDER BY dist, qid) AS y FROM p) SELECT label, qid, tid, dist FROM a WHERE x = 1 AND y = 1",
     "hamming_topk": f"{_PAIRS}, a AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, qid, tid) AS rank FROM p) SELECT * FROM a WHERE rank <= 10",
+    "hamming_any_label": f"{_CODES}, p AS (SELECT a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM h a, h b WHERE a.id % 2 = 0 AND b.id % 2 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS x FROM p) SELECT qid, tid, dist FROM o WHERE x = 1",
     "euclid_nn": f"{_CODES}, p AS (SELECT a.label, a.id AS qid, b.id AS tid, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)) * (CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)))) AS d2 FROM h a JOIN h b USING (label) WHERE a.id % 3 = 0 AND b.id % 3 <> 0), o AS (SELECT *, row_number() OVER (PARTITION BY label, qid ORDER BY d2, tid) AS x FROM p) SELECT label, qid, tid, round(d2, 6) AS d2 FROM o WHERE x = 1",
     "roi_windows": f'{_WIN} SELECT region, window_id AS "window", CAST(floor(bal) AS BIGINT) AS left_points, CAST(floor(bal - 1000) AS BIGINT) AS right_points FROM w WHERE floor(bal) > 0 AND floor(bal - 1000) > 0 AND region IN (0, 2, 3)',
     "window_status_filter": f"{_WIN}, s AS (SELECT region, CASE WHEN bal > 0 THEN bal / 100 END AS rmse FROM w) SELECT region, count(*) AS windows, count(rmse) AS done, count(CASE WHEN rmse <= 25 THEN 1 END) AS good, round(min(rmse), 6) AS least FROM s GROUP BY region",

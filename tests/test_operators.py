@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relievo.functions import projections as pr
 from relievo.functions import transforms as tr
 from relievo.operators import cleanup, fitting, graphs, points, rasters, windows
+from relievo.plans import stages
 
 
 def raster(spark, array):
@@ -128,3 +129,9 @@ def test_trim_and_mad(spark):
     v = spark.createDataFrame([(float(k),) for k in range(101)], "d double")
     assert points.trim(v, "d", 0.05, 0.95).count() == 91
     assert points.mad_reject(v, "d", sigmas=1.0).agg(F.max("d")).first()[0] == 87.0
+
+
+def test_a_height_model_of_no_points_is_empty(spark):
+    none = spark.createDataFrame([], "x double, y double, z double")
+    assert rasters.dense(none.selectExpr("1 AS r", "1 AS c", "z AS val"), 0, 5).count() == 0
+    assert stages.height_model(none, **rasters.grid_of(none, 1.0, 1.0)).count() == 0
