@@ -14,30 +14,46 @@ from relievo.operators import points as pt
 AXES = ("x", "y", "z")
 
 
-def pair_moments(pairs: DataFrame) -> DataFrame:
+def pair_moments(pairs: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
     """One row: n, means, cross sums and squares of pairs (x1, y1, z1, x2, y2, z2) about their means."""
-    sides = [f"{a}{k}" for k in (1, 2) for a in AXES]
-    cross = [F.covar_pop(f"{a}1", f"{b}2").alias(f"c_{a}{b}") for a in AXES for b in AXES]
+    sides = [f"{a}{k}" for k in (1, 2) for a in axes]
+    cross = [F.covar_pop(f"{a}1", f"{b}2").alias(f"c_{a}{b}") for a in axes for b in axes]
     return pairs.dropna(subset=sides).agg(F.count("*").alias("n"), *[F.avg(s).alias(f"m_{s}") for s in sides], *[F.var_pop(s).alias(f"v_{s}") for s in sides], *cross)
 
 
-def absor(pairs: DataFrame, scale: bool = True, symmetric: bool = False) -> np.ndarray:
-    """The similarity that takes (x1, y1, z1) to (x2, y2, z2) with least squares, as a 4 x 4 matrix.
+def weighted_moments(pairs: DataFrame, axes: Sequence[str], weight: str) -> dict:
+    """n, means m_, mean squares v_ and cross products c_ of pairs about their weighted means; rows without a positive weight are left out.
 
-    One aggregate gives the cross-covariance; its singular vectors give the rotation.
+    A first aggregate gives the means and a second the products about them, so that large coordinates lose no digits.
     """
-    m = pair_moments(pairs).first()
-    if m["n"] < 3:
-        raise ValueError("three pairs at least are asked for")
-    h = np.array([[m[f"c_{a}{b}"] for b in AXES] for a in AXES])
+    sides, w = [f"{a}{k}" for k in (1, 2) for a in axes], F.col(weight)
+    rows = pairs.dropna(subset=[*sides, weight]).where(w > 0)
+    means = rows.agg(F.count("*").alias("n"), F.sum(w).alias("w"), *[F.try_divide(F.sum(w * F.col(s)), F.sum(w)).alias(f"m_{s}") for s in sides]).first().asDict()
+    if not means["n"]:
+        return means
+    off = {s: F.col(s) - F.lit(means[f"m_{s}"]) for s in sides}
+    mean = lambda v: F.sum(w * v) / F.lit(means["w"])
+    return means | rows.agg(*[mean(off[s] * off[s]).alias(f"v_{s}") for s in sides], *[mean(off[f"{a}1"] * off[f"{b}2"]).alias(f"c_{a}{b}") for a in axes for b in axes]).first().asDict()
+
+
+def absor(pairs: DataFrame, scale: bool = True, symmetric: bool = False, axes: Sequence[str] = AXES, weight: str | None = None) -> np.ndarray:
+    """The similarity that takes (x1, y1, z1) to (x2, y2, z2) with least squares, as a 4 x 4 matrix; with ``axes`` x and y in the plane, as a 3 x 3 one.
+
+    ``weight`` names a column of weights.  Aggregates give the cross-covariance; its singular vectors give the rotation.
+    """
+    axes, size = tuple(axes), len(axes)
+    m = weighted_moments(pairs, axes, weight) if weight else pair_moments(pairs, axes).first().asDict()
+    if m["n"] < size:
+        raise ValueError(f"{size} pairs at least are asked for")
+    h = np.array([[m[f"c_{a}{b}"] for b in axes] for a in axes])
     u, s, vt = np.linalg.svd(h)
-    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T))])
+    flip = np.diag([*[1.0] * (size - 1), np.sign(np.linalg.det(vt.T @ u.T))])
     r = vt.T @ flip @ u.T
-    var1, var2 = sum(m[f"v_{a}1"] for a in AXES), sum(m[f"v_{a}2"] for a in AXES)
+    var1, var2 = sum(m[f"v_{a}1"] for a in axes), sum(m[f"v_{a}2"] for a in axes)
     k = 1.0 if not scale else (np.sqrt(var2 / var1) if symmetric else (s * np.diag(flip)).sum() / var1)
-    out = np.eye(4)
-    out[:3, :3] = k * r
-    out[:3, 3] = np.array([m[f"m_{a}2"] for a in AXES]) - k * r @ np.array([m[f"m_{a}1"] for a in AXES])
+    out = np.eye(size + 1)
+    out[:size, :size] = k * r
+    out[:size, size] = np.array([m[f"m_{a}2"] for a in axes]) - k * r @ np.array([m[f"m_{a}1"] for a in axes])
     return out
 
 

@@ -15,11 +15,12 @@ from relievo.operators import points as pt
 from relievo.operators import rasters as ra
 
 
-def to_float(raster: DataFrame) -> DataFrame:
-    """Grey values in [0, 1]: divided by 255 if any is above 1, then clipped."""
-    most = raster.agg(F.max("val").alias("_most"))  # one row
+def to_float(raster: DataFrame, key: str | None = None) -> DataFrame:
+    """Grey values in [0, 1]: divided by 255 if any (of the same ``key``) is above 1, then clipped."""
+    most = raster.groupBy(F.col(key).alias("_key") if key else F.lit(0).alias("_key")).agg(F.max("val").alias("_most"))  # a row an image
     value = F.col("val") / F.when(F.col("_most") > 1, 255.0).otherwise(1.0)
-    return raster.crossJoin(F.broadcast(most)).withColumn("val", F.when(F.col("val").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))).drop("_most")
+    met = raster.join(most if key else F.broadcast(most), (F.col(key) if key else F.lit(0)).eqNullSafe(F.col("_key")))
+    return met.withColumn("val", F.when(F.col("val").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))).drop("_most", "_key")
 
 
 def valid_rows(raster: DataFrame, rows: int, above: float = 20, share: float = 0.3, least: int = 100) -> DataFrame:

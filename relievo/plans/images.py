@@ -18,7 +18,9 @@ GRID = {"x0": 0.0, "y0": 3900.0, "dx": 100.0, "dy": 100.0, "cols": 40, "rows": 4
 
 
 def to_float(spark: SparkSession, d: str) -> DataFrame:
-    return im.to_float(img(spark, d).where("side = 'F'").select("r", "c", (F.col("val") * 260 - 2).alias("val"))).select("r", "c", F.round("val", 9).alias("val"))
+    """Both images; one of them is in bytes already, the other is not."""
+    raised = F.when(F.col("side") == "F", F.col("val") * 260 - 2).otherwise(F.col("val") * 1.5 - 0.25)
+    return im.to_float(img(spark, d).select("side", "r", "c", raised.alias("val")), "side").select("side", "r", "c", F.round("val", 9).alias("val"))
 
 
 def valid_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +63,7 @@ def valid_disparity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spacing_median(spark: SparkSession, d: str) -> DataFrame:
-    return im.spacing_median(geo(spark, d).withColumn("lon", F.col("lat")), "id", "lon").select(F.round("resolution", 6).alias("resolution"))
+    return im.spacing_median(geo(spark, d), "id", "lat").select(F.round("resolution", 6).alias("resolution"))
 
 
 def spacing_top(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +114,7 @@ def matches_sorted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_crop(spark: SparkSession, d: str) -> DataFrame:
-    return im.crop(img(spark, d).where("side = 'O'").select("r", "c", "val"), 5, 11, 40, 60).select("r", "c", F.round("val", 9).alias("val"))
+    return im.crop(img(spark, d), 5, 11, 40, 60).select("side", "r", "c", F.round("val", 9).alias("val"))
 
 
 def keypoint_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,7 @@ def _side(name: str, side: str, width: int, height: int, m: str) -> str:
 
 
 SQL = {
-    "to_float": f"{with_sql('img')}, v AS (SELECT r, c, val * 260 - 2 AS val FROM img WHERE side = 'F'), m AS (SELECT max(val) AS m FROM v) SELECT r, c, CASE WHEN val IS NOT NULL THEN round(greatest(0, least(1, CASE WHEN m > 1 THEN val / 255 ELSE val END)), 9) END AS val FROM v, m",
+    "to_float": f"{with_sql('img')}, v AS (SELECT side, r, c, CASE WHEN side = 'F' THEN val * 260 - 2 ELSE val * CAST('1.5' AS DOUBLE) - CAST('0.25' AS DOUBLE) END AS val FROM img), m AS (SELECT side, max(val) AS m FROM v GROUP BY side) SELECT side, r, c, CASE WHEN val IS NOT NULL THEN round(greatest(0, least(1, CASE WHEN m > 1 THEN val / 255 ELSE val END)), 9) END AS val FROM v JOIN m USING (side)",
     "valid_rows": f"{with_sql('dref')}, q AS (SELECT r FROM dref GROUP BY r HAVING avg(CASE WHEN coalesce(val, 0) > 150 THEN 1.0 ELSE 0.0 END) > {_D(0.4)}), n AS (SELECT count(*) AS n, min(r) AS a, max(r) + 1 AS b FROM q) SELECT least_ AS least, CASE WHEN n >= least_ THEN a ELSE 0 END AS first, CASE WHEN n >= least_ THEN b ELSE 40 END AS last FROM n, (VALUES (1000), (3)) t(least_)",
     "line_means": f"{with_sql('dref')}, v AS (SELECT r, c, CASE WHEN val * {_D(1.5)} > 250 THEN 0 ELSE val * {_D(1.5)} END AS val FROM dref), h AS (SELECT r, avg(val) AS h FROM v GROUP BY r), w AS (SELECT c, avg(val) AS w FROM v GROUP BY c) SELECT v.r, v.c, round(least(h, w), 6) AS val FROM v JOIN h ON h.r = v.r JOIN w ON w.c = v.c",
     "world_window": f"""WITH {_S}, w AS (SELECT k, CAST(k * 10 AS DOUBLE) AS x0, CAST(400 AS DOUBLE) AS y0, CAST(1000 AS DOUBLE) - k AS x1, CAST(nation * 30 AS DOUBLE) AS y1 FROM s),
@@ -199,7 +201,7 @@ SQL = {
     "file_stems": "SELECT p_partkey AS image, 'D3C-' || p_partkey || '_a' AS stem, 'D3C-' || p_partkey AS strip FROM part",
     "hamming_nearest": f"{with_sql('codes')}, p AS (SELECT a.label, a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM codes a JOIN codes b USING (label) WHERE a.id % 2 = 0 AND b.id % 2 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY label, qid ORDER BY dist, tid) AS n FROM p) SELECT label, qid, tid, dist FROM o WHERE n = 1",
     "matches_sorted": f"{with_sql('codes')} SELECT a.id AS qid, b.id AS tid, CAST(len(list_filter(range(1, 65), lambda i: (a.v[i] > 0) <> (b.v[i] > 0))) AS INT) AS dist FROM codes a JOIN codes b USING (label) WHERE a.id % 2 = 0 AND b.id % 2 = 1",
-    "image_crop": f"{with_sql('img')} SELECT r - 10 AS r, c - 4 AS c, round(val, 9) AS val FROM img WHERE side = 'O' AND r BETWEEN 10 AND 59 AND c BETWEEN 4 AND 39",
+    "image_crop": f"{with_sql('img')} SELECT side, r - 10 AS r, c - 4 AS c, round(val, 9) AS val FROM img WHERE r BETWEEN 10 AND 59 AND c BETWEEN 4 AND 39",
     "keypoint_cells": f"WITH {_S}, p AS (SELECT CAST(k * 37 % 1000 AS DOUBLE) AS x, bal / 10 AS y FROM s) SELECT CAST(floor(x / 180) AS INT) AS kx, CAST(floor(y / 140) AS INT) AS ky, count(*) AS n FROM p WHERE x >= 0 AND x < 900 AND y >= 0 AND y < 700 GROUP BY 1, 2",
     "unstable_terrain": f"""{with_sql("dref")}, e AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, ring in POLYGONS.items() for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))}) t(k, x1, y1, x2, y2)),
       i AS (SELECT r, c, k FROM dref, e WHERE (y1 > 3900 - r * 100) <> (y2 > 3900 - r * 100) AND c * 100 < (x2 - x1) * (3900 - r * 100 - y1) / (y2 - y1) + x1 GROUP BY r, c, k HAVING count(*) % 2 = 1)

@@ -48,3 +48,28 @@ def test_ring_descriptor_does_not_mind_rotation(spark):
     table = spark.createDataFrame([(pid, *r) for pid, s in ((1, 0), (2, 5)) for r in rings(s)] + [(3, 0, 0, None)], "pid int, ring int, k int, val double")
     got = {r.pid: r.vec for r in matching.ring_descriptor(table, ["pid"]).collect()}
     assert set(got) == {1, 2} and got[1] == pytest.approx(got[2]) and got[1][12] == max(got[1][12:24])
+
+
+@pytest.mark.parametrize("axes", ["xyz", "xy"])
+def test_weighted_similarities(spark, axes):
+    """Against the least squares of all weighted residuals, solved by singular vectors of the whole sums in numpy."""
+    rng, size = np.random.default_rng(9), len(axes)
+    p = rng.normal(0, 50, (60, size)) + 4_000_000
+    turn = np.linalg.qr(rng.normal(size=(size, size)))[0]
+    turn[:, 0] *= np.sign(np.linalg.det(turn))
+    q = 1.3 * p @ turn.T + rng.normal(0, 2, p.shape) - 7
+    w = rng.choice([0.0, 0.5, 3.0], 60)
+    rows = [(*a, *b, c) for a, b, c in zip(p.tolist(), q.tolist(), w.tolist(), strict=True)]
+    rows += [(*[None] * size, *[1.0] * size, 1.0), (*[9e9] * size, *[1.0] * size, None)]
+    got = fitting.absor(spark.createDataFrame(rows, ", ".join(f"{a}{k} double" for k in (1, 2) for a in axes) + ", w double"), axes=axes, weight="w")
+    mp, mq = (np.average(v, axis=0, weights=w) for v in (p, q))
+    h = ((p - mp) * w[:, None]).T @ (q - mq)
+    u, s, vt = np.linalg.svd(h)
+    flip = np.diag([*[1.0] * (size - 1), np.sign(np.linalg.det(vt.T @ u.T))])
+    k = (s * np.diag(flip)).sum() / ((p - mp) ** 2 * w[:, None]).sum()
+    assert got[:size, :size] == pytest.approx(k * vt.T @ flip @ u.T, rel=1e-9, abs=1e-9)
+    assert got[:size, :size] @ mp + got[:size, size] == pytest.approx(mq, abs=1e-6)
+    even = fitting.absor(spark.createDataFrame([(*a, *b, 2.0) for a, b in zip(p.tolist(), q.tolist(), strict=True)], ", ".join(f"{a}{k} double" for k in (1, 2) for a in axes) + ", w double"), axes=axes)
+    assert even.shape == (size + 1, size + 1)
+    with pytest.raises(ValueError, match="pairs"):
+        fitting.absor(spark.createDataFrame(rows[:1], ", ".join(f"{a}{k} double" for k in (1, 2) for a in axes) + ", w double"), axes=axes, weight="w")
