@@ -17,7 +17,7 @@ SQL = {
     "href": "href AS (SELECT r, c, CASE WHEN (r * 7 + c * 3) % 11 <> 0 THEN val END AS val FROM dref)",
     "img": "img AS (SELECT l_linestatus AS side, CAST(l_orderkey % 64 AS INT) AS r, CAST(l_partkey % 64 AS INT) AS c, floor(avg(l_quantity) * 5) / 255 AS val FROM lineitem GROUP BY 1, 2, 3)",
     "side": "side AS (SELECT CAST(greatest(8, floor(sqrt(count(*)))) AS INT) AS n FROM orders)",
-    "terrain": "terrain AS (SELECT CAST(o_orderkey % n AS INT) AS r, CAST(o_custkey % n AS INT) AS c, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000 AS val FROM orders, side GROUP BY 1, 2)",
+    "terrain": "terrain AS (SELECT CAST(o_orderkey % n AS INT) AS r, CAST(o_custkey % n AS INT) AS c, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000 * CAST('1.4142135623730951' AS DOUBLE) AS val FROM orders, side GROUP BY 1, 2)",
     "geo": "geo AS (SELECT c_custkey AS id, 26 + c_custkey / 1500.0 AS lon, 37 + c_nationkey / 12.0 AS lat, c_acctbal AS h FROM customer)",
     "tgt": "tgt AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice - 900 AS y, CAST(p_partkey % 50 AS DOUBLE) AS z FROM part)",
     "codes": "codes AS (SELECT vec_id AS id, label, embedding AS v FROM embeddings)",
@@ -71,10 +71,10 @@ def side(spark: SparkSession, d: str) -> int:
 
 
 def terrain(spark: SparkSession, d: str) -> DataFrame:
-    """Mean order price on a square grid that grows with the table; some cells are empty."""
+    """Mean order price on a square grid that grows with the table; some cells are empty.  Its unit is irrational, so that means do not lie halfway between two roundings."""
     n = side(spark, d)
     cell = [(F.col("o_orderkey") % n).cast("int").alias("r"), (F.col("o_custkey") % n).cast("int").alias("c")]
-    return read(spark, d, "orders").groupBy(*cell).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*") / 1000).alias("val"))
+    return read(spark, d, "orders").groupBy(*cell).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*") / 1000 * 1.4142135623730951).alias("val"))
 
 
 def geo(spark: SparkSession, d: str) -> DataFrame:
