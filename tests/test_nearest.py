@@ -60,7 +60,7 @@ def test_mutual_codes(sides):
     assert rows(ne.mutual_codes(left, right, ["block"], few=10_000)) == rows(mt.mutual_nearest(mt.hamming_pairs(left, right, ["block"]), ["block"]))
 
 
-@pytest.mark.parametrize("k", [1, 10, 700])
+@pytest.mark.parametrize("k", [10, 700])
 def test_closest_pairs(sides, k):
     left, right = sides
     got = ne.closest_codes(left, right, ["block"], k, few=10_000)
