@@ -14,7 +14,9 @@ their counted size allows it; only beyond that are texts joined to them by a shu
 
 Defined cases: null text is empty and has no spans; rows that repeat are each scanned;
 repeated ids with different texts share postings and are verified one by one; extra columns
-are ignored.  Spans count code points, end exclusive.
+are ignored; an empty table gives an empty result.  Of spans that start together the kinds come
+in the order of the rules.  A text of any length is scanned whole; its time grows with its length
+and, but for a logarithm, with its matches.  Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -114,22 +116,32 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return met.groupBy("doc_id").agg(F.bit_or("rule").alias("rules"))
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums of all numbers up to each place of an array.
+
+    Each step adds what lies 1, 2, 4, ... places back, so n numbers take n log n additions and
+    no array is copied for each of its elements.
+    """
+    bits = F.length(F.bin(F.size(lengths) - 1))  # steps until a place has reached the first
+    backs = F.transform(F.sequence(F.lit(0), bits - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    add = lambda sums, back: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - back), F.lit(0)))
+    return F.when(F.size(lengths) < 2, lengths).otherwise(F.aggregate(backs, lengths, add))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the rule's leftmost matches: the pieces between them give the places."""
+    """Array of (start, end) of the rule's leftmost matches: a match ends where the pieces and matches up to it end."""
     pattern = F.lit(rule.pattern)
-    kind = "array<struct<start:int,end:int>>"
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
     hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
-    state = F.struct(F.lit(0).alias("pos"), F.expr(f"CAST(array() AS {kind})").alias("out"))
+    size = lambda hit: F.length(F.regexp_extract(hit, rule.pattern, rule.group)) if rule.group else F.length(hit)
+    pairs = F.zip_with(hits, pieces, lambda h, p: F.struct(F.length(h).alias("hit"), (F.length(p) + F.coalesce(F.length(h), F.lit(0))).alias("both"), (size(h) >= rule.least).alias("ok")))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        size = F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) if rule.group else F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.when(size >= rule.least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        """``found``: an array of one array, so that the expressions run once for a text."""
+        ends = F.transform(found, lambda own: F.zip_with(own, running_sums(F.transform(own, lambda x: x["both"])), lambda x, end: F.struct((end - x["hit"]).alias("start"), end.alias("end"), x["ok"].alias("ok"))))
+        return F.transform(F.filter(F.get(ends, F.lit(0)), lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    pairs = F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda h, p: F.struct(h.alias("hit"), p.alias("piece")))
-    return F.when(F.regexp_like(text, pattern), F.aggregate(pairs, state, step)["out"]).otherwise(F.expr(f"CAST(array() AS {kind})"))
+    return F.when(F.regexp_like(text, pattern), placed(F.array(pairs))).otherwise(none)
 
 
 def _labelled(no: int, rule: Rule):

@@ -77,6 +77,15 @@ def test_secret_spans_do_not_depend_on_the_index(spark, docs, empty):
     assert got == want and secrets.secret_spans(empty).count() == 0 and secrets.secret_spans(docs).count() == len(TEXTS)
 
 
+def test_secrets_of_a_long_text_with_many_matches(spark):
+    """10^5 matches in one text end in seconds, and are those of the expression."""
+    text = " ".join(f"{k:016x}" for k in range(100_000)) + ' token = "abcdefghijkl"'
+    begun = time.monotonic()
+    spans = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert time.monotonic() - begun < 40
+    assert [(s.start, s.end) for s in spans[:-1]] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)] and spans[-1].kind == "assign"
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("(abcd|xyz)e+") == [frozenset({"abc", "bcd", "cde"}), frozenset({"xyz", "yze"})]
     assert secrets.trigram_query("[0-9]+") == []
@@ -92,6 +101,24 @@ def test_exact_duplicates(docs, empty):
     assert {r.doc_id: r.keep_id for r in got}[9] == 9 and {r.doc_id: r.keep_id for r in got}[7] == 9  # the longer original stays
 
 
+def test_stages_of_exact_dedup_prune(spark):
+    """The prefix stage holds no row of a length that occurs once, and only rows of keys that occur again have a digest."""
+    texts = ["abcd", "ab cd", "abce", "xbcd", "lengthy", "longest of all", None, " "]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    lengths, keys = exact_dedup.refined(docs, prefix=2)
+    assert {r.k_length for r in lengths.collect()} == {0, 4}
+    assert sorted((r.length, r.n) for r in keys.collect()) == [(0, 2), (4, 1), (4, 3)]
+    hashed = {r.doc_id: r.digest is not None for r in exact_dedup.exact_duplicates(docs, prefix=2).collect()}
+    assert sorted(k for k, h in hashed.items() if h) == [0, 1, 2, 6, 7]
+
+
+def test_exact_dedup_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    """Shuffled to the keys, rows give the same result."""
+    want = sorted(map(str, exact_dedup.exact_duplicates(docs, prefix=4).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, exact_dedup.exact_duplicates(docs, prefix=4).collect())) == want
+
+
 def test_repeated_lines_go_from_later_documents(docs, empty):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert got[10].n_removed == 0 and got[11].text == "other line\r\nrest of eleven" and got[None].text == "\nnull id" and got[12].n_removed == 0 and got[6].text == ""
