@@ -178,27 +178,6 @@ def init_trans(points: DataFrame, controls: DataFrame, reference: DataFrame, gri
     return Georeference(similarity, zone, south, move, fit)
 
 
-def optimize_regions(points: DataFrame, reference: DataFrame, grid: dict, least_cover: float = 0.33, good: float = 25.0, tries: int = 3, bounds: dict[str, tuple[float, float]] | None = None, rounds: int = 200) -> dict:
-    """region to (alignment, fit) for regions of points (region, id, x, y, z) that cover ``least_cover`` of their box's cells.
-
-    A region is tried anew from where it came to until its root mean square is ``good``, at most
-    ``tries`` times, and keeps its best; regions are few, their points need not be.
-    """
-    bounds = bounds or bounds_of((5, 5, 5), (5e3, 5e3, 5e3), (1, 1, 1), 2)
-    cells = ra.grid_points(points, **grid, keys=["region"]).groupBy("region").agg(F.count("*").alias("n"), ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)).alias("box"))
-    found = {}
-    for row in cells.where(F.col("n") >= F.lit(least_cover) * F.col("box")).orderBy("region").collect():  # a row a region
-        own, total = cut(points.where(F.col("region") == row["region"]).select("id", "x", "y", "z")), None
-        for _ in range(tries):
-            move, fit = opti_trans(own, reference, grid, bounds, rounds=rounds)
-            if total is None or fit.rmse < total[1].rmse:
-                total = move, fit
-            if fit.rmse <= good:
-                break
-        found[row["region"]] = total
-    return found
-
-
 def window_transform(seen: DataFrame, p1: np.ndarray, p2: np.ndarray, sample: int = 1000) -> np.ndarray:
     """The similarity from a window's own triangulated points to those of other cameras, from image points of both (id, x, y, z, xl, yl, xr, yr)."""
     some = cut(pt.sample_points(seen, sample, "id"))

@@ -162,10 +162,10 @@ def _far(left: DataFrame, there: DataFrame, cell: float) -> DataFrame:
     return last.groupBy("qid").agg(F.min(F.struct(_d2(F.col("tx"), F.col("ty")).alias("d2"), F.col("tid"))).alias("b")).select("qid", "b.tid", "b.d2")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Of the queries of a target, the closest (ties: smallest qid)."""
-    best = pairs.groupBy("tid").agg(F.min(F.struct("d2", "qid")).alias("b"))
-    return best.select(F.col("b.qid").alias("qid"), "tid", F.col("b.d2").alias("d2"))
+def one_to_one(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of the queries of a target, the closest (ties: smallest qid); with ``keys``, of those of a target and key."""
+    best = pairs.groupBy(*keys, "tid").agg(F.min(F.struct("d2", "qid")).alias("b"))
+    return best.select(*keys, F.col("b.qid").alias("qid"), "tid", F.col("b.d2").alias("d2"))
 
 
 def inside_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relievo.plans import clouds, files, images, matches, rasters, stages, streams, tiled
+from relievo.plans import clouds, files, images, matches, rasters, solves, stages, streams, tiled
 
-GROUPS = (rasters, clouds, matches, images, stages, streams, files, tiled)
+GROUPS = (rasters, clouds, matches, images, stages, streams, files, tiled, solves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

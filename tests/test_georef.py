@@ -84,13 +84,6 @@ def test_first_georeference(spark, reference, truth):
         gr.init_trans(cloud(spark, model), controls, reference, GRID, bounds, sample=500, most=1e-9, rounds=1)
 
 
-def test_regions_that_cover_enough_are_fitted(spark, reference, truth):
-    whole, thin = cloud(spark, truth + [0, 0, 5.0]), cloud(spark, truth[:6])
-    table = whole.withColumn("region", F.lit(1)).unionByName(thin.withColumn("region", F.lit(2)))
-    found = gr.optimize_regions(table, reference, GRID, bounds=gr.bounds_of(translation=(0, 0, 20)), rounds=3)
-    assert set(found) == {1} and found[1][1].rmse < 25
-
-
 def test_curvature(spark):
     """A flat frame of 100 km drops away from its middle by distance squared over twice the earth's radius."""
     flat = np.array([[500_000 + 10_000.0 * a, 4_200_000 + 10_000.0 * b, 100.0] for a in range(-5, 6) for b in range(-5, 6)])
