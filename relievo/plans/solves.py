@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relievo.operators import epipolar as ep
+from relievo.operators import leastsq as ls
 from relievo.operators import regions as rg
 from relievo.plans.fixtures import dref, pc, read, with_sql
 
@@ -48,9 +49,18 @@ def rectified_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(votes, "window").select("window", "level", "n", "votes", *[F.abs(F.get("p", F.lit(i))).alias(name) for i, name in ((0, "r00"), (3, "tx"), (7, "ty"))])
 
 
-QUERIES = {"region_costs": region_costs, "epipolar_inliers": epipolar_inliers, "rectified_lines": rectified_lines}
+def damped_line(spark: SparkSession, d: str) -> DataFrame:
+    """Price against quantity by damped steps from a start that is far off."""
+    rows = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    off = lambda v, at: (v[:, :1] * at[None, :, 0] + v[:, 1:2] - at[None, :, 1])[..., None]
+    found = ls.damped(rows, ("x", "y"), off, (0.0, 50.0), (-100.0, -1000.0), (100.0, 1000.0), rounds=30, ftol=1e-14, xtol=1e-12)
+    return spark.createDataFrame([(float(found.parameters[0]), float(found.parameters[1]))], "a double, b double").select(F.round("a", 4).alias("slope"), F.round("b", 3).alias("intercept"))
+
+
+QUERIES = {"damped_line": damped_line, "region_costs": region_costs, "epipolar_inliers": epipolar_inliers, "rectified_lines": rectified_lines}
 _TRUE = "s AS (SELECT p_type AS window_, p_partkey AS id, p_size <= 40 AS good FROM part)"
 SQL = {
+    "damped_line": "SELECT round(regr_slope(l_extendedprice / 1000, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice / 1000, l_quantity), 3) AS intercept FROM lineitem",
     "epipolar_inliers": f"""WITH {_TRUE} SELECT window_ AS "window", id, good AS inlier, count(*) OVER (PARTITION BY window_) AS n, sum(CAST(good AS INT)) OVER (PARTITION BY window_)::BIGINT AS inliers FROM s""",
     "rectified_lines": f"""WITH {_TRUE} SELECT window_ AS "window", count(*) AS level, count(*) AS n, count(*) AS votes, CAST(1 AS DOUBLE) AS r00, CAST(1 AS DOUBLE) AS tx, CAST(0 AS DOUBLE) AS ty FROM s WHERE good GROUP BY 1""",
     "region_costs": f"""{with_sql("dref", "pc")}, e AS (SELECT CAST(min(x) AS DOUBLE) AS x0, (max(x) - min(x)) / CAST(39 AS DOUBLE) AS dx, CAST(max(y) AS DOUBLE) AS y0, (max(y) - min(y)) / CAST(39 AS DOUBLE) AS dy FROM pc),
