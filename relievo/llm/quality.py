@@ -2,25 +2,28 @@
 
 A rule is a value of a document, such as its symbols a word, in units of the rule's limit.
 Every stratum (a language, by default) has its own cutoff for every rule, and rejects a
-document that is above any of them.  Labelled documents are the holdout, one trial for each
-different text, dealt into halves by a hash of the text:
+document that is above any of them.  Labelled documents that the base rule lets pass are the
+holdout, as the cutoffs decide on no others; there is one trial for each different text.  They
+are dealt by a hash of the text:
 
-1.  The first half proposes.  Of every rule's candidate cutoffs the one that rejects most bad
+1.  A quarter proposes.  Of every rule's candidate cutoffs the one that rejects most bad
     documents for least good ones is taken; a rule that does not help is not used there.
-2.  The second half decides.  The proposed cutoffs, all together, are tested from the mildest
+2.  The rest decides.  The proposed cutoffs, all together, are tested from the mildest
     multiple to the strictest: an exact binomial test asks whether a false rejection rate of
     ``risk`` or more can be excluded, and testing stops at the first multiple that fails.
 
-The proposal does not depend on the second half and a fixed sequence needs no correction of
+The proposal does not depend on the texts that decide and a fixed sequence needs no correction of
 its own, nor do the rules, as they are tested together; each stratum is tested at ``alpha``
-divided by the number of strata.  So with probability 1 - ``alpha`` no stratum rejects more
-than ``risk`` of its good documents.  A stratum where nothing passes rejects nothing.
+divided by the number of strata.  So with probability 1 - ``alpha`` no stratum's cutoffs reject
+more than ``risk`` of the good documents that pass the base rule there.  A stratum where nothing
+passes rejects nothing more; so it is where fewer than log(alpha / strata) / log(1 - risk) good
+texts decide (217 for four strata), as no cutoff can be proven safe on fewer.
 
 The features are computed by streaming the whole texts once; only narrow rows are shuffled.
 
 Defined cases: null text has no words and fails the base rule; null strata are a stratum;
 documents with several labels, and equal texts with different ones, count as good only if all
-say so; repeated rows are judged each; empty documents or labels give an empty result or no cutoffs; extra columns are ignored.
+say so; repeated rows are judged each; a text of any length is measured whole, in time in proportion to it (but for the sort of its windows); empty documents or labels give an empty result or no cutoffs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +58,8 @@ CUTOFFS = (8.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25, 1.0, 0.8, 0.65, 0.5)
 MULTIPLES = (8.0, 4.0, 3.0, 2.0, 1.5, 1.25, 1.0)
 #: How many times a rejected good document weighs a rejected bad one.
 PRICE = 5.0
+#: One in so many labelled texts proposes, the others decide.
+PROPOSES = 4
 _UPPER = bytes(range(65, 91))
 
 
@@ -166,18 +171,18 @@ def holdout(measured: DataFrame, labels: DataFrame) -> DataFrame:
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: float = 0.05, cutoffs: tuple[float, ...] = CUTOFFS, multiples: tuple[float, ...] = MULTIPLES) -> DataFrame:
     """stratum, cutoffs (one a rule, null where it is not used), multiple, n_good, good_rejected, n_bad, bad_rejected, p_value, for strata where a multiple passes.
 
-    ``measured``: doc_id, stratum, mark, values.
+    ``measured``: doc_id, stratum, mark, values of the documents that the cutoffs are to decide on.
     """
     held = cut(holdout(measured, labels))
     strata = max(1, held.select("stratum").distinct().count())
-    half = F.pmod(F.xxhash64("mark"), F.lit(2))
-    by_rule = _counted(held.where(half == 0).select("stratum", "good", F.posexplode("values").alias("rule", "value")), "value", cutoffs, "stratum", "rule")
+    part = F.pmod(F.xxhash64("mark"), F.lit(PROPOSES))
+    by_rule = _counted(held.where(part == 0).select("stratum", "good", F.posexplode("values").alias("rule", "value")), "value", cutoffs, "stratum", "rule")
     gain = F.coalesce(F.try_divide("bad_rejected", "n_bad"), F.lit(0.0)) - PRICE * F.coalesce(F.try_divide("good_rejected", "n_good"), F.lit(0.0))
     best = by_rule.groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("b")).where("b.gain > 0")
     # One entry a rule.
     proposed = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cutoff"))).alias("of_rule"))
     proposed = cut(proposed.select(F.col("stratum").alias("of"), F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda k: F.try_element_at("of_rule", k)).alias("proposed")))
-    tested = held.where(half == 1).join(small(proposed, 128), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "good", _score(F.col("values"), F.col("proposed")).alias("score"))
+    tested = held.where(part != 0).join(small(proposed, 128), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "good", _score(F.col("values"), F.col("proposed")).alias("score"))
     each = _counted(tested, "score", multiples, "stratum").withColumn("p_value", tail(F.col("good_rejected"), F.col("n_good"), F.lit(float(risk))))
     passed = each.withColumn("worst", F.max("p_value").over(Window.partitionBy("stratum").orderBy("step"))).where(F.col("worst") <= alpha / strata)
     last = passed.groupBy("stratum").agg(F.max(F.struct("step", F.col("cutoff").alias("multiple"), "n_good", "good_rejected", "n_bad", "bad_rejected", "p_value")).alias("b"))
@@ -192,7 +197,7 @@ def _verdicts(measured: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _scored(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, alpha: float) -> tuple[DataFrame, DataFrame]:
     measured = cut(measure(docs, stratum).withColumnRenamed("doc", "doc_id")).withColumn("values", rule_values())
-    return measured, cut(choose_cutoffs(measured, labels, risk, alpha).select(F.col("stratum").alias("of"), "cutoffs"))
+    return measured, cut(choose_cutoffs(measured.where(~base_failed()), labels, risk, alpha).select(F.col("stratum").alias("of"), "cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -253,6 +254,34 @@ def test_quality_features():
     assert quality.binomial_tail(3, 50, 0.1) == pytest.approx(sum(math.comb(50, k) * 0.1**k * 0.9 ** (50 - k) for k in range(4)))
 
 
+def test_quality_features_by_recount(spark):
+    """The contract's counts, one by one, on random texts."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b", "cc", "é", "#", "<", "|x", " ", " ", "\t", "\n", "\n", "\x0b", "\x0c\r", "\xa0", "\u2028", "!"]) for _ in range(rng.randrange(160))) for _ in range(400)]
+    table = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)] + [(-1, None, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(table, table.select("doc_id", F.lit(1).alias("quality")).limit(0)).collect()}
+    assert len(got) == 401 and got[-1].base_failed and not got[-1].kept
+    for k, t in enumerate(texts):
+        w = words(t)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)}
+        lines = t.split("\n")
+        dup = sum(bool(words(x)) and x in lines[:i] for i, x in enumerate(lines))
+        symbols = len(re.findall("[#*$%&|<>]", t))
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), symbols, dup, len(again))
+        assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and r.kept == (not r.base_failed)
+
+
+def test_texts_that_the_base_rule_rejects_are_no_trials(spark):
+    """300 good texts have symbols in a part; 20,000 short good ones have none, but the cutoffs never meet them."""
+    rows = [(k, " ".join(f"v{k}x{j}" + "#" * 3 * (k % 10 == 0) for j in range(60)), 1) for k in range(300)]
+    rows += [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), 0) for k in range(600)] + [(2000 + k, f"short {k}", 1) for k in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("lang", F.lit("en"))
+    got = quality.judge(table, table.select("doc_id", "quality"))
+    assert got.where("doc_id < 1000 AND NOT kept").count() == 0 and got.where("doc_id >= 2000 AND kept").count() == 0
+
+
 def test_cutoffs_reject_the_bad(spark, empty):
     good, bad = [(k, " ".join(f"v{k}x{j}" for j in range(60)), "en") for k in range(900)], [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), "en") for k in range(100)]
     table = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
