@@ -276,7 +276,7 @@ def test_quality_features_by_recount(spark):
 def test_texts_that_the_base_rule_rejects_are_no_trials(spark):
     """300 good texts have symbols in a part; 20,000 short good ones have none, but the cutoffs never meet them."""
     rows = [(k, " ".join(f"v{k}x{j}" + "#" * 3 * (k % 10 == 0) for j in range(60)), 1) for k in range(300)]
-    rows += [(1000 + k, " ".join(f"v{k}x{j}###" for j in range(60)), 0) for k in range(600)] + [(2000 + k, f"short {k}", 1) for k in range(20_000)]
+    rows += [(1000 + k, " ".join(f"w{k}x{j}###" for j in range(60)), 0) for k in range(600)] + [(2000 + k, f"short {k}", 1) for k in range(20_000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("lang", F.lit("en"))
     got = quality.judge(table, table.select("doc_id", "quality"))
     assert got.where("doc_id < 1000 AND NOT kept").count() == 0 and got.where("doc_id >= 2000 AND kept").count() == 0
