@@ -43,6 +43,8 @@ PARTS = 16
 #: Bits of a set's parities, and rows of a list's block when pairs that are left meet.
 PARITY_BITS, LIST_BLOCK = 1024, 2000
 PACK_HASHES, PACK_DOCS = 600_000, 60_000
+#: Bytes of text whose counted hashes meet in a slot, on average and at most; they take some four times as much in a task.
+SLOT_BYTES = 32 << 20
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -104,11 +106,12 @@ def _sketch(n: int, slots: int, schema: pa.Schema):
                 ends = np.cumsum(np.bincount(slot, minlength=slots))
                 low = np.ascontiguousarray((h[order] >> np.uint64(20)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
                 doc = doc[order].astype("<u2")
-                full = [k for k in range(slots) if ends[k] > (ends[k - 1] if k else 0)]
-                spans = [(int(ends[k - 1]) if k else 0, int(ends[k])) for k in full]
+                starts = np.concatenate([[0], ends[:-1]])
+                full = np.flatnonzero(ends > starts)
+                spans = list(zip(starts[full].tolist(), ends[full].tolist(), strict=True))
                 for at in range(0, len(full), 512):
                     some = spans[at : at + 512]
-                    yield table({"slot": full[at : at + 512], "pack": [pack] * len(some), "hashes": [low[a:b].tobytes() for a, b in some], "places": [doc[a:b].tobytes() for a, b in some]})
+                    yield table({"slot": full[at : at + 512].tolist(), "pack": [pack] * len(some), "hashes": [low[a:b].tobytes() for a, b in some], "places": [doc[a:b].tobytes() for a, b in some]})
 
         for batch in batches:
             for doc_id, mark, text in zip(*(batch.column(c) for c in ("doc_id", "mark", "text")), strict=True):
@@ -180,12 +183,19 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def slots_for(docs: DataFrame, partitions: int, slot_bytes: int = SLOT_BYTES) -> int:
+    """Slots for all hashes: from the counted bytes of the texts, so that a slot's size does not grow with the corpus."""
+    size = docs.agg(F.sum(F.octet_length(text_of()).cast("long"))).first()[0] or 0
+    return max(8 * partitions, -(-size // slot_bytes))
+
+
 def sketched(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, mark (of the text), n, rec (digest of the set), alive (may have a partner): one row per row of ``docs``."""
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     doc_id = rows.schema["doc_id"]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = 8 * partitions
+    slots = slots_for(docs, partitions)
+    partitions = max(partitions, slots // 8)
     field = lambda name, kind: T.StructField(name, kind)
     about = [doc_id, field("mark", T.LongType()), field("n", T.LongType()), field("counted", T.LongType()), field("rec", T.BinaryType())]
     first = T.StructType([field("slot", T.LongType()), field("pack", T.LongType()), field("place", T.LongType()), *about, field("hashes", T.BinaryType()), field("places", T.BinaryType())])

@@ -247,6 +247,15 @@ def test_ids_are_those_of_the_library(text):
         assert np.frombuffer(encoding.encoder("byte_bpe_50k.json", ranks).ids(text), "<u4").tolist() == want
 
 
+def test_slots_follow_the_bytes(spark, docs, empty, monkeypatch):
+    """A slot holds no more of a larger corpus, and links are the same with many slots as with few."""
+    size = sum(len((t or "").encode()) for _, t, _ in TEXTS)
+    assert ngram_join.slots_for(docs, 2, 1000) == -(-size // 1000) > 16 and ngram_join.slots_for(empty, 2) == 16 == ngram_join.slots_for(docs, 2)
+    few = sorted(map(str, ngram_join.similar_components(docs).drop("mark").collect()))
+    monkeypatch.setattr(ngram_join, "slots_for", lambda d, p: 500)
+    assert sorted(map(str, ngram_join.similar_components(docs).drop("mark").collect())) == few
+
+
 def test_quality_features():
     text = "a b c a b c\n\nsame # line!\nsame # line!"
     assert quality.features(text) == (12, 26, 2, 1, 12, 3, 0, 2)
