@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relievo.operators import corners as co
 from relievo.operators import tiles as ti
 from relievo.plans.fixtures import side, terrain, with_sql
 
@@ -46,6 +47,23 @@ def tiles_bounds(spark: SparkSession, d: str) -> DataFrame:
     return _tiles(spark, d)[0].select("ty", "tx", "h", "w", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+def tiles_l_std(spark: SparkSession, d: str) -> DataFrame:
+    """To three places: variances are differences of sums over a tile, which leave some 1e-5 of a deviation that is zero."""
+    return ti.to_cells(co.footprint_std(_tiles(spark, d)[0], co.l_shape(4, True, False), tile=SIZE), tile=SIZE).select("r", "c", F.round("val", 3).alias("val"))
+
+
+def tiles_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return co.profiles(_tiles(spark, d)[0], 250.0, tile=SIZE).select("axis", "k", F.round("val", 6).alias("val"))
+
+
+def frame_corner(spark: SparkSession, d: str) -> DataFrame:
+    """The corner of a frame laid over the terrain: dimmed above a fifth of the rows and right of four fifths of the columns."""
+    n = side(spark, d)
+    inside = (F.col("r") >= n / 5) & (F.col("c") < n - n / 5)
+    scan = terrain(spark, d).withColumn("val", F.when(inside, F.col("val")).otherwise(F.col("val") / 8))
+    return co.frame_corners(ti.to_tiles(scan, n, n, tile=SIZE), min(SIZE, n // 3), True, False, white=None, tile=SIZE)
+
+
 _GRID = "g AS (SELECT r, c, val, n FROM (SELECT CAST(unnest(range(0, n)) AS INT) AS r, n FROM side) CROSS JOIN (SELECT CAST(unnest(range(0, n)) AS INT) AS c FROM side) LEFT JOIN terrain USING (r, c))"
 
 
@@ -55,11 +73,15 @@ def _around(half: int) -> str:
 
 
 _MIRROR = "CASE WHEN {0} < 0 THEN -1 - {0} WHEN {0} >= n THEN 2 * n - 1 - {0} ELSE {0} END"
-QUERIES = {"tiles_median5": tiles_median5, "tiles_box_mean7": tiles_box_mean7, "tiles_wiener": tiles_wiener, "tiles_gap_fill": tiles_gap_fill, "tiles_resample": tiles_resample, "tiles_bounds": tiles_bounds}
+QUERIES = {"tiles_median5": tiles_median5, "tiles_box_mean7": tiles_box_mean7, "tiles_wiener": tiles_wiener, "tiles_gap_fill": tiles_gap_fill, "tiles_resample": tiles_resample, "tiles_bounds": tiles_bounds, "tiles_l_std": tiles_l_std, "tiles_profiles": tiles_profiles, "frame_corner": frame_corner}
 SQL = {
     "tiles_median5": f"""{with_sql("terrain")}, {_GRID}, {_around(2)}, m AS (SELECT r, c, val, {_MIRROR.format("i")} AS i, {_MIRROR.format("j")} AS j FROM o)
       SELECT m.r, m.c, CASE WHEN max(m.val) IS NOT NULL THEN round(median(t.val), 6) END AS val FROM m LEFT JOIN terrain t ON t.r = m.i AND t.c = m.j GROUP BY m.r, m.c""",
     "tiles_box_mean7": f"""{with_sql("terrain")}, {_GRID}, {_around(3)} SELECT o.r, o.c, round(avg(t.val), 6) AS val FROM o LEFT JOIN terrain t ON t.r = o.i AND t.c = o.j GROUP BY o.r, o.c""",
+    "tiles_l_std": f"""{with_sql("terrain")}, {_GRID}, {_around(4)}, m AS (SELECT r, c, {_MIRROR.format("i")} AS i, {_MIRROR.format("j")} AS j FROM o WHERE (i >= r AND j = c) OR (i = r AND j < c))
+      SELECT m.r, m.c, round(stddev_samp(t.val), 3) AS val FROM m LEFT JOIN terrain t ON t.r = m.i AND t.c = m.j GROUP BY m.r, m.c""",
+    "tiles_profiles": f"""{with_sql("terrain")}, {_GRID}, w AS (SELECT r, c, CASE WHEN val > 250 THEN 0 ELSE val END AS val FROM g)
+      SELECT CAST(0 AS INT) AS axis, r AS k, round(avg(val), 6) AS val FROM w GROUP BY r UNION ALL SELECT CAST(1 AS INT), c, round(avg(val), 6) FROM w GROUP BY c""",
     "tiles_gap_fill": f"""{with_sql("terrain")}, {_GRID}, {_around(1)} SELECT o.r, o.c, round(coalesce(max(o.val), avg(t.val)), 6) AS val FROM o LEFT JOIN terrain t ON t.r = o.i AND t.c = o.j GROUP BY o.r, o.c""",
     "tiles_wiener": f"""{with_sql("terrain")}, {_GRID}, {_around(1)}, l AS (SELECT o.r, o.c, max(o.val) AS val, coalesce(sum(t.val), 0) / 9 AS m, coalesce(sum(t.val * t.val), 0) / 9 AS q FROM o LEFT JOIN terrain t ON t.r = o.i AND t.c = o.j GROUP BY o.r, o.c),
       v AS (SELECT *, q - m * m AS s FROM l), z AS (SELECT avg(s) AS noise FROM v WHERE val IS NOT NULL)
