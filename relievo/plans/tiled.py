@@ -48,8 +48,9 @@ def tiles_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiles_l_std(spark: SparkSession, d: str) -> DataFrame:
-    """To three places: variances are differences of sums over a tile, which leave some 1e-5 of a deviation that is zero."""
-    return ti.to_cells(co.footprint_std(_tiles(spark, d)[0], co.l_shape(4, True, False), tile=SIZE), tile=SIZE).select("r", "c", F.round("val", 3).alias("val"))
+    """To three places, as variances are differences of running sums, and times the root of three: half the difference of two values has few digits here."""
+    spread = co.footprint_std(_tiles(spark, d)[0], co.l_shape(4, True, False), tile=SIZE)
+    return ti.to_cells(spread, tile=SIZE).select("r", "c", F.round(F.col("val") * 1.7320508075688772, 3).alias("val"))
 
 
 def tiles_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +80,7 @@ SQL = {
       SELECT m.r, m.c, CASE WHEN max(m.val) IS NOT NULL THEN round(median(t.val), 6) END AS val FROM m LEFT JOIN terrain t ON t.r = m.i AND t.c = m.j GROUP BY m.r, m.c""",
     "tiles_box_mean7": f"""{with_sql("terrain")}, {_GRID}, {_around(3)} SELECT o.r, o.c, round(avg(t.val), 6) AS val FROM o LEFT JOIN terrain t ON t.r = o.i AND t.c = o.j GROUP BY o.r, o.c""",
     "tiles_l_std": f"""{with_sql("terrain")}, {_GRID}, {_around(4)}, m AS (SELECT r, c, {_MIRROR.format("i")} AS i, {_MIRROR.format("j")} AS j FROM o WHERE (i >= r AND j = c) OR (i = r AND j < c))
-      SELECT m.r, m.c, round(stddev_samp(t.val), 3) AS val FROM m LEFT JOIN terrain t ON t.r = m.i AND t.c = m.j GROUP BY m.r, m.c""",
+      SELECT m.r, m.c, round(stddev_samp(t.val) * CAST('1.7320508075688772' AS DOUBLE), 3) AS val FROM m LEFT JOIN terrain t ON t.r = m.i AND t.c = m.j GROUP BY m.r, m.c""",
     "tiles_profiles": f"""{with_sql("terrain")}, {_GRID}, w AS (SELECT r, c, CASE WHEN val > 250 THEN 0 ELSE val END AS val FROM g)
       SELECT CAST(0 AS INT) AS axis, r AS k, round(avg(val), 6) AS val FROM w GROUP BY r UNION ALL SELECT CAST(1 AS INT), c, round(avg(val), 6) FROM w GROUP BY c""",
     "tiles_gap_fill": f"""{with_sql("terrain")}, {_GRID}, {_around(1)} SELECT o.r, o.c, round(coalesce(max(o.val), avg(t.val)), 6) AS val FROM o LEFT JOIN terrain t ON t.r = o.i AND t.c = o.j GROUP BY o.r, o.c""",
