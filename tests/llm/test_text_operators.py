@@ -1,15 +1,19 @@
 """Every operator against brute force on a small table with the awkward cases."""
 
 import collections
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import tempfile
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,6 +194,40 @@ def test_tables_score_like_the_tree_in_memory(spark, monkeypatch, depth, keys, t
     assert any(abs(r.score - r.base_score) > 1 for r in got.values())
 
 
+def test_no_shuffle_files_stay(spark):
+    """What the eager steps shuffled is gone when they end; each step finds only its own on the disk."""
+    root = spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()))
+    there = lambda: {f for d in root.split(",") for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*.data")}
+    before, setting = there(), spark.conf.get(language_model.CLEANUP)
+    table = spark.createDataFrame([(i, f"some words {i % 7} and more words {i % 5}") for i in range(60)], "doc_id long, text string").repartition(3)
+    table.groupBy("text").count().collect()
+    assert there() - before  # this is where they are
+    before = there()
+    scores = language_model.score_documents(table)
+    assert not there() - before and spark.conf.get(language_model.CLEANUP) == setting
+    assert scores.count() == 60
+
+
+def test_slots_give_weights_by_the_ranks_they_told(monkeypatch):
+    """Keys go to a slot once: its answers hold the ranks by which a chunk gets its weights."""
+    keys = {1: [5, 9, 70], 2: [9, 11, 70, 200]}
+    plan = language_model.Plan(40, 1, 2)
+    rows = [(0, chunk, 2, False, len(k), *next(language_model._by_slot(np.array(k, dtype=np.uint64), np.zeros(len(k), dtype=np.int64)))[1:3], language_model._packed(np.array([1] * len(k)))) for chunk, k in keys.items()]
+    asked = list(language_model._rows(language_model._ASKED, language_model._ASKED_KINDS, rows))
+    told = [r for b in language_model._answer_counts(2)(iter(asked)) for r in b.to_pylist()]
+    assert [language_model._ranks_of(r["ranks"], r["n_often"]).tolist() for r in told] == [[0, 1], [0, 1]]  # of 9 and 70
+    known = language_model.Known([told[1]]).numbers(2)
+    assert plan.slot(np.array([70], dtype=np.uint64), 2) == 0 and known.tolist() == [0, -1, 1, -1]
+    weights = pa.RecordBatch.from_pydict({"level": pa.array([2, 2, 2], pa.int32()), "key": [1, 0, 1], "weight": [0.25, 3.0, 0.5]})
+    given = [{"chunk": None} | r for b in language_model._give_weights(iter([weights])) for r in b.to_pylist()]
+    own = [{"slot": r["slot"], "chunk": r["chunk"], "level": r["level"], "n_often": r["n_often"], "ranks": r["ranks"], "weights": None} for r in told]
+    got = [r for b in language_model._answer_weights(iter([pa.RecordBatch.from_pylist(own + given)])) for r in b.to_pylist()]
+    assert {r["chunk"]: np.frombuffer(r["weights"], "<f4").tolist() for r in got} == {1: [3.0, 0.75], 2: [3.0, 0.75]}
+    monkeypatch.setattr(language_model, "RANK_BITS", 1)
+    with pytest.raises(ValueError, match="bits do not number"):
+        list(language_model._answer_counts(2)(iter(asked)))
+
+
 def test_held_out_texts_gain(spark):
     """A held-out text of a language with strong contexts scores far better than by its words alone."""
     rng = np.random.default_rng(8)
