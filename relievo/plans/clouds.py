@@ -72,9 +72,11 @@ def geodetic_to_ecef(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ecef_to_geodetic(spark: SparkSession, d: str) -> DataFrame:
-    """There and back: the differences are rounding."""
+    """There and back: the differences are rounding.  Longitudes come back within half a turn and are compared around the circle."""
     there = geo(spark, d).select("id", "lon", "lat", "h", *[F.expr(e).alias(n) for n, e in zip("xyz", pr.geodetic_to_ecef("lon", "lat", "h"), strict=True)])
-    return there.select("id", *[F.round(F.expr(e) - F.col(n), 5).alias(n) for n, e in zip(("lon", "lat", "h"), pr.ecef_to_geodetic("x", "y", "z"), strict=True)])
+    off = {n: F.expr(e) - F.col(n) for n, e in zip(("lon", "lat", "h"), pr.ecef_to_geodetic("x", "y", "z"), strict=True)}
+    off["lon"] = F.pmod(off["lon"] + 180, F.lit(360.0)) - 180
+    return there.select("id", *[F.round(v, 5).alias(n) for n, v in off.items()])
 
 
 def affine_apply(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relievo.functions import projections as pr
+from relievo.plans import clouds
 
 A, F_ = 6378137.0, 1 / 298.257223563
 E2 = F_ * (2 - F_)
@@ -96,3 +97,10 @@ def test_earth_centred(spark):
     back = table.select("*", *[F.expr(e).alias(n) for n, e in zip("xyz", (x, y, z), strict=True)]).select("lon", "lat", "h", F.expr(u).alias("u"), F.expr(v).alias("v"), F.expr(w).alias("w"))
     for row in back.collect():
         assert (row.u, row.v, row.w) == pytest.approx((row.lon, row.lat, row.h), abs=1e-5)
+
+
+def test_longitudes_of_more_than_a_turn_come_back(spark, tmp_path):
+    rows = [(k, k % 25, 10.0 * k / 1000) for k in (0, 14999, 230999, 231000, 231001, 501000, 771001, 899999, 5399999)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = clouds.ecef_to_geodetic(spark, str(tmp_path)).collect()
+    assert sorted(got) == [(k, 0.0, 0.0, 0.0) for k, _, _ in rows]
