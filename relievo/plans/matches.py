@@ -36,7 +36,7 @@ def hamming_any_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def euclid_nn(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).select("id", "label", F.transform("v", lambda x: x.cast("double")).alias("vec"))
+    v = vectors(spark, d).select("id", "label", F.col("v").alias("vec"))
     return mt.euclidean_nearest(v.where("id % 3 = 0"), v.where("id % 3 <> 0"), ["label"]).select("label", "qid", "tid", F.round("d2", 6).alias("d2"))
 
 

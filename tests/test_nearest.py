@@ -73,3 +73,28 @@ def test_small_and_empty(sides):
     assert ne.nearest_codes(left.limit(0), right, ["block"]).count() == 0 and ne.nearest_codes(left, right.limit(0), ["block"]).count() == 0
     near = rows(ne.nearest_codes(left.where("block = 'b'"), right, ["block"]))
     assert near == rows(mt.hamming_nearest(mt.hamming_pairs(left.where("block = 'b'"), right, ["block"]), ["block"]))
+
+
+def test_real_vectors_meet_in_chunks(spark):
+    """Ties go to the smallest id, far and near equal vectors are told apart, a block without targets is dropped, nulls are an error."""
+    rng = np.random.default_rng(5)
+    vec = rng.normal(0, 1, (300, 7)).astype(np.float32)
+    vec[200:230], vec[230:240] = vec[0], vec[3] + np.float32(1e-6)
+    vec[240:260] += 1e4
+    block = np.where(np.arange(300) < 270, "a", "b")
+    table = spark.createDataFrame([(str(block[k]), k, vec[k].tolist()) for k in range(290)] + [("c", 290, vec[290].tolist())], "block string, id long, vec array<float>").repartition(3)
+    queries, targets = table.where("id % 3 = 0 AND id < 291"), table.where("id % 3 <> 0")
+    wide = vec.astype(float)
+
+    def apart(p, q):
+        total = 0.0
+        for x, y in zip(wide[p], wide[q], strict=True):
+            total += (x - y) * (x - y)
+        return total
+
+    want = [("ab"[p >= 270], p, *reversed(min((apart(p, q), q) for q in range(290) if q % 3 and block[q] == block[p]))) for p in range(0, 290, 3)]
+    got = mt.euclidean_nearest(queries, targets, ["block"], side=16, together=2)
+    assert sorted(map(tuple, got.select("block", "qid", "tid", "d2").collect())) == sorted(want)
+    assert mt.euclidean_nearest(queries.limit(0), targets, ["block"]).count() == 0
+    with pytest.raises(Exception, match="without nulls"):
+        mt.euclidean_nearest(queries.withColumn("vec", F.lit(None).cast("array<float>")), targets, ["block"]).collect()
