@@ -110,7 +110,7 @@ def hamming_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def matches_sorted(spark: SparkSession, d: str) -> DataFrame:
     codes = vectors(spark, d).select("id", "label", mt.sign_bits(F.col("v")).alias("code"))
-    return mt.sorted_matches(mt.hamming_pairs(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"])).select("qid", "tid", "dist")
+    return mt.sorted_code_matches(codes.where("id % 2 = 0"), codes.where("id % 2 = 1"), ["label"])
 
 
 def image_crop(spark: SparkSession, d: str) -> DataFrame:

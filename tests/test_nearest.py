@@ -98,3 +98,13 @@ def test_real_vectors_meet_in_chunks(spark):
     assert mt.euclidean_nearest(queries.limit(0), targets, ["block"]).count() == 0
     with pytest.raises(Exception, match="without nulls"):
         mt.euclidean_nearest(queries.withColumn("vec", F.lit(None).cast("array<float>")), targets, ["block"]).collect()
+
+
+@pytest.mark.parametrize("least, share", [(1 << 20, 256), (50, 1)])
+def test_all_pairs_are_listed_in_order_and_not_shuffled(sides, least, share):
+    left, right = (x.where("id % 9 = 0 OR block <> 'a'") for x in sides)
+    left = left.unionByName(left.sparkSession.createDataFrame([(None, 99_999, 5), ("d", 99_998, 5)], "block string, id long, code long"))
+    found = mt.sorted_code_matches(left, right, ["block"], 20, least, share)
+    got = [(x.dist, x.qid, x.tid) for x in found.select("dist", "qid", "tid").collect()]
+    want = sorted((bin((p.code ^ q.code) & (1 << 64) - 1).count("1"), p.id, q.id) for p in left.collect() for q in right.collect() if p.block == q.block)
+    assert got == want and (least > 50 or found.rdd.getNumPartitions() > 20)
